@@ -32,15 +32,13 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kneser_ney import lowered
-from .shared import hash_words, mix, token_chunks, written
+from .shared import hash_words, keyed, mix, token_chunks, written
 
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5
 STEP = 20
 #: Members up to which a bucket gives pairs; documents of a block of larger ones.
 SMALL, BLOCK = 32, 256
-#: Keys that are broadcast at most; beyond, the join shuffles.
-BROADCAST_KEYS = 1_000_000
 
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -219,11 +217,6 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRE
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_linked_texts"), F.coalesce(F.col("copies") + F.col("times") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def keyed(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    """Semi or anti join of whole documents with a table of distinct keys, broadcast only if it is small."""
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
-
-
 def _links(docs: DataFrame, classes: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
     """(cid, linked_to, links, copies): parts of each class's sums, and a class that it is joined to."""
     bucket = W.partitionBy("bucket")

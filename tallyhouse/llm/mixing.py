@@ -152,17 +152,35 @@ def decide(units: DataFrame, n_largest: int, seed: int) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
-    """key, source, size, source_size, target (of the source) and taken (words) of each row of ``docs``."""
-    narrow = written(docs.select(F.col(key).alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix")
+def _decisions(narrow: DataFrame, seed: int) -> DataFrame:
+    """Of a written table (id, source, size): (k, s, z), source_size, target and taken of each distinct row."""
     targets = written(source_targets(narrow.select("source", "size")), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_TIMES)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    goals = targets.select(F.col("source").alias("of"), "n_docs", "source_size", "target", F.floor(ratio + F.lit(1e-9)).alias("whole"), (ratio - F.floor(ratio + F.lit(1e-9))).alias("part"))
-    same = F.col("source").eqNullSafe(F.col("of"))
+    whole = F.floor(ratio + F.lit(1e-9))
+    goals = targets.select(F.col("source").alias("of"), "n_docs", "source_size", "target", whole.alias("whole"), F.greatest(ratio - whole, F.lit(0.0)).alias("part"))
     units = narrow.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
-    units = units.join(goals.select("of", F.col("n_docs").alias("n_source"), F.greatest("part", F.lit(0.0)).alias("p")), same).drop("of")
+    units = units.join(goals.select("of", F.col("n_docs").alias("n_source"), F.col("part").alias("p")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     n_largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    more = decide(units, n_largest, seed).select(F.col("id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("p").alias("once_more"))
-    out = narrow.join(more, F.col("id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))).join(goals, same)
-    return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("once_more").cast("long"))).alias("taken"))
+    more = decide(units, n_largest, seed).join(goals, F.col("source").eqNullSafe(F.col("of")))
+    return more.select(F.col("id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
+
+
+def _same(key: str):
+    return F.col(key).eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))
+
+
+def _narrow(docs: DataFrame, key: str) -> DataFrame:
+    return written(docs.select(F.col(key).alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
+    """key, source, size, source_size, target (of the source) and taken (words) of each row of ``docs``."""
+    narrow = _narrow(docs, key)
+    return narrow.join(_decisions(narrow, seed), _same("id")).select(F.col("id").alias(key), "source", "size", "source_size", "target", "taken")
+
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with size, source_size, target and taken; columns of these names are replaced."""
+    added = ("size", "source_size", "target", "taken", "k", "s", "z")
+    whole = docs.drop(*added).withColumn("size", n_words(F.col("text")))
+    return whole.join(_decisions(_narrow(docs, key), seed), _same(key)).where("taken > 0").drop("k", "s", "z")
