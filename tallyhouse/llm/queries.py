@@ -14,6 +14,7 @@ from .mixing import mix
 from .pii import pii_digest
 from .quality_classifier import quality_verdicts
 from .quality_rules import quality_rules
+from .substring_dedup import repeated_passages
 from .token_counts import Automaton, read_vocabulary, token_counts
 
 
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
