@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminations
 from .jaccard_join import jaccard_groups
+from .license_scan import license_paragraphs
 from .lm_scoring import lm_scores
 from .mixing import mix
 from .pii import pii_digest
@@ -30,6 +31,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
