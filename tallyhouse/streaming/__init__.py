@@ -1,0 +1 @@
+"""Empty by intent: the query engine answers over one immutable snapshot and has no streaming operator."""
