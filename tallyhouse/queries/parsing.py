@@ -39,11 +39,11 @@ query("parse_identifier", oracle(IDENT, "case when regexp_full_match(raw, '[A-Z0
 FORM = r"regexp_full_match(raw, '[+-]?[0-9]+(\.[0-9]+)?')"
 query("parse_decimal", oracle(NUMBER, f"case when {FORM} then cast(raw as double) end", f"case when s = '' then 'missing_blank' when not {FORM} then 'invalid_format' when cast(raw as double) = 0 then 'recorded_zero' else 'valid' end"))(parsed(NUMBER, P.parse_decimal, "double"))
 WHOLE = f"{FORM} and cast(raw as double) = floor(cast(raw as double))"
-query("parse_integer", oracle(NUMBER, f"case when {WHOLE} then cast(cast(raw as double) as bigint) end", f"case when s = '' then 'missing_blank' when not ({FORM}) or cast(raw as double) <> floor(cast(raw as double)) then 'invalid_format' when cast(raw as double) = 0 then 'recorded_zero' else 'valid' end".replace(f"not ({FORM}) or cast", f"not ({FORM}) or try_cast").replace("floor(cast", "floor(try_cast").replace("when cast(raw", "when try_cast(raw")))(parsed(NUMBER, P.parse_integer, "bigint"))
+query("parse_integer", oracle(NUMBER, f"case when {WHOLE} then cast(cast(cast(raw as double) as bigint) as string) end", f"case when s = '' then 'missing_blank' when not ({FORM}) or cast(raw as double) <> floor(cast(raw as double)) then 'invalid_format' when cast(raw as double) = 0 then 'recorded_zero' else 'valid' end".replace(f"not ({FORM}) or cast", f"not ({FORM}) or try_cast").replace("floor(cast", "floor(try_cast").replace("when cast(raw", "when try_cast(raw")))(parsed(NUMBER, P.parse_integer))
 query("parse_return", oracle(NUMBER, f"case when {FORM} then cast(raw as double) end", f"case when s = '' then 'missing_blank' when not {FORM} then 'invalid_format' when try_cast(raw as double) < -100 then 'out_of_domain' when try_cast(raw as double) = 0 then 'recorded_zero' else 'valid' end"))(parsed(NUMBER, P.parse_return, "double"))
 REAL = "case when regexp_full_match(raw, '[0-9]{8}') then try_strptime(raw, '%Y%m%d') end"
 query("parse_date", oracle(DAY, f"case when raw not in ('0', '00000000', '99991231') then strftime({REAL}, '%Y-%m-%d') end", f"case when s = '' then 'missing_blank' when raw in ('0', '00000000') then 'sentinel_zero' when raw = '99991231' then 'sentinel_max_date' when {REAL} is null then 'invalid_format' else 'valid' end"))(parsed(DAY, lambda c: P.parse_date(c, True)))
-query("parse_flag", oracle(FLAG, "case s when '1' then true when '0' then false end", "case s when '' then 'missing_blank' when '1' then 'valid' when '0' then 'valid' else 'out_of_domain' end"))(parsed(FLAG, P.parse_flag, "boolean"))
+query("parse_flag", oracle(FLAG, "case s when '1' then 'true' when '0' then 'false' end", "case s when '' then 'missing_blank' when '1' then 'valid' when '0' then 'valid' else 'out_of_domain' end"))(parsed(FLAG, P.parse_flag))
 
 
 @query("split_codes", f"select c_custkey, len(codes) as n_codes, array_to_string(codes, '|') as codes from (select c_custkey, case when raw = '' then []::varchar[] else string_split(raw, ',') end as codes from (select c_custkey, {CODES} as raw from customer))")
