@@ -175,3 +175,26 @@ def compared_pairs(df: DataFrame, left_id, right_id, value: str, id_column: str
     b = df.where(F.col(id_column) == F.lit(right_id)).select(F.col(id_column).alias("right_id"), F.col(value).alias("right_value"))
     sign = F.signum((F.col("left_value") - F.col("right_value")).cast("double"))
     return a.join(b, F.lit(True)).withColumns({"difference": F.abs(F.col("left_value") - F.col("right_value")), "direction": F.when(sign > 0, "higher").when(sign < 0, "lower").when(sign == 0, "equal")})
+
+
+def reversed_selection(df: DataFrame, value: str, descending: bool, top_k: int, by: list[str], tie_break: str = "product_id") -> DataFrame:
+    """The first rows of each partition by (value, id) as one key: a descending order turns the ids round too."""
+    order = [F.col(value).desc(), F.col(tie_break).desc()] if descending else [F.col(value).asc(), F.col(tie_break).asc()]
+    w = W.partitionBy(*by).orderBy(*order)
+    return df.where(F.col(value).isNotNull()).withColumn("position", F.row_number().over(w).cast("bigint")).where(F.col("position") <= top_k)
+
+
+def shown_values(values: DataFrame, selected: DataFrame) -> DataFrame:
+    """Tall metric values of the selected rows only."""
+    return values.join(selected.select("product_type", "product_id").distinct(), ["product_type", "product_id"], "left_semi")
+
+
+def source_average(df: DataFrame, field: str, by: list[str], places: int = 22) -> DataFrame:
+    """Average over all recorded values, not rounded to the stored scale."""
+    return df.groupBy(*by).agg((F.avg(F.col(field).cast("decimal(38,18)"))).cast(f"decimal(38,{places})").alias("source_average"), F.count(field).alias("recorded"))
+
+
+def source_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Matched rows before and after the state policy, and their difference."""
+    out = df.groupBy(*by).agg(F.count_if("matched").alias("source"), F.count_if(F.col("matched") & F.col("eligible")).alias("validated"))
+    return out.withColumn("difference", F.col("source") - F.col("validated"))

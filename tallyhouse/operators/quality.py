@@ -72,3 +72,22 @@ def table_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     h = row_hash(*(F.col(c) for c in columns))
     parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *parts), 256).alias("table_hash"))
+
+
+def contract_problems(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """Tables (table_name, n_rows, table_hash) that are missing, unexpected or different; empty for a kept contract."""
+    a = actual.select("table_name", F.col("n_rows").alias("rows_now"), F.col("table_hash").alias("hash_now"))
+    both = expected.join(a, "table_name", "full")
+    problem = F.when(F.col("rows_now").isNull(), "missing").when(F.col("n_rows").isNull(), "unexpected").when(F.col("n_rows") != F.col("rows_now"), "row count differs").when(F.col("table_hash") != F.col("hash_now"), "content differs")
+    return both.select("table_name", problem.alias("problem")).where("problem is not null")
+
+
+def affected_rows(issue_rows: DataFrame, quarantining: list[str]) -> DataFrame:
+    """By source: rows with any issue, and rows with one of a status that quarantines."""
+    return issue_rows.groupBy("source").agg(F.count_distinct("row_key").alias("affected_rows"), F.count_distinct(F.when(F.col("status").isin(quarantining), F.col("row_key"))).alias("quarantined_rows"))
+
+
+def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
+    """Distinct values in the order in which each comes first: value, position."""
+    first = df.groupBy(value).agg(F.min(order).alias("_first"))
+    return first.withColumn("position", F.row_number().over(W.orderBy("_first", value)).cast("bigint")).drop("_first")

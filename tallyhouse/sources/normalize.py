@@ -94,3 +94,17 @@ def instruments(lots: DataFrame, as_of: date, row: str = "source_row") -> DataFr
         mixed = F.col(f"_n_{c}") > 1
         out = out.withColumns({c: F.when(~mixed, F.col(c)), f"{c}__quality_status": F.when(mixed, "mixed_source_values").otherwise(F.col(f"{c}__quality_status"))})
     return with_remaining_days(out.drop(*(f"_n_{c}" for c in shared)), as_of)
+
+
+def listed_eligibility(df: DataFrame, as_of: date) -> DataFrame:
+    """eligible and its status: true, false, or unknown where an input that decides is not valid.
+
+    One input that rules a product out decides alone; else the first input
+    without a valid value gives the status.
+    """
+    parts = {"sale_flag": F.col("sale_flag"), "suspension_flag": ~F.col("suspension_flag"), "listing_date": F.col("listing_date") <= F.lit(as_of), "listing_end_date": F.when(F.col("listing_end_date__quality_status") == "sentinel_max_date", True).otherwise(F.col("listing_end_date") >= F.lit(as_of))}
+    ruled_out, unknown = F.lit(False), F.lit(None).cast("string")
+    for f, ok in reversed(parts.items()):
+        ruled_out = ruled_out | F.coalesce(~ok, F.lit(False))
+        unknown = F.when(ok.isNull(), F.col(f"{f}__quality_status")).otherwise(unknown)
+    return df.withColumns({"eligible": F.when(ruled_out, False).when(unknown.isNull(), True), "eligible__quality_status": F.when(ruled_out | unknown.isNull(), "valid").otherwise(unknown)})

@@ -137,3 +137,35 @@ def test_xlsx(spark, tmp_path):
         book(path, [head, row])
         with pytest.raises(Exception, match="formula|repeated|beyond"):
             read().collect()
+
+
+def test_listed_eligibility(spark):
+    columns = "sale_flag boolean, sale_flag__quality_status string, suspension_flag boolean, suspension_flag__quality_status string, listing_date date, listing_date__quality_status string, listing_end_date date, listing_end_date__quality_status string"
+    on, off = date(2020, 1, 1), date(2030, 1, 1)
+    good = [True, "valid", False, "valid", on, "valid", off, "valid"]
+
+    def change(**over):
+        names = [c.split()[0] for c in columns.split(", ")]
+        return tuple(over.get(n, v) for n, v in zip(names, good))
+
+    rows = [tuple(good), change(sale_flag=False), change(sale_flag=None, sale_flag__quality_status="out_of_domain"), change(sale_flag=None, sale_flag__quality_status="missing_blank", suspension_flag=True), change(listing_end_date=None, listing_end_date__quality_status="sentinel_max_date"), change(listing_end_date=None, listing_end_date__quality_status="invalid_format")]
+    got = normalize.listed_eligibility(spark.createDataFrame(rows, columns), date(2026, 8, 24)).select("eligible", "eligible__quality_status").collect()
+    assert [tuple(r) for r in got] == [(True, "valid"), (False, "valid"), (None, "out_of_domain"), (False, "valid"), (True, "valid"), (None, "invalid_format")]
+
+
+def test_scoring(spark, tmp_path):
+    from tallyhouse.operators import scoring
+
+    e = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("1", "c", 3), ("2", "x", 1)], "case_id string, item string, position bigint")
+    a = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), ("1", "c", 3), ("3", "y", 1)], "case_id string, item string, position bigint")
+    assert {r.case_id: r.f1 for r in scoring.f1(e, a).collect()} == {"1": 1.0, "2": 0.0, "3": 0.0}
+    assert {r.case_id: r.order_accuracy for r in scoring.order_accuracy(e, a).collect()} == {"1": 0.5}
+    (tmp_path / "s.jsonl").write_text('{"case_id": "a", "expected_plan": {"filters": [{"value": 3}, {"value": "x"}]}}\n{"case_id": "a"}\n')
+    cases = scoring.read_cases(spark, str(tmp_path / "s.jsonl"))
+    assert scoring.repeated_cases(cases).first().n == 2 and '"value":3' in cases.first().expected_plan.replace(" ", "")
+
+
+def test_contract(spark):
+    a = spark.createDataFrame([("t", 1, "h"), ("u", 2, "h"), ("w", 1, "z")], "table_name string, n_rows bigint, table_hash string")
+    e = spark.createDataFrame([("t", 1, "h"), ("u", 3, "h"), ("v", 1, "h"), ("w", 1, "h")], "table_name string, n_rows bigint, table_hash string")
+    assert {tuple(r) for r in quality.contract_problems(a, e).collect()} == {("u", "row count differs"), ("v", "missing"), ("w", "content differs")}
