@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_groups
 from .license_scan import license_paragraphs
 from .lm_scoring import lm_scores
 from .mixing import mix
+from .oracles import QUALITY_RULES
 from .pii import pii_digest
 from .quality_classifier import quality_verdicts
 from .quality_rules import quality_rules
@@ -78,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": QUALITY_RULES,
 }
