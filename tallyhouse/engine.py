@@ -55,9 +55,11 @@ class Engine:
             return Answer(Bundle((), (f"plan is {plan.intent}",)))
         bundle, frames = self.frames(plan)
         counts = union([policy.exclusion_counts(df).withColumn("product_type", F.lit(s.product_type.name)) for s, df in frames])
-        source = union([df.where("matched") for _, df in frames])
+        # counts read all rows; every other part reads the matching ones only
+        frames_all, frames = frames, [(s, policy.matching(df, s, self.registry)) for s, df in frames]
+        source = union([df for _, df in frames])
         if plan.intent == "aggregate":
-            return Answer(bundle, aggregates=self.aggregates(plan, frames), counts=counts, source=source)
+            return Answer(bundle, aggregates=self.aggregates(plan, frames_all), counts=counts, source=source)
         if plan.intent == "screen_rank" and any(s.metrics for s, _ in frames):
             return Answer(bundle, ranks=self.ranks(plan, frames), counts=counts, source=source)
         return Answer(bundle, rows=self.rows(plan, frames), counts=counts, source=source)
@@ -108,7 +110,7 @@ class Engine:
             else:
                 order = policy.group_order(by)
             if by:
-                out = out.withColumn("position", F.row_number().over(W.partitionBy("product_type", "partition_key").orderBy(*order)).cast("bigint")).where(F.col("position") <= plan.top_k)
+                out = policy.first_of(out, F.row_number().over(W.partitionBy("product_type", "partition_key").orderBy(*order)), plan.top_k, "position")
             parts.append(out)
         result = union(parts)
         self.guard(plan, result)

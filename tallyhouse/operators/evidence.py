@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import decimal_text, row_hash
+from .policy import first_of
 
 
 def direct(values: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def summaries(counts: DataFrame, kind: str) -> DataFrame:
 def recorded_zeros(values: DataFrame, by: list[str], cap: int) -> DataFrame:
     """Zeros that are recorded but not comparable, the first ``cap`` by id of each group."""
     zero = values.where(~F.col("valid") & F.coalesce(F.col("sort_value") == 0, F.lit(False)))
-    return zero.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy("product_id")).cast("bigint")).where(F.col("position") <= cap)
+    return first_of(zero, F.row_number().over(W.partitionBy(*by).orderBy("product_id")), cap, "position")
 
 
 def point_lookup(evidence: DataFrame, ids: list[str], most: int = 50) -> DataFrame:

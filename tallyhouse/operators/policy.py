@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import COMPARABLE, Metric, Registry
 from ..plans.segments import Segment
-from .predicates import ordinal, test
+from .predicates import condition, ordinal, test
 
 
 def status(name: str) -> str:
@@ -75,6 +75,15 @@ def flagged(df: DataFrame, segment: Segment, registry: Registry) -> DataFrame:
     return df.withColumns({"matched": matched, "population": population, "eligible": eligible(segment.product_type.state, segment.plan.as_of)})
 
 
+def matching(df: DataFrame, segment: Segment, registry: Registry) -> DataFrame:
+    """Rows that match all filters, by bare conditions that reach the scan; for parts that count no excluded rows."""
+    for f in segment.filters:
+        if f.field != "holding_constituent":
+            metric = registry.metric_of(f.field, segment.product_type.name)
+            df = df.where(condition(f, F.col(f.field), metric.kind if metric else registry.fields[f.field].kind, registry.ratings))
+    return df
+
+
 def valid(metric: Metric, ranking: bool) -> Column:
     """Whether a metric's value may be compared; only zeros fall to a policy of positive values."""
     ok = F.col(status(metric.field)).isin(*COMPARABLE) & F.col(metric.field).isNotNull()
@@ -104,6 +113,15 @@ def metric_values(df: DataFrame, segment: Segment, registry: Registry, ranking:
     return out
 
 
+def first_of(df: DataFrame, number: Column, most: int, name: str) -> DataFrame:
+    """Rows whose window number is at most ``most``, as a bigint column.
+
+    The filter stands on the bare window function: only then does the engine
+    put a group limit before the shuffle.
+    """
+    return df.withColumn(name, number).where(F.col(name) <= most).withColumn(name, F.col(name).cast("bigint"))
+
+
 def competition_rank(df: DataFrame, value: str, by: list[str], descending: bool, top_k: int, tie_break: str = "product_id") -> DataFrame:
     """Ranks 1, 1, 3 within ``by`` up to top_k, whole tie groups kept, with the size of each tie group.
 
@@ -111,13 +129,13 @@ def competition_rank(df: DataFrame, value: str, by: list[str], descending: bool,
     engine can then limit each group's rows before the shuffle.
     """
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    ranked = df.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(order)).cast("bigint")).where(F.col("rank") <= top_k)
+    ranked = first_of(df, F.rank().over(W.partitionBy(*by).orderBy(order)), top_k, "rank")
     return ranked.withColumn("tie_count", F.count(F.lit(1)).over(W.partitionBy(*by, "rank")))
 
 
 def evidence_rows(ranked: DataFrame, by: list[str], cap: int, tie_break: str = "product_id") -> DataFrame:
     """The first ``cap`` ranked rows of each partition, ties by id."""
-    return ranked.withColumn("position", F.row_number().over(W.partitionBy(*by).orderBy("rank", tie_break)).cast("bigint")).where(F.col("position") <= cap)
+    return first_of(ranked, F.row_number().over(W.partitionBy(*by).orderBy("rank", tie_break)), cap, "position")
 
 
 def selection(df: DataFrame, order: list[tuple[str, bool]], top_k: int, per: list[str] | None = None, tie_break: str = "product_id") -> DataFrame:
@@ -125,7 +143,7 @@ def selection(df: DataFrame, order: list[tuple[str, bool]], top_k: int, per: lis
     keys = [(F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last()) for c, d in order] + [F.col(tie_break).asc()]
     if not per:
         return df.orderBy(*keys).limit(top_k)
-    return df.withColumn("position", F.row_number().over(W.partitionBy(*per).orderBy(*keys)).cast("bigint")).where(F.col("position") <= top_k)
+    return first_of(df, F.row_number().over(W.partitionBy(*per).orderBy(*keys)), top_k, "position")
 
 
 def aggregated(df: DataFrame, function: str, field: str | None, by: list[str], ok: Column | None = None) -> DataFrame:
@@ -181,7 +199,7 @@ def reversed_selection(df: DataFrame, value: str, descending: bool, top_k: int,
     """The first rows of each partition by (value, id) as one key: a descending order turns the ids round too."""
     order = [F.col(value).desc(), F.col(tie_break).desc()] if descending else [F.col(value).asc(), F.col(tie_break).asc()]
     w = W.partitionBy(*by).orderBy(*order)
-    return df.where(F.col(value).isNotNull()).withColumn("position", F.row_number().over(w).cast("bigint")).where(F.col("position") <= top_k)
+    return first_of(df.where(F.col(value).isNotNull()), F.row_number().over(w), top_k, "position")
 
 
 def shown_values(values: DataFrame, selected: DataFrame) -> DataFrame:

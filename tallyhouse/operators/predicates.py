@@ -29,7 +29,12 @@ def ordinal(rating: Column, ratings: dict[str, int]) -> Column:
 
 
 def test(f: Filter, column: Column, kind: str, ratings: dict[str, int] | None = None) -> Column:
-    """True or false, never null."""
+    """True or false, never null: a flag that can be counted."""
+    return F.coalesce(condition(f, column, kind, ratings), F.lit(False))
+
+
+def condition(f: Filter, column: Column, kind: str, ratings: dict[str, int] | None = None) -> Column:
+    """The bare condition, null on nulls: as a filter it says the same as the flag, and the scan can take it."""
     op, v = f.operator, f.value
     if op == MISSING:
         return column.isNull()
@@ -37,19 +42,17 @@ def test(f: Filter, column: Column, kind: str, ratings: dict[str, int] | None =
         return column.isNotNull()
     if kind == "rating" and op in (GT, GTE, LT, LTE):  # at least as strong is a smaller ordinal
         mirror = {GTE: LTE, LTE: GTE, GT: LT, LT: GT}[op]
-        ok = COMPARE[mirror](ordinal(column, ratings), F.lit(ratings[v]))
-    elif op in (IN, NOT_IN):
+        return COMPARE[mirror](ordinal(column, ratings), F.lit(ratings[v]))
+    if op in (IN, NOT_IN):
         ok = column.isin([literal(x, kind) for x in v])
-        ok = ~ok if op == NOT_IN else ok
-    elif op == BETWEEN:
-        ok = column.between(literal(v[0], kind), literal(v[1], kind))
-    elif op == CONTAINS:
-        ok = column.contains(F.lit(v))
-    elif op == STARTS:
-        ok = column.startswith(F.lit(v))
-    else:
-        ok = COMPARE[op](column, literal(v, kind))
-    return F.coalesce(ok, F.lit(False))
+        return ~ok if op == NOT_IN else ok
+    if op == BETWEEN:
+        return column.between(literal(v[0], kind), literal(v[1], kind))
+    if op == CONTAINS:
+        return column.contains(F.lit(v))
+    if op == STARTS:
+        return column.startswith(F.lit(v))
+    return COMPARE[op](column, literal(v, kind))
 
 
 def semi_exists(owners: DataFrame, relation: DataFrame, on: Column) -> DataFrame:

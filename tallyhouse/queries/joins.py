@@ -22,8 +22,8 @@ def left_match_flag(spark, sf_dir):
     return links.matched(table(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"])
 
 
-@query("nullsafe_join", f"""select a.product_id, (b.region is not null or b.found) as is_matched from (select product_id, region, currency from {silver_sql('part')}) a
-    left join (select distinct region, currency, true as found from {silver_sql('part')} where size < 3) b on a.region is not distinct from b.region and a.currency = b.currency""".replace("(b.region is not null or b.found)", "coalesce(b.found, false)"))
+@query("nullsafe_join", f"""select a.product_id, coalesce(b.found, false) as is_matched from (select product_id, region, currency from {silver_sql('part')}) a
+    left join (select distinct region, currency, true as found from {silver_sql('part')} where size < 3) b on a.region is not distinct from b.region and a.currency = b.currency""")
 def nullsafe_join(spark, sf_dir):
     df = silver(spark, sf_dir, "part")
     return links.matched(df.select("product_id", "region", "currency"), df.where("size < 3"), ["region", "currency"], ("region",)).select("product_id", "is_matched")

@@ -61,7 +61,7 @@ def sort_nulls_last(spark, sf_dir):
     return policy.selection(df, [("balance", True)], 50).select("product_id", F.col("balance").cast("double").alias("balance"))
 
 
-@query("topk_global", f"select product_id, cast(total as double) as total from {silver_sql('orders')} where (issue_date <= date '1998-01-01') and (maturity_date is null or maturity_date >= date '1998-01-01') order by orders_total desc, product_id limit 20".replace("orders_total", "total"))
+@query("topk_global", f"select product_id, cast(total as double) as total from {silver_sql('orders')} s where (issue_date <= date '1998-01-01') and (maturity_date is null or maturity_date >= date '1998-01-01') order by s.total desc, product_id limit 20")
 def topk_global(spark, sf_dir):
     plan = QueryPlan("screen", ("order",), AS_OF, filters=(Filter("total", "is_not_missing"),), sort=(Sort("total", True),), top_k=20)
     return engine(spark, sf_dir).run(plan).rows.select("product_id", F.col("total").cast("double").alias("total"))
