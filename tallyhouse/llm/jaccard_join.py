@@ -37,6 +37,8 @@ from .shared import hash_words, keyed, mix, token_chunks, written
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5
 STEP = 20
+#: Words, and pairs of signatures, that a task works on at once.
+CHUNK, PAIRS = 400_000, 16_384
 #: Members up to which a bucket gives pairs; documents of a block of larger ones.
 SMALL, BLOCK = 32, 256
 
@@ -78,7 +80,7 @@ def signature(own: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, key: str) -> DataFrame:
     """id, set (128-bit hash of the grams; null: none) and signature of each row."""
     def run(batches):
-        for rows, codes, words, lengths in token_chunks(batches, lowered):
+        for rows, codes, words, lengths in token_chunks(batches, lowered, most=CHUNK):
             found = grams(codes, words, lengths)
             yield from pa.table({"id": rows.column(key), "set": pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in found], pa.binary()), "signature": pa.array([signature(g).tobytes() if len(g) else None for g in found], pa.binary())}).to_batches()
 
@@ -163,7 +165,7 @@ def compare_blocks(threshold: float, tolerance: float):
             i, j = np.nonzero(same >= least_matches(STEP, threshold, tolerance))
             if x == y:
                 i, j = i[i < j], j[i < j]
-            kept = [survivors(signs[left[i[p:p + 65536]]], signs[right[j[p:p + 65536]]], threshold, tolerance) + p for p in range(0, len(i), 65536)]
+            kept = [survivors(signs[left[i[p:p + PAIRS]]], signs[right[j[p:p + PAIRS]]], threshold, tolerance) + p for p in range(0, len(i), PAIRS)]
             kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             i, j = i[kept], j[kept]
             if len(i):
@@ -220,11 +222,11 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRE
 def _links(docs: DataFrame, classes: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
     """(cid, linked_to, links, copies): parts of each class's sums, and a class that it is joined to."""
     bucket = W.partitionBy("bucket")
-    members = written(bands(classes).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets")
+    members = written(bands(classes).withColumns({"n": F.count(F.lit(1)).over(bucket), "least": F.min("cid").over(bucket)}).where("n > 1"), "buckets")
     small = members.where(F.col("n") <= SMALL).select("bucket", "cid")
     pairs = small.join(small.select("bucket", F.col("cid").alias("other")), "bucket").where("cid < other").select("cid", "other").distinct()
     large = members.where(F.col("n") > SMALL)
-    cluster = components(large.groupBy("bucket").agg(F.min("cid").alias("b")).join(large.select("bucket", F.col("cid").alias("a")), "bucket").select("a", "b"))
+    cluster = components(large.select(F.col("cid").alias("a"), F.col("least").alias("b")))
     cluster = written(cluster, "clusters")
     # pairs within a cluster are compared there
     pairs = pairs.join(cluster.select(F.col("node").alias("cid"), F.col("component").alias("c")), "cid", "left").join(cluster.select(F.col("node").alias("other"), F.col("component").alias("o")), "other", "left").where("c is null or o is null or c != o").select("cid", "other")
@@ -268,7 +270,7 @@ def _gram_sets(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
         texts = texts.unionByName(docs.where(F.col(key).isNull()).select(key, "text"))
 
     def run(batches):
-        for _, codes, words, lengths in token_chunks(batches, lowered):
+        for _, codes, words, lengths in token_chunks(batches, lowered, most=CHUNK):
             found = [g for g in grams(codes, words, lengths) if len(g)]
             yield from pa.table({"set": pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in found], pa.binary()), "grams": pa.array([g.tobytes() for g in found], pa.binary())}).to_batches(max_chunksize=200)
 

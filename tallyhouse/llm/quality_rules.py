@@ -1,7 +1,7 @@
 """Operator 5: quality rules as a short-circuit cascade.
 
 Every rule rejects documents by one signal. On a bounded sample of documents
-(``SAMPLE``, for the order alone) each rule's time a document and share of
+(at most ``SAMPLE`` of up to ``SAMPLE_CHARS`` characters, for the order alone) each rule's time a document and share of
 rejected documents are measured; the rules then run in descending order of
 rejection per cost, each only over documents that no earlier one rejected. The
 order changes the work, never the verdicts: a document is kept if no rule
@@ -22,10 +22,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import token_chunks
 
-SAMPLE = 1_000
+SAMPLE, SAMPLE_CHARS = 300, 50_000
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,16 +80,14 @@ def measured(texts: list[str]):
 
 
 def cascade_order(docs: DataFrame, rules: dict = RULES, sample: int = SAMPLE) -> list[str]:
-    """The rules' names by rejected documents per second, from a bounded sample of ``docs``; ties by name."""
-    def run(batches):
-        rows = [x for b in batches for x in measured(b.column("text").to_pylist())]
-        for name, rule in rules.items():
-            began = time.perf_counter()
-            rejected = sum(bool(rule(*x)) for x in rows)
-            yield pa.RecordBatch.from_pydict({"name": [name], "rate": [rejected / max(time.perf_counter() - began, 1e-9)]})
-
-    rate = {r["name"]: r["rate"] for r in docs.select("text").limit(sample).mapInArrow(run, "name string, rate double").groupBy("name").max("rate").toDF("name", "rate").collect()}
-    return sorted(rules, key=lambda k: (-rate.get(k, 0.0), k))
+    """The rules' names by rejected documents per second, from the first documents of bounded length; ties by name."""
+    first = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").take(sample)
+    rows, rate = list(measured([r.text for r in first])), {}
+    for name, rule in rules.items():
+        began = time.perf_counter()
+        rejected = sum(bool(rule(*x)) for x in rows)
+        rate[name] = rejected / max(time.perf_counter() - began, 1e-9)
+    return sorted(rules, key=lambda k: (-rate[k], k))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", rules: dict = RULES, order: list[str] | None = None) -> DataFrame:
