@@ -10,9 +10,12 @@ its false alarms at or below ``FALSE_ALARMS`` of the unknown. A predicted
 family is confirmed when enough word pairs of one of its templates stand in
 the paragraph.
 
-Paragraphs are lines. Only those with a cue word (licence, copyright,
-warranty and the like, or a licence's name as it is written) are scored and returned: one
-without them is of no family by definition.
+Paragraphs are lines, and blocks of lines between blank ones, which a
+hard-wrapped licence needs. The model decides on every one whose n-grams could
+outweigh the class unknown; the others cannot be of a family. A line is
+returned where it has a family, or a cue word and none; a block where its
+family is confirmed and none of its lines is confirmed for that family by
+itself. It stands at its first line, in place of its unconfirmed lines.
 
 Defined cases: a null or empty text has no paragraphs; repeated rows are each
 scanned; equal probabilities give the first family by name; an empty table
@@ -33,6 +36,7 @@ from .shared import written
 
 UNKNOWN = "unknown"
 VARIANTS, HELD_OUT, FALSE_ALARMS, CONFIRM = 60, 5, 0.01, 0.5
+#: Lines of no family that are returned all the same.
 CUES = r"(?i:licen[cs]|copyright|warrant|redistribut|permission|public domain|creative commons|rights reserved|proprietary)|\b(?:MIT|GPL|LGPL|BSD|MPL|CC0|CC[ -]BY|Apache|GNU|Mozilla)\b"
 FILLER = "thus house green river often speaks nine window late other stone carry".split()
 
@@ -115,32 +119,82 @@ def known(p: Column, model: dict) -> Column:
     return F.array_max(F.array(*named))
 
 
-def confirmation(words: Column, family: Column) -> Column:
+def confirmation(pairs: Column, family: Column) -> Column:
     """The largest share of a template's word pairs that stand in the paragraph, over the family's templates."""
-    grams = ngrams(words)
     best = F.lit(0.0)
     for name, texts in sorted(TEMPLATES.items()):
         shares = []
         for own in map(template_pairs, texts):
-            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), grams)) / F.lit(len(own)))
+            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), pairs)) / F.lit(len(own)))
         best = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(best)
     return best
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generated column, which the optimizer does not compute again at each use."""
+    return F.explode(F.array(value))
+
+
+def paragraphs(lines: Column, full: Column) -> Column:
+    """Structs (first, last, line): each line, and each block of two lines or more between blank ones; full: which lines are not blank."""
+    def filled(i):
+        return F.coalesce(F.get(full, i), F.lit(False))
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts, ends = F.filter(places, lambda i: filled(i) & ~filled(i - 1)), F.filter(places, lambda i: filled(i) & ~filled(i + 1))
+    blocks = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("first"), e.alias("last"), F.array_join(F.slice(lines, s + 1, e - s + 1), " ").alias("line")))
+    return F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"))), F.filter(blocks, lambda b: b["first"] < b["last"]))
+
+
+def deciding(model: dict) -> list[str]:
+    """N-grams of which a paragraph has one at least if the model gives it a family.
+
+    A family has to outweigh "unknown", so its grams' gains have to make up for
+    the intercepts. Grams whose gains together cannot do that are left out,
+    single words first.
+    """
+    u = model["families"].index(UNKNOWN)
+    rest = [i for i in range(len(model["families"])) if i != u]
+    # at most vocabSize grams
+    gains = {r["gram"]: max(r["weights"][i] - r["weights"][u] for i in rest) for r in model["weights"].collect()}
+    lack, out = min(model["intercepts"][u] - model["intercepts"][i] for i in rest), []
+    if lack <= 0:
+        raise ValueError("a paragraph without known n-grams would have a family")
+    for gram, gain in sorted(gains.items(), key=lambda x: (" " in x[0], x[1], x[0])):
+        if gain > 0:
+            lack -= gain
+            if lack < 1e-6:
+                out.append(gram)
+    return out
+
+
 def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "doc_id") -> DataFrame:
-    """key, paragraph (from 0), family, probability, similarity and confirmed of each paragraph with a cue word."""
+    """key, paragraph (its first line, from 0), family, probability, similarity and confirmed of each paragraph with a family or a cue word."""
     model = model or train(docs.sparkSession)
-    lines = (
-        docs.select(F.col(key).alias(key), "text").where(F.col("text").rlike(CUES)).withColumn("row", F.monotonically_increasing_id())
-        .select(key, "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(CUES))
-        .withColumn("words", tokens(F.col("line")))
-    )
-    # every paragraph has a gram, and one without any known gram gets the intercepts from this one
+    texts = docs.select(F.col(key).alias(key), "text").where("text is not null").withColumn("row", F.monotonically_increasing_id()).select(key, "row", once(F.split("text", "\n")).alias("lines"))
+    texts = texts.select("*", once(F.transform("lines", lambda x: x.rlike(r"\S"))).alias("full"))
+    units = texts.select(key, "row", F.inline(paragraphs(F.col("lines"), F.col("full"))))
+    units = units.select(key, "row", "first", "last", ((F.col("first") == F.col("last")) & F.col("line").rlike(CUES)).alias("cue"), once(tokens(F.col("line"))).alias("words"))
+    units = units.select("*", once(F.array_distinct(ngrams(F.col("words")))).alias("grams")).where(F.col("cue") | F.arrays_overlap("grams", F.array(*map(F.lit, deciding(model))).cast("array<string>")))
+    # only what the model and the templates know goes on, so that rows stay small however long a paragraph is
+    pairs = sorted({g for ts in TEMPLATES.values() for t in ts for g in template_pairs(t)})
+    vocabulary = [r["gram"] for r in model["weights"].select("gram").orderBy("gram").collect()]
+    units = units.withColumn("pairs", F.array_intersect("grams", F.array(*map(F.lit, pairs)))).withColumn("grams", F.array_intersect("grams", F.array(*map(F.lit, vocabulary))))
     n = len(model["families"])
-    scored = lines.select(key, "row", "paragraph", "words", F.explode(F.array_distinct(ngrams(F.col("words")))).alias("gram")).join(F.broadcast(model["weights"]), "gram", "left")
-    sums = scored.groupBy(key, "row", "paragraph", "words").agg(*(F.coalesce(F.sum(F.element_at("weights", i + 1)), F.lit(0.0)).alias(f"w{i}") for i in range(n)))
-    found = sums.select(key, "paragraph", "words", known(softmax(F.array(*(F.round(F.col(f"w{i}") + F.lit(model["intercepts"][i]), 9) for i in range(n))), F.lit(model["temperature"])), model).alias("best"))
+    unit = [key, "row", "first", "last", "cue", "pairs"]
+    scored = units.select(*unit, F.explode_outer("grams").alias("gram")).join(F.broadcast(model["weights"]), "gram", "left")
+    sums = scored.groupBy(*unit).agg(*(F.coalesce(F.sum(F.element_at("weights", i + 1)), F.lit(0.0)).alias(f"w{i}") for i in range(n)))
+    found = sums.select(*unit, known(softmax(F.array(*(F.round(F.col(f"w{i}") + F.lit(model["intercepts"][i]), 9) for i in range(n))), F.lit(model["temperature"])), model).alias("best"))
     family = F.when(F.col("best.p") > model["least"], F.col("best.family")).otherwise(UNKNOWN)
-    found = found.select(key, F.col("paragraph").cast("bigint").alias("paragraph"), "words", family.alias("family"), F.round("best.p", 6).alias("probability"))
-    found = found.withColumn("similarity", F.round(confirmation(F.col("words"), F.col("family")), 6))
-    return found.select(key, "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    found = found.select(*unit, family.alias("family"), F.round("best.p", 6).alias("probability")).where((F.col("family") != UNKNOWN) | F.col("cue"))
+    found = found.withColumn("similarity", F.round(confirmation(F.col("pairs"), F.col("family")), 6)).withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    one = F.struct("first", "last", "family", "probability", "similarity", "confirmed")
+    of_text = found.groupBy(key, "row").agg(F.collect_list(one).alias("found"))
+
+    def inside(line, block):
+        return (line["first"] == line["last"]) & (line["first"] >= block["first"]) & (line["last"] <= block["last"])
+
+    blocks = F.filter("found", lambda b: (b["first"] < b["last"]) & b["confirmed"] & ~F.exists("found", lambda x: inside(x, b) & x["confirmed"] & (x["family"] == b["family"])))
+    lines = F.filter("found", lambda x: (x["first"] == x["last"]) & (x["confirmed"] | ~F.exists("blocks", lambda b: inside(x, b))))
+    of_text = of_text.withColumn("blocks", blocks).select(key, F.inline(F.concat(lines, "blocks")))
+    return of_text.select(key, F.col("first").cast("bigint").alias("paragraph"), "family", "probability", "similarity", "confirmed")

@@ -10,6 +10,7 @@ TEMPLATES = {
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "License: apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -25,10 +26,16 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "Released under the GPL, version 2 or later.",
+        "Released under GPLv2.",
+        "Released under GPLv3.",
+        "License: GPL v2",
+        "License: GPL v3",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "Released under LGPLv2.1.",
+        "Released under LGPLv3.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -71,5 +78,7 @@ OTHER = [
     "The rights of the tenants were reserved for a later debate.",
     "Fishing licences are sold at the village shop in version A and B.",
     "The foundation published the terms of the prize in the paper.",
+    "Wir fahren mit dem Zug und mit den Kindern an die See.",
+    "Er sprach mit ihr, mit uns und mit allen Leuten im Dorf.",
     "The common name of the plant is not a public matter.",
 ]

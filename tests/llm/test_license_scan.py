@@ -32,3 +32,10 @@ def test_cases(spark, model):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert UNKNOWN not in TEMPLATES
+
+
+def test_paragraphs_without_cue_lines(spark, model):
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the\nSoftware without restriction."
+    rows = [(1, "Some prose.\n\n" + wrapped + "\n\nMore."), (2, "Released under GPLv3"), (3, "Released under LGPLv2.1"), (4, "apache-2.0"), (5, "released under gpl v2"), (6, "released under the mit license"), (7, "if a copy of the mpl was not distributed with this file, you can obtain one"), (8, "We walked on to the river, and the others came later.\nThat was it.")]
+    got = {(r.doc_id, r.paragraph, r.family) for r in license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {(1, 2, "mit"), (2, 0, "gpl"), (3, 0, "lgpl"), (4, 0, "apache-2.0"), (5, 0, "gpl"), (6, 0, "mit"), (7, 0, "mpl-2.0")}
