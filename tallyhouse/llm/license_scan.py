@@ -1,29 +1,38 @@
 """Operator 3: licence families of paragraphs, with DataFrame and SQL functions only.
 
-A multinomial logistic regression over sparse word n-grams (one and two
-words, L1 penalty) is trained on variants of template sentences: with words
-left out and with foreign words around them. Its class "unknown" learns from
-prose with the words of licences and from templates with their words in
-shuffled order. On held-out variants a temperature is chosen that makes the
-probabilities most likely, and the least probability of a family that keeps
-its false alarms at or below ``FALSE_ALARMS`` of the unknown. A predicted
-family is confirmed when enough word pairs of one of its templates stand in
-the paragraph.
-
-Paragraphs are lines, and blocks of lines between blank ones, which a
-hard-wrapped licence needs. The model decides on every one whose n-grams could
-outweigh the class unknown; the others cannot be of a family. A line is
-returned where it has a family, or a cue word and none; a block where its
-family is confirmed and none of its lines is confirmed for that family by
-itself. It stands at its first line, in place of its unconfirmed lines.
+A multinomial logistic regression over sparse word n-grams (one and two words,
+ridge penalty) is trained on the paragraphs of whole licence texts and on notices
+made by rule: whole, as spans that a line break leaves, with words left out,
+and with foreign words around them. Its class "unknown" learns from a bounded
+sample of the corpus' own paragraphs (those that share little with any
+template), from prose with the words of licences, and from templates with their
+words in shuffled order. A part of the templates, not of their variants, is
+left out of a first model: on it, a temperature is chosen that makes the
+probabilities most likely, and the least probability of a family that keeps its
+false alarms at or below ``FALSE_ALARMS`` of the unknown. The model in use then
+learns from all templates. A predicted family is confirmed when a paragraph and
+one of its templates share enough of their word pairs, measured against the
+smaller of the two.
+
+Paragraphs are lines, and, for hard-wrapped text, the short lines (up to
+``SHORT_LINE`` characters) among ``SPAN`` neighbouring ones. The model decides
+on all of them: a paragraph is set aside before its n-grams are added up only
+where it has too few n-grams of positive weight to outweigh "unknown", whatever
+they are. Returned is a paragraph of which the model holds some licence likelier
+than none; its family is "unknown" where no single one is likely enough. A
+wrapped paragraph is returned where none of its lines is confirmed for its
+family by itself and no overlapping one before it has that family; unconfirmed
+lines within it are left out.
 
 Defined cases: a null or empty text has no paragraphs; repeated rows are each
 scanned; equal probabilities give the first family by name; an empty table
-gives no rows; other columns are ignored.
+gives no rows (its unknown class then learns from the fixed sentences alone);
+other columns are ignored; a very long line is one paragraph.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -31,25 +40,32 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import OTHER, TEMPLATES
+from .license_texts import NAMES, NOTICES, OTHER, PARAGRAPHS, SHORT
 from .shared import written
 
 UNKNOWN = "unknown"
-VARIANTS, HELD_OUT, FALSE_ALARMS, CONFIRM = 60, 5, 0.01, 0.5
-#: Lines of no family that are returned all the same.
-CUES = r"(?i:licen[cs]|copyright|warrant|redistribut|permission|public domain|creative commons|rights reserved|proprietary)|\b(?:MIT|GPL|LGPL|BSD|MPL|CC0|CC[ -]BY|Apache|GNU|Mozilla)\b"
+#: Variants of a paragraph and of a notice; one template in HELD_OUT calibrates.
+VARIANTS, NOTICE_VARIANTS, HELD_OUT, FALSE_ALARMS, CONFIRM = 12, 2, 6, 0.01, 0.5
+#: Paragraphs without words that teach the unknown class.
+EMPTY = 500
+#: Paragraphs of the corpus at most, from as many documents, that teach the unknown class; the characters of each at most.
+CORPUS_SAMPLE, SAMPLE_CHARS = 2_000, 2_000
+LEAST_SPREAD = 0.2
+SHORT_LINE, SPAN, STEP = 100, 6, 3
+#: Word pairs that a paragraph or template shares at least with a template to be compared by the smaller one.
+LEAST_PAIRS = 2
+WORD = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 FILLER = "thus house green river often speaks nine window late other stone carry".split()
 
 
 def tokens(text: Column) -> Column:
     """Words of letters, digits and inner dots, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)*)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def template_pairs(text: str) -> list[str]:
-    """The distinct word pairs of a constant text, as ``ngrams(tokens(...))`` has them."""
-    words = re.findall(r"[a-z0-9]+(?:\.[a-z0-9]+)*", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+def template_words(text: str) -> list[str]:
+    """The words of a constant text, as ``tokens`` has them."""
+    return re.findall(WORD, text.lower())
 
 
 def ngrams(words: Column) -> Column:
@@ -58,59 +74,125 @@ def ngrams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def templates() -> list[tuple[str, str, str, bool]]:
+    """(family, text, kind, held) of all templates; held: left out of the first model."""
+    out = [(k, t, "paragraph", i % HELD_OUT == HELD_OUT - 1) for k, ts in sorted(PARAGRAPHS.items()) for i, t in enumerate(ts)]
+    for k, (names, ids) in sorted(NAMES.items()):
+        out += [(k, p.format(n), "notice", (i + j) % HELD_OUT == 0) for i, n in enumerate(names) for j, p in enumerate(NOTICES)]
+        out += [(k, p.format(n), "notice", (i + j) % HELD_OUT == 0) for i, n in enumerate(ids) for j, p in enumerate(SHORT)]
+    return out + [(UNKNOWN, t, "notice", i % HELD_OUT == 0) for i, t in enumerate(OTHER)]
+
+
+def template_pairs() -> list[tuple[str, int, str]]:
+    """(family, number of its pairs, pair) for each template that has pairs; templates with the same pairs once."""
+    seen = {}
+    for k, t, _, _ in templates():
+        w = template_words(t)
+        if k != UNKNOWN and len(w) > 1:
+            seen[(k, tuple(sorted({f"{a} {b}" for a, b in zip(w, w[1:])})))] = None
+    return [(k, i, len(ps), p) for i, (k, ps) in enumerate(seen) for p in ps]
+
+
+def one_of(grams: list[str], name: str = "g") -> str:
+    """SQL that tells whether a gram is one of a constant list, by a hash table."""
+    return f"{name} in ({', '.join(repr(g) for g in grams)})" if grams else "false"
+
+
 def examples(spark: SparkSession) -> DataFrame:
-    """(family, words, variant) of the training sentences."""
-    given = [F.struct(F.lit(k).alias("family"), F.lit(t).alias("text")) for k, ts in sorted(TEMPLATES.items()) for t in ts] + [F.struct(F.lit(UNKNOWN).alias("family"), F.lit(t).alias("text")) for t in OTHER]
-    base = spark.range(1).select(F.inline(F.array(*given))).withColumn("words", tokens(F.col("text")))
+    """(family, words, held) of the training sentences: the templates' variants."""
+    base = spark.createDataFrame(templates(), "family string, text string, kind string, held boolean").coalesce(1).withColumn("words", tokens(F.col("text")))
     filler = F.array(*map(F.lit, FILLER))
-    wide = base.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    wide = base.withColumn("variant", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "paragraph", VARIANTS - 1).otherwise(NOTICE_VARIANTS - 1))))
 
     def random(*what) -> Column:  # a fixed number in 0..99 for each thing
-        return F.pmod(F.xxhash64("text", "variant", *what), F.lit(100))
+        return F.pmod(F.xxhash64("text", "variant", *what), F.lit(100)).cast("int")
 
     def noise(side: int, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(filler, (F.pmod(F.xxhash64("text", "variant", F.lit(side), i), F.lit(len(FILLER))) + 1).cast("int")))
 
-    thinned = F.filter("words", lambda w, i: (F.col("variant") == 0) | (random(i) >= F.col("variant") % 4 * 4))
+    size = F.size("words")
+    # spans of a paragraph, as line breaks leave them: 8 words at least
+    length = F.least(size, F.greatest(F.lit(8), F.floor(size * (random(F.lit(3)) + 1) / 100).cast("int")))
+    span = F.slice("words", F.floor((size - length) * random(F.lit(4)) / 99).cast("int") + 1, length)
+    is_span = (F.col("kind") == "paragraph") & (F.col("variant") % 2 == 1)
+    chosen = wide.withColumn("words", F.when(is_span, span).otherwise(F.col("words")))
+    thinned = F.filter("words", lambda w, i: (F.col("kind") == "notice") | (F.col("variant") % 4 < 2) | (random(i) >= 10))
     around = F.when(F.col("variant") % 3 == 1, F.concat(noise(1, 4), thinned)).when(F.col("variant") % 3 == 2, F.concat(thinned, noise(2, 6))).otherwise(thinned)
     shuffled = F.transform(F.array_sort(F.transform("words", lambda w, i: F.struct(F.xxhash64("variant", w, i).alias("at"), w.alias("w")))), lambda x: x["w"])
-    salad = wide.where(f"family != '{UNKNOWN}' and variant % 6 = 0 and size(words) > 5").select(F.lit(UNKNOWN).alias("family"), shuffled.alias("words"), "variant")
-    return wide.select("family", around.alias("words"), "variant").unionByName(salad).withColumn("held", F.pmod(F.xxhash64("words", "variant"), F.lit(HELD_OUT)) == 0)
-
-
-def train(spark: SparkSession) -> dict:
-    """The model: families by class, intercepts, a table (gram, weights) in the shared folder, temperature and least probability."""
-    data = written(examples(spark).withColumn("grams", F.array_distinct(ngrams(F.col("words")))), "licence-examples")
-    families = sorted([*TEMPLATES, UNKNOWN])
+    salad = wide.where(f"family != '{UNKNOWN}' and variant = 0 and size(words) > 12").select(F.lit(UNKNOWN).alias("family"), shuffled.alias("words"), "held")
+    # the foreign words alone speak for no family
+    empty = spark.range(0, EMPTY, 1, 1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"), (F.col("id") % HELD_OUT == 0).alias("held"))
+    plain = wide.where("variant % 3 = 1").select(F.lit(UNKNOWN).alias("family"), F.concat(noise(1, 4), noise(2, 6)).alias("words"), "held")
+    return chosen.select("family", around.alias("words"), "held").unionByName(salad).unionByName(plain).unionByName(empty)
+
+
+def corpus_sample(docs: DataFrame, most: int = CORPUS_SAMPLE) -> DataFrame:
+    """words of at most so many lines of the corpus, one of a document, that share under a fifth of the pairs of every template."""
+    n = docs.count()
+    share = min(1.0, most / max(1, n)) * 0.9  # most documents have a line with words
+    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
+    line = F.get(lines, F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.size(lines), F.lit(1))).cast("int"))
+    words = chosen.select(F.substring(line, 1, SAMPLE_CHARS).alias("line")).where("line is not null").limit(most).select(tokens(F.col("line")).alias("words"))
+    rows = words.where(F.size("words") > 0).withColumn("uid", F.monotonically_increasing_id())
+    pairs = docs.sparkSession.createDataFrame(template_pairs(), "family string, template int, size int, pair string")
+    rows = written(rows, "licence-corpus")
+    near = rows.select("uid", F.explode(F.array_distinct(ngrams(F.col("words")))).alias("pair")).join(F.broadcast(pairs), "pair").groupBy("uid", "template", "size").count().where("count >= 2 and 5 * count >= size").select("uid").distinct()
+    return rows.join(near, "uid", "left_anti").select("words")
+
+
+def fit(spark: SparkSession, data: DataFrame) -> dict:
+    """Families by class, intercepts, and weights of each n-gram of a table (family, grams)."""
+    families = sorted([*PARAGRAPHS, UNKNOWN])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    counted = CountVectorizer(inputCol="grams", outputCol="features", minDF=2.0, vocabSize=20_000, binary=True).fit(data.where("not held"))
-    model = LogisticRegression(regParam=0.002, elasticNetParam=0.5, maxIter=60, family="multinomial").fit(counted.transform(data.where("not held").withColumn("label", label)))
+    counted = CountVectorizer(inputCol="grams", outputCol="features", minDF=3.0, vocabSize=20_000, binary=True).fit(data)
+    model = LogisticRegression(regParam=3e-5, maxIter=40, family="multinomial").fit(counted.transform(data.withColumn("label", label)).select("label", "features"))
     weights = model.coefficientMatrix.toArray()
-    rows = [(g, [float(x) for x in weights[:, i]]) for i, g in enumerate(counted.vocabulary) if (weights[:, i] != 0).any()]
-    table = written(spark.createDataFrame(rows, "gram string, weights array<double>"), "licence-weights")
-    out = {"families": families, "intercepts": [float(x) for x in model.interceptVector], "weights": table, "temperature": 1.0, "least": 0.5}
-    held = written(logits(data.where("held").withColumn("uid", F.monotonically_increasing_id()), ["uid", "family"], out).withColumn("label", label.cast("int")), "licence-held")
-    grid = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
-    loss = held.select(F.explode(F.array(*map(F.lit, grid))).alias("t"), "logits", "label").select("t", F.log(F.element_at(softmax(F.col("logits"), F.col("t")), F.col("label") + 1)).alias("p")).groupBy("t").agg(F.avg("p").alias("p")).orderBy(F.desc("p"), "t").first()
+    # n-grams that tell the families from each other by next to nothing are left out of the model
+    spread = weights.max(axis=0) - weights.min(axis=0)
+    rows = [(g, [float(x) for x in weights[:, i]]) for i, g in enumerate(counted.vocabulary) if spread[i] >= LEAST_SPREAD]
+    return {"families": families, "intercepts": [float(x) for x in model.interceptVector], "rows": rows, "weights": spark.createDataFrame(rows, "gram string, weights array<double>").coalesce(1), "temperature": 1.0, "least": 0.5}
+
+
+def train(docs: DataFrame) -> dict:
+    """The model: families by class, intercepts, weights (rows, and a table gram, weights), temperature, least probability, and the recall of held-out templates."""
+    spark = docs.sparkSession
+    grams = F.array_distinct(ngrams(F.col("words"))).alias("grams")
+    own = corpus_sample(docs).select(F.lit(UNKNOWN).alias("family"), grams, (F.pmod(F.xxhash64("words"), F.lit(HELD_OUT)) == 0).alias("held"))
+    data = written(examples(spark).select("family", grams, "held").unionByName(own).coalesce(1), "licence-examples")
+    first = fit(spark, data.where("not held"))
+    label = F.array_position(F.array(*map(F.lit, first["families"])), F.col("family")).cast("int")
+    held = written(logits(data.where("held").withColumn("uid", F.monotonically_increasing_id()), ["uid", "family"], first).withColumn("label", label), "licence-held")
+    grid = with_softmax(held.withColumn("t", F.explode(F.array(*map(F.lit, [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0])))), F.col("t"))
+    loss = grid.select("t", F.log(F.element_at("p", F.col("label"))).alias("p")).groupBy("t").agg(F.avg("p").alias("p")).orderBy(F.desc("p"), "t").first()
+    out = fit(spark, data)
     out["temperature"] = loss["t"]
-    best = known(softmax(F.col("logits"), F.lit(out["temperature"])), out)
-    alarms = held.where(F.col("family") == UNKNOWN).select(best["p"].alias("p")).agg(F.percentile("p", 1 - FALSE_ALARMS)).first()[0]
+    judged = written(with_softmax(held, F.lit(out["temperature"])).select("family", known(F.col("p"), out).alias("best")), "licence-judged")
+    alarms = judged.where(F.col("family") == UNKNOWN).agg(F.percentile("best.p", 1 - FALSE_ALARMS)).first()[0]
     out["least"] = max(0.5, alarms or 0.0)
+    out["recall"] = judged.where(F.col("family") != UNKNOWN).agg(F.avg(((F.col("best.family") == F.col("family")) & (F.col("best.p") > out["least"])).cast("double"))).first()[0]
     return out
 
 
-def logits(frame: DataFrame, keep: list[str], model: dict) -> DataFrame:
-    """keep and the classes' logits of each row of ``frame`` (grams: distinct n-grams); keep identifies a row."""
+def logits(frame: DataFrame, keep: list[str], model: dict, likely: bool = False) -> DataFrame:
+    """keep and the classes' logits, rounded to nine digits, of each row of ``frame`` (grams: distinct n-grams); keep identifies a row. likely: only rows with P(unknown) < 1/2."""
     n = len(model["families"])
     # at most vocabSize grams of the templates, so the side is safe to broadcast
-    hits = frame.select(*keep, F.explode("grams").alias("gram")).join(F.broadcast(model["weights"]), "gram")
-    sums = hits.groupBy(*keep).agg(*(F.sum(F.element_at("weights", i + 1)).alias(f"w{i}") for i in range(n)))
-    return sums.select(*keep, F.array(*(F.col(f"w{i}") + F.lit(model["intercepts"][i]) for i in range(n))).alias("logits"))
+    hits = frame.select(*keep, F.explode_outer("grams").alias("gram")).join(F.broadcast(model["weights"]), "gram", "left")
+    sums = hits.groupBy(*keep).agg(*(F.coalesce(F.sum(F.element_at("weights", i + 1)), F.lit(0.0)).alias(f"w{i}") for i in range(n)))
+    sums = sums.select(*keep, *(F.round(F.col(f"w{i}") + F.lit(model["intercepts"][i]), 9).alias(f"w{i}") for i in range(n)))
+    if likely:
+        u = model["families"].index(UNKNOWN)
+        sums = sums.where(sum((F.exp((F.col(f"w{i}") - F.col(f"w{u}")) / F.lit(model["temperature"])) for i in range(n) if i != u), F.lit(0.0)) > 1)
+    return sums.select(*keep, F.array(*(f"w{i}" for i in range(n))).alias("logits"))
 
 
-def softmax(x: Column, temperature: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / temperature))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def with_softmax(frame: DataFrame, temperature: Column) -> DataFrame:
+    """``frame`` with p: the classes' probabilities from its column logits."""
+    raised = frame.withColumn("top", F.array_max("logits")).withColumn("temperature", temperature)
+    raised = raised.select("*", once(F.transform("logits", lambda v: F.exp((v - F.col("top")) / F.col("temperature")))).alias("raised"))
+    raised = raised.select("*", once(F.aggregate("raised", F.lit(0.0), lambda a, b: a + b)).alias("all_raised"))
+    return raised.select("*", once(F.transform("raised", lambda v: v / F.col("all_raised"))).alias("p")).drop("top", "raised", "all_raised")
 
 
 def known(p: Column, model: dict) -> Column:
@@ -119,82 +201,77 @@ def known(p: Column, model: dict) -> Column:
     return F.array_max(F.array(*named))
 
 
-def confirmation(pairs: Column, family: Column) -> Column:
-    """The largest share of a template's word pairs that stand in the paragraph, over the family's templates."""
-    best = F.lit(0.0)
-    for name, texts in sorted(TEMPLATES.items()):
-        shares = []
-        for own in map(template_pairs, texts):
-            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), pairs)) / F.lit(len(own)))
-        best = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(best)
-    return best
-
-
 def once(value: Column) -> Column:
     """``value`` as a generated column, which the optimizer does not compute again at each use."""
     return F.explode(F.array(value))
 
 
-def paragraphs(lines: Column, full: Column) -> Column:
-    """Structs (first, last, line): each line, and each block of two lines or more between blank ones; full: which lines are not blank."""
-    def filled(i):
-        return F.coalesce(F.get(full, i), F.lit(False))
-
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    starts, ends = F.filter(places, lambda i: filled(i) & ~filled(i - 1)), F.filter(places, lambda i: filled(i) & ~filled(i + 1))
-    blocks = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("first"), e.alias("last"), F.array_join(F.slice(lines, s + 1, e - s + 1), " ").alias("line")))
-    return F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line"))), F.filter(blocks, lambda b: b["first"] < b["last"]))
-
-
-def deciding(model: dict) -> list[str]:
-    """N-grams of which a paragraph has one at least if the model gives it a family.
+def gains(model: dict) -> tuple[list[tuple[float, list[str]]], float]:
+    """N-grams by the most that they can speak for a family against "unknown", in levels, and the sum that a returned paragraph has at least.
 
-    A family has to outweigh "unknown", so its grams' gains have to make up for
-    the intercepts. Grams whose gains together cannot do that are left out,
-    single words first.
+    A returned paragraph has P(unknown) < 1/2, so for some family f of n:
+    z_f - z_unknown > -T ln(n). Its grams' gains make up for the intercepts,
+    and no gram's gain is beyond the most of its level. A paragraph without
+    any gain is of no family.
     """
     u = model["families"].index(UNKNOWN)
     rest = [i for i in range(len(model["families"])) if i != u]
-    # at most vocabSize grams
-    gains = {r["gram"]: max(r["weights"][i] - r["weights"][u] for i in rest) for r in model["weights"].collect()}
-    lack, out = min(model["intercepts"][u] - model["intercepts"][i] for i in rest), []
-    if lack <= 0:
-        raise ValueError("a paragraph without known n-grams would have a family")
-    for gram, gain in sorted(gains.items(), key=lambda x: (" " in x[0], x[1], x[0])):
-        if gain > 0:
-            lack -= gain
-            if lack < 1e-6:
-                out.append(gram)
-    return out
+    lack = min(model["intercepts"][u] - model["intercepts"][i] for i in rest) - model["temperature"] * math.log(len(rest)) - 1e-6
+    most = {g: max(w[i] - w[u] for i in rest) for g, w in model["rows"]}
+    levels: dict[float, list[str]] = {}
+    for g, x in most.items():
+        if x > 0:
+            levels.setdefault(max(0.125, 2.0 ** (math.ceil(2 * math.log2(x)) / 2)), []).append(g)
+    return sorted(levels.items()), lack
+
+
+def paragraphs(lines: Column, short: Column) -> Column:
+    """Structs (first, last, line): each line, and the short ones among SPAN neighbours, from every STEP-th line on, where there are two or more."""
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line")))
+    starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(STEP))
+    # places of the short lines of each span
+    spans = F.transform(starts, lambda s: F.filter(F.sequence(s, F.least(s + SPAN, F.size(lines)) - 1), lambda i: F.get(short, i)))
+    spans = F.transform(F.filter(spans, lambda x: F.size(x) > 1), lambda x: F.struct(F.get(x, 0).alias("first"), F.get(x, F.size(x) - 1).alias("last"), F.array_join(F.transform(x, lambda i: F.get(lines, i)), " ").alias("line")))
+    return F.concat(each, F.when(F.exists(short, lambda x: x), spans).otherwise(F.array().cast("array<struct<first:int,last:int,line:string>>")))
 
 
 def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "doc_id") -> DataFrame:
-    """key, paragraph (its first line, from 0), family, probability, similarity and confirmed of each paragraph with a family or a cue word."""
-    model = model or train(docs.sparkSession)
+    """key, paragraph (its first line, from 0), family, probability, similarity and confirmed of each paragraph that is likelier of a licence than not."""
+    model = model or train(docs)
+    spark = docs.sparkSession
+    levels, lack = gains(model)
     texts = docs.select(F.col(key).alias(key), "text").where("text is not null").withColumn("row", F.monotonically_increasing_id()).select(key, "row", once(F.split("text", "\n")).alias("lines"))
-    texts = texts.select("*", once(F.transform("lines", lambda x: x.rlike(r"\S"))).alias("full"))
-    units = texts.select(key, "row", F.inline(paragraphs(F.col("lines"), F.col("full"))))
-    units = units.select(key, "row", "first", "last", ((F.col("first") == F.col("last")) & F.col("line").rlike(CUES)).alias("cue"), once(tokens(F.col("line"))).alias("words"))
-    units = units.select("*", once(F.array_distinct(ngrams(F.col("words")))).alias("grams")).where(F.col("cue") | F.arrays_overlap("grams", F.array(*map(F.lit, deciding(model))).cast("array<string>")))
-    # only what the model and the templates know goes on, so that rows stay small however long a paragraph is
-    pairs = sorted({g for ts in TEMPLATES.values() for t in ts for g in template_pairs(t)})
-    vocabulary = [r["gram"] for r in model["weights"].select("gram").orderBy("gram").collect()]
-    units = units.withColumn("pairs", F.array_intersect("grams", F.array(*map(F.lit, pairs)))).withColumn("grams", F.array_intersect("grams", F.array(*map(F.lit, vocabulary))))
-    n = len(model["families"])
-    unit = [key, "row", "first", "last", "cue", "pairs"]
-    scored = units.select(*unit, F.explode_outer("grams").alias("gram")).join(F.broadcast(model["weights"]), "gram", "left")
-    sums = scored.groupBy(*unit).agg(*(F.coalesce(F.sum(F.element_at("weights", i + 1)), F.lit(0.0)).alias(f"w{i}") for i in range(n)))
-    found = sums.select(*unit, known(softmax(F.array(*(F.round(F.col(f"w{i}") + F.lit(model["intercepts"][i]), 9) for i in range(n))), F.lit(model["temperature"])), model).alias("best"))
-    family = F.when(F.col("best.p") > model["least"], F.col("best.family")).otherwise(UNKNOWN)
-    found = found.select(*unit, family.alias("family"), F.round("best.p", 6).alias("probability")).where((F.col("family") != UNKNOWN) | F.col("cue"))
-    found = found.withColumn("similarity", F.round(confirmation(F.col("pairs"), F.col("family")), 6)).withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    texts = texts.select("*", once(F.transform("lines", lambda x: (F.length(x) <= SHORT_LINE) & x.rlike("[A-Za-z0-9]"))).alias("short"))
+    units = texts.select(key, "row", F.inline(paragraphs(F.col("lines"), F.col("short")))).select(key, "row", "first", "last", once(tokens(F.col("line"))).alias("words"))
+    units = units.select(key, "row", "first", "last", "words", once(ngrams(F.col("words"))).alias("all"))
+    # only a paragraph whose n-grams' gains could reach what is lacking can outweigh unknown
+    units = units.select("*", once(F.expr(f"array_distinct(filter(all, g -> {one_of([g for _, x in levels for g in x])}))")).alias("positive")).where(F.size("positive") > 0)
+    most = F.expr(f"aggregate(positive, 0D, (a, g) -> a + case {' '.join(f'when {one_of(x)} then {v}D' for v, x in levels)} else 0D end)")
+    units = units.where(most >= lack)
+    vocabulary = sorted({g for g, _ in model["rows"]})
+    pairs = template_pairs()
+    units = units.select(
+        key, "row", "first", "last", F.expr(f"array_distinct(filter(all, g -> {one_of(vocabulary)}))").alias("grams"),
+        F.expr(f"array_distinct(filter(all, g -> {one_of(sorted({p for *_, p in pairs}))}))").alias("pairs"), F.size(F.array_distinct(F.slice("all", F.size("words") + 1, F.size("words")))).alias("n_pairs"))
+    unit = [key, "row", "first", "last", "n_pairs", "pairs"]
+    found = with_softmax(logits(units, unit, model, likely=True), F.lit(model["temperature"])).select(*unit, once(known(F.col("p"), model)).alias("best"))
+    found = found.select(*unit, F.when(F.col("best.p") > model["least"], F.col("best.family")).otherwise(UNKNOWN).alias("family"), F.round("best.p", 6).alias("probability"))
+    # the templates' pairs: a fixed table
+    table = spark.createDataFrame(pairs, "of string, template int, size int, pair string")
+    own = [c for c in unit if c != "pairs"] + ["family", "probability"]
+    shared = found.select(*own, F.explode_outer("pairs").alias("pair")).join(F.broadcast(table), "pair", "left").where("of is null or of = family or family = 'unknown'")
+    shared = shared.groupBy(*own, "template").agg(F.sum(F.when(F.col("of") == F.col("family"), 1).otherwise(0)).alias("common"), F.first("size").alias("size"))
+    smaller = F.greatest(F.least(F.col("size"), F.col("n_pairs")), F.lit(LEAST_PAIRS))
+    found = shared.groupBy(*own).agg(F.round(F.coalesce(F.max(F.least(F.lit(1.0), F.col("common") / smaller)), F.lit(0.0)), 6).alias("similarity")).withColumn("confirmed", F.col("similarity") >= CONFIRM)
     one = F.struct("first", "last", "family", "probability", "similarity", "confirmed")
     of_text = found.groupBy(key, "row").agg(F.collect_list(one).alias("found"))
 
-    def inside(line, block):
-        return (line["first"] == line["last"]) & (line["first"] >= block["first"]) & (line["last"] <= block["last"])
+    def inside(line, span):
+        return (line["first"] == line["last"]) & (line["first"] >= span["first"]) & (line["last"] <= span["last"])
 
-    blocks = F.filter("found", lambda b: (b["first"] < b["last"]) & b["confirmed"] & ~F.exists("found", lambda x: inside(x, b) & x["confirmed"] & (x["family"] == b["family"])))
-    lines = F.filter("found", lambda x: (x["first"] == x["last"]) & (x["confirmed"] | ~F.exists("blocks", lambda b: inside(x, b))))
-    of_text = of_text.withColumn("blocks", blocks).select(key, F.inline(F.concat(lines, "blocks")))
+    spans = F.filter("found", lambda b: (b["first"] < b["last"]) & b["confirmed"] & (b["family"] != UNKNOWN) & ~F.exists("found", lambda x: inside(x, b) & x["confirmed"] & (x["family"] == b["family"])))
+    of_text = of_text.withColumn("spans", spans)
+    heads = F.filter("spans", lambda b: ~F.exists("spans", lambda x: (x["family"] == b["family"]) & (x["first"] < b["first"]) & (x["last"] >= b["first"])))
+    lines = F.filter("found", lambda x: (x["first"] == x["last"]) & (x["confirmed"] | ~F.exists("spans", lambda b: inside(x, b))))
+    of_text = of_text.select(key, F.inline(F.concat(lines, heads)))
     return of_text.select(key, F.col("first").cast("bigint").alias("paragraph"), "family", "probability", "similarity", "confirmed")
