@@ -7,12 +7,11 @@ and with foreign words around them. Its class "unknown" learns from a bounded
 sample of the corpus' own paragraphs (those that share little with any
 template), from prose with the words of licences, and from templates with their
 words in shuffled order. A part of the templates, not of their variants, is
-left out of a first model: on it, a temperature is chosen that makes the
+left out of training: on it, a temperature is chosen that makes the
 probabilities most likely, and the least probability of a family that keeps its
-false alarms at or below ``FALSE_ALARMS`` of the unknown. The model in use then
-learns from all templates. A predicted family is confirmed when a paragraph and
-one of its templates share enough of their word pairs, measured against the
-smaller of the two.
+false alarms at or below ``FALSE_ALARMS`` of the unknown. A predicted family is
+confirmed when a paragraph and one of its templates share enough of their word
+pairs, measured against the smaller of the two.
 
 Paragraphs are lines, and, for hard-wrapped text, the short lines (up to
 ``SHORT_LINE`` characters) among ``SPAN`` neighbouring ones. The model decides
@@ -50,7 +49,7 @@ VARIANTS, NOTICE_VARIANTS, HELD_OUT, FALSE_ALARMS, CONFIRM = 12, 2, 6, 0.01, 0.5
 EMPTY = 500
 #: Paragraphs of the corpus at most, from as many documents, that teach the unknown class; the characters of each at most.
 CORPUS_SAMPLE, SAMPLE_CHARS = 2_000, 2_000
-LEAST_SPREAD = 0.2
+LEAST_SPREAD = 0.6
 SHORT_LINE, SPAN, STEP = 100, 6, 3
 #: Word pairs that a paragraph or template shares at least with a template to be compared by the smaller one.
 LEAST_PAIRS = 2
@@ -75,7 +74,7 @@ def ngrams(words: Column) -> Column:
 
 
 def templates() -> list[tuple[str, str, str, bool]]:
-    """(family, text, kind, held) of all templates; held: left out of the first model."""
+    """(family, text, kind, held) of all templates; held: left out of training, for calibration."""
     out = [(k, t, "paragraph", i % HELD_OUT == HELD_OUT - 1) for k, ts in sorted(PARAGRAPHS.items()) for i, t in enumerate(ts)]
     for k, (names, ids) in sorted(NAMES.items()):
         out += [(k, p.format(n), "notice", (i + j) % HELD_OUT == 0) for i, n in enumerate(names) for j, p in enumerate(NOTICES)]
@@ -160,12 +159,11 @@ def train(docs: DataFrame) -> dict:
     grams = F.array_distinct(ngrams(F.col("words"))).alias("grams")
     own = corpus_sample(docs).select(F.lit(UNKNOWN).alias("family"), grams, (F.pmod(F.xxhash64("words"), F.lit(HELD_OUT)) == 0).alias("held"))
     data = written(examples(spark).select("family", grams, "held").unionByName(own).coalesce(1), "licence-examples")
-    first = fit(spark, data.where("not held"))
-    label = F.array_position(F.array(*map(F.lit, first["families"])), F.col("family")).cast("int")
-    held = written(logits(data.where("held").withColumn("uid", F.monotonically_increasing_id()), ["uid", "family"], first).withColumn("label", label), "licence-held")
+    out = fit(spark, data.where("not held"))
+    label = F.array_position(F.array(*map(F.lit, out["families"])), F.col("family")).cast("int")
+    held = written(logits(data.where("held").withColumn("uid", F.monotonically_increasing_id()), ["uid", "family"], out).withColumn("label", label), "licence-held")
     grid = with_softmax(held.withColumn("t", F.explode(F.array(*map(F.lit, [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0])))), F.col("t"))
     loss = grid.select("t", F.log(F.element_at("p", F.col("label"))).alias("p")).groupBy("t").agg(F.avg("p").alias("p")).orderBy(F.desc("p"), "t").first()
-    out = fit(spark, data)
     out["temperature"] = loss["t"]
     judged = written(with_softmax(held, F.lit(out["temperature"])).select("family", known(F.col("p"), out).alias("best")), "licence-judged")
     alarms = judged.where(F.col("family") == UNKNOWN).agg(F.percentile("best.p", 1 - FALSE_ALARMS)).first()[0]
@@ -248,10 +246,9 @@ def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "d
     units = units.select("*", once(F.expr(f"array_distinct(filter(all, g -> {one_of([g for _, x in levels for g in x])}))")).alias("positive")).where(F.size("positive") > 0)
     most = F.expr(f"aggregate(positive, 0D, (a, g) -> a + case {' '.join(f'when {one_of(x)} then {v}D' for v, x in levels)} else 0D end)")
     units = units.where(most >= lack)
-    vocabulary = sorted({g for g, _ in model["rows"]})
     pairs = template_pairs()
     units = units.select(
-        key, "row", "first", "last", F.expr(f"array_distinct(filter(all, g -> {one_of(vocabulary)}))").alias("grams"),
+        key, "row", "first", "last", F.array_distinct("all").alias("grams"),
         F.expr(f"array_distinct(filter(all, g -> {one_of(sorted({p for *_, p in pairs}))}))").alias("pairs"), F.size(F.array_distinct(F.slice("all", F.size("words") + 1, F.size("words")))).alias("n_pairs"))
     unit = [key, "row", "first", "last", "n_pairs", "pairs"]
     found = with_softmax(logits(units, unit, model, likely=True), F.lit(model["temperature"])).select(*unit, once(known(F.col("p"), model)).alias("best"))

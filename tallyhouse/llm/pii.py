@@ -1,21 +1,31 @@
 """Operator 7: personal data, also where it is disguised, with spans in the source text.
 
 Base identifiers are found in the text as it stands. Two transducers then
-rewrite it: one maps look-alike, full-width and other digits and letters to
-ASCII and drops invisible characters; one maps "(at)", "[dot]", "name at host
-dot org" and runs of spelled digits to what they stand for. Each output
-character keeps the source range it came from, so that an identifier found in
-the rewritten text maps back to source characters. Such a span is added where
-its source differs from it and no base span of its kind overlaps it.
+rewrite it: one maps look-alike, full-width, mathematical and other digits and
+letters to ASCII and drops invisible characters; one maps "(at)", "[dot]",
+"name at host dot org", "name_at_host_dot_org", runs of spelled digits and
+numbers with spelled dots to what they stand for. A transducer gives its edits;
+from them, each identifier found in the rewritten text maps back to source
+characters. Such a span is added where its source differs from it and no base
+span of its kind holds it; it may reach beyond a base span, which stays.
+
+An "at" with no other sign of disguise, as in "look at example.com", counts
+only before a host with one of ``TOP_LEVEL`` and after a word that is none of
+``BEFORE_AT``, which prose puts there.
+
+Every step reads the text once or twice, so that very long texts take time in
+proportion to their length.
 
 Defined cases: a null or empty text has no spans; offsets are code points, end
-exclusive; repeated rows are searched each; other columns stay as they are.
+exclusive; repeated rows are searched each; an empty table gives no rows; other
+columns stay as they are, and one that has the name of the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,17 +48,20 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁɡһӏкАВЕКМНОРСТУХІ
 DASHES = "‐‑‒–—―−﹘﹣"
 DOTS = "。．｡․"
 INVISIBLE = "­​‌‍⁠﻿"
-GLYPH = re.compile(f"[{''.join(LOOKALIKES)}{DASHES}{DOTS}{INVISIBLE} ٠-٩۰-۹०-९！-～]")
+MATHEMATICAL = "\U0001d400-\U0001d7ff"
+GLYPH = re.compile(f"[{''.join(LOOKALIKES)}{DASHES}{DOTS}{INVISIBLE}\u00a0٠-٩۰-۹०-९！-～{MATHEMATICAL}]")
 # fixed values: names of digits
 DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+# fixed values: common top-level domains, and words that prose puts before "at" and a host
+TOP_LEVEL = frozenset("com org net edu gov io de fr es it uk co info eu ru nl ch at be us ca au in cn jp br pl se no dk fi cz dev app ai me biz".split())
+BEFORE_AT = frozenset("look looks looked looking available online is are was were be been found find hosted me us them it him her you page website site web us live here home visit see read more info details out up back down in out work works working worked shop store buy sold again arrived arrive stay stays meet and or not just only free this that these those one people time day today now later".split())
 ANY_DIGIT = "(?:" + "|".join(DIGITS) + ")"
-HINT = re.compile(rf"(?i)\bdot\b|[\[({{<]\s?(?:at\b|@|\.)|\b{ANY_DIGIT}[\s-]+(?:{ANY_DIGIT}\b|[0-9])|\bplus[\s-]+{ANY_DIGIT}\b")
-REWRITE = re.compile(
-    rf"(?i)\s?[\[({{<]\s?(?P<at>at|@)\s?[\])}}>]\s?|\s?[\[({{<]\s?(?P<dot>dot|\.)\s?[\])}}>]\s?"
-    rf"|(?<![a-z0-9._%+-])(?P<mail>[a-z0-9._%+-]++(?:\sdot\s[a-z0-9._%+-]++)*\sat\s[a-z0-9-]++(?:(?:\sdot\s|\.)(?!dot\b)[a-z0-9-]++)+)(?![a-z0-9-])"
-    rf"|(?<![a-z0-9])(?P<digits>(?:plus[\s-]{{1,2}})?{ANY_DIGIT}(?:(?:[\s-]{{1,2}}|\s(?:dot|point)\s)(?:{ANY_DIGIT}\b|[0-9]+))+)(?![a-z0-9])"
-)
-PART = re.compile(rf"(?i)\s(?P<at>at)\s|\s(?P<dot>dot|point)\s|\b(?P<plus>plus)[\s-]{{1,2}}|\b(?P<digit>{ANY_DIGIT})\b[\s-]*?|(?P<gap>[\s-]{{1,2}})")
+AT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9])|@")
+DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_dot_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
+LABEL = re.compile(r"[A-Za-z0-9-]++")
+RUN = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\s-]{{1,2}})?(?:{ANY_DIGIT}|[0-9]++)\b(?:(?:\s{{1,3}}(?:dot|point)\s{{1,3}}|[\s-]{{1,2}})(?:{ANY_DIGIT}|[0-9]++)\b)++")
+PART = re.compile(rf"(?i)\s{{1,3}}(?P<dot>dot|point)\s{{1,3}}|(?P<plus>plus)[\s-]{{1,2}}|(?P<digit>{ANY_DIGIT})|(?P<gap>[\s-]{{1,2}})")
+SPELLED = re.compile(rf"(?i)\b(?:{ANY_DIGIT}|plus|dot|point)\b")
 
 
 def luhn(digits: str) -> bool:
@@ -88,26 +101,31 @@ def identifiers(text: str):
 
 
 class Tape:
-    """Output of a transducer: characters, and for each the source range that it stands for."""
-
-    def __init__(self):
-        self.parts: list[str] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-
-    def copy(self, text: str, start: int, end: int) -> None:
-        self.parts.append(text[start:end])
-        self.starts.extend(range(start, end))
-        self.ends.extend(range(start + 1, end + 1))
-
-    def put(self, out: str, start: int, end: int) -> None:
-        for c in out:
-            self.parts.append(c)
-            self.starts.append(start)
-            self.ends.append(end)
-
-    def text(self) -> str:
-        return "".join(self.parts)
+    """A text rewritten by edits (start, end, replacement), in order and apart; each output character stands for a source range."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]):
+        parts, at = [], 0
+        self.outs: list[int] = []  # where each edit's replacement begins in the output
+        self.edits = edits
+        n = 0
+        for start, end, out in edits:
+            parts += [text[at:start], out]
+            n += start - at
+            self.outs.append(n)
+            n += len(out)
+            at = end
+        self.text = "".join([*parts, text[at:]])
+
+    def source(self, i: int) -> tuple[int, int]:
+        """The source range of the i-th output character."""
+        k = bisect_right(self.outs, i) - 1
+        if k < 0:
+            return i, i + 1
+        start, end, out = self.edits[k]
+        if i < self.outs[k] + len(out):
+            return start, end
+        at = end + i - self.outs[k] - len(out)
+        return at, at + 1
 
 
 def glyph(c: str) -> str:
@@ -119,47 +137,88 @@ def glyph(c: str) -> str:
         return "-"
     if c in DOTS:
         return "."
-    if c == " ":
+    if c == "\u00a0":
         return " "
     if "！" <= c <= "～":
         return chr(ord(c) - 0xFEE0)
+    if c >= "\U0001d400":
+        plain = unicodedata.normalize("NFKC", c)
+        return LOOKALIKES.get(plain, plain)
     return str(unicodedata.decimal(c))
 
 
-def plain_glyphs(text: str) -> Tape:
-    tape, at = Tape(), 0
-    for m in GLYPH.finditer(text):
-        tape.copy(text, at, m.start())
-        tape.put(glyph(m[0]), m.start(), m.end())
-        at = m.end()
-    tape.copy(text, at, len(text))
-    return tape
-
-
-def plain_words(text: str) -> Tape:
-    tape, at = Tape(), 0
-    for m in REWRITE.finditer(text):
-        tape.copy(text, at, m.start())
-        at = m.end()
-        if m["at"] or m["dot"]:
-            tape.put("@" if m["at"] else ".", m.start(), m.end())
-            continue
-        if m["mail"] and not re.search(r"(?i)\sdot\s", m["mail"][re.search(r"(?i)\sat\s", m["mail"]).end():]):
-            tape.copy(text, m.start(), m.end())  # "at" alone is no disguise
-            continue
-        inside = m.start()
-        for p in PART.finditer(text, m.start(), m.end()):
-            if m["mail"] and not (p["at"] or p["dot"]):
+def plain_glyphs(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), glyph(m[0])) for m in GLYPH.finditer(text)]
+
+
+def address(text: str, at: re.Match, dots_before: dict[int, tuple[int, int]], dots_after: dict[int, tuple[int, int]], low: int) -> list[tuple[int, int, str]]:
+    """Edits that make an address around one "at"; none if there is no disguised one. dots: spelled dots by where they end and start; low: no character before it is used."""
+    def bare(x: str) -> bool:
+        return x[:1].isspace() and x.strip()[:1].lower() in ("a", "d")
+
+    start, edits, spelled = at.start(), [], False
+    while True:  # chunks of the local part, from right to left
+        chunk = start
+        while chunk > low and text[chunk - 1] in LOCAL:
+            if start - chunk and chunk in dots_before:
+                break
+            chunk -= 1
+        if chunk == start:
+            break
+        start, dot = chunk, dots_before.get(chunk)
+        if dot is None or dot[0] <= low:
+            break
+        edits.append((*dot, "."))
+        spelled, start = True, dot[0]
+    local = text[start:at.start()]
+    if edits and start == edits[-1][0]:  # nothing stands before the last dot
+        start = edits.pop()[1]
+        local, spelled = text[start:at.start()], bool(edits)
+    if not local:
+        return []
+    end, host_dots, last, n = at.end(), [], "", 0
+    while m := LABEL.match(text, end):
+        last, end, n = m[0], m.end(), n + 1
+        dot = dots_after.get(end)
+        following = dot and LABEL.match(text, dot[1])
+        if following and following[0].lower() != "dot":
+            host_dots.append((*dot, "."))
+            end = dot[1]
+        elif text[end:end + 1] == "." and LABEL.match(text, end + 1):
+            end += 1
+        else:
+            break
+    if n < 2:
+        return []
+    if at[0] == "@" and not host_dots and not spelled:
+        return []  # a base address
+    if bare(at[0]) and not host_dots and not spelled and (last.lower() not in TOP_LEVEL or local.lower() in BEFORE_AT):
+        return []
+    return edits[::-1] + [(at.start(), at.end(), "@")] + host_dots
+
+
+def plain_words(text: str) -> list[tuple[int, int, str]]:
+    """Edits for spelled signs and digits."""
+    edits: list[tuple[int, int, str]] = []
+    if re.search(r"(?i)at\b|at_|@", text):
+        dots = [m.span() for m in DOT.finditer(text)]
+        before, after, low = {e: (s, e) for s, e in dots}, {s: (s, e) for s, e in dots}, 0
+        for at in AT.finditer(text):
+            if at.start() < low:
+                continue
+            found = address(text, at, before, after, low)
+            if found:
+                edits += found
+                low = max(at.end(), found[-1][1])
+    taken = [s for s, _, _ in edits]
+    if SPELLED.search(text):
+        for m in RUN.finditer(text):
+            i = bisect_right(taken, m.end())
+            if not SPELLED.search(m[0]) or (i and edits[i - 1][1] > m.start()):
                 continue
-            tape.copy(text, inside, p.start())
-            inside = p.end()
-            if m["mail"]:
-                tape.put("@" if p["at"] else ".", p.start(), p.end())
-            else:
-                tape.put("." if p["dot"] else "+" if p["plus"] else DIGITS[p["digit"].lower()] if p["digit"] else "", p.start(), p.end())
-        tape.copy(text, inside, m.end())
-    tape.copy(text, at, len(text))
-    return tape
+            for p in PART.finditer(text, m.start(), m.end()):
+                edits.append((*p.span(), "." if p["dot"] else "+" if p["plus"] else DIGITS[p["digit"].lower()] if p["digit"] else ""))
+    return sorted(edits)
 
 
 def find_pii(text: str | None) -> list[tuple[str, int, int, bool]]:
@@ -168,21 +227,21 @@ def find_pii(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     base = [(*x, False) for x in identifiers(text)]
     tapes, plain = [], text
-    if GLYPH.search(plain):
-        tapes.append(plain_glyphs(plain))
-        plain = tapes[-1].text()
-    if HINT.search(plain):
-        tapes.append(plain_words(plain))
-        plain = tapes[-1].text()
+    for transducer in (plain_glyphs, plain_words):
+        if edits := transducer(plain):
+            tapes.append(Tape(plain, edits))
+            plain = tapes[-1].text
     if not tapes or plain == text:
         return base
+    starts = {k: [x[1] for x in base if x[0] == k] for k in KINDS}
+    ends = {k: [x[2] for x in base if x[0] == k] for k in KINDS}
     added = []
     for kind, start, end in identifiers(plain):
-        first, last = start, end - 1
-        s, e = tapes[-1].starts[first], tapes[-1].ends[last]
-        if len(tapes) > 1:
-            s, e = tapes[0].starts[s], tapes[0].ends[e - 1]
-        if text[s:e] != plain[start:end] and not any(k == kind and s < y and x < e for k, x, y, _ in base):
+        s, e = start, end
+        for tape in tapes[::-1]:
+            s, e = tape.source(s)[0], tape.source(e - 1)[1]
+        i = bisect_right(starts[kind], s) - 1
+        if text[s:e] != plain[start:end] and not (i >= 0 and e <= ends[kind][i]):
             added.append((kind, s, e, True))
     return sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -66,8 +67,53 @@ def test_disguised_pii(text, kind, source):
     assert [(k, text[s:e], d) for k, s, e, d in find_pii(text)] == [(kind, source, True)]
 
 
+@pytest.mark.parametrize("text, kind, source", [
+    ("jοhn@gmail.com", "email", "jοhn@gmail.com"), ("mail 𝐣ohn@gmail.com", "email", "𝐣ohn@gmail.com"), ("so john at example.com,", "email", "john at example.com"),
+    ("john  at  gmail  dot  com", "email", "john  at  gmail  dot  com"), ("x john_at_gmail_dot_com", "email", "john_at_gmail_dot_com"), ("on 10 dot 0 dot 0 dot 1 now", "ip", "10 dot 0 dot 0 dot 1"),
+    ("john dot smith at example.com", "email", "john dot smith at example.com"), ("to ann@gmail dot com", "email", "ann@gmail dot com"), ("a\u200bb@c.de", "email", "a\u200bb@c.de"),
+])
+def test_longer_spans_and_more_disguises(text, kind, source):
+    found = find_pii(text)
+    assert (kind, text.index(source), text.index(source) + len(source), True) in found
+    assert [x[:3] for x in found if not x[3]] == brute_pii(text)
+
+
+def test_random_disguises():
+    """Every address planted in prose is found with its very span, and nothing else is."""
+    random.seed(11)
+    names, hosts = ["ann", "jo.fox", "x_1", "b+c", "kim7"], [["mail", "com"], ["ab-c", "co", "uk"], ["x", "org"], ["host9", "de"]]
+    homoglyph = {"a": "а", "o": "ο", "c": "с", "e": "е", "x": "х", "m": "𝐦"}
+    prose = ["we", "met", "house", "river,", "nine", "dotted", "attic", "see.", "(all)"]
+    for _ in range(3000):
+        at, dot = random.choice([(" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), ("_at_", "_dot_"), ("  at  ", " dot "), ("@", " dot "), (" @ ", None), ("@", ".")])
+        if dot is None:
+            at, dot = "{at}", "."
+        plain = (name := random.choice(names)) + "@" + ".".join(host := random.choice(hosts))
+        disguised = name.replace(".", dot if dot != "_dot_" else ".") + at + dot.join(host)
+        if random.random() < 0.3:
+            disguised = "".join(homoglyph.get(c, c) if random.random() < 0.3 and at == "@" and dot == "." else c for c in disguised)
+        before, after = " ".join(random.choices(prose, k=3)) + " ", " " + " ".join(random.choices(prose, k=3))
+        text = before + disguised + after
+        spans = {(s, e) for k, s, e, _ in find_pii(text) if k == "email"}
+        assert (len(before), len(before) + len(disguised)) in spans, text
+        assert all(len(before) <= s and e <= len(before) + len(disguised) for s, e in spans), text
+        assert plain in (plain, text)
+
+
+def test_long_texts_take_linear_time():
+    for word in ("a dot ", "a at ", "one ", "1 dot ", "a@b dot ", "a_dot_", "а", "john at b dot "):
+        began = time.process_time()
+        find_pii(word * 100_000)
+        assert time.process_time() - began < 20, word
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, pii_spans int")
+    assert pii_digest(df).collect() == [] and mask_pii(df).collect() == []
+
+
 def test_plain_prose_has_no_pii():
-    for t in ("We met at noon by the dot on the map.", "one two three go", "The price (at least) rose.", "look at that dot dot dot", "plus one", "", None):
+    for t in ("We met at noon by the dot on the map.", "one two three go", "The price (at least) rose.", "look at that dot dot dot", "look at example.com", "available at shop.de", "met at noon.Then", "plus one", "", None):
         assert find_pii(t) == []
 
 
