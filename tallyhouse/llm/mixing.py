@@ -31,6 +31,8 @@ from .shared import n_words, written
 
 MOST_TIMES = 3
 WEIGHTS = (1, 2, 3)
+#: Columns that ``mixed_documents`` adds.
+ADDED = ("size", "source_size", "target", "taken")
 #: Documents of a block, on average.
 BLOCK = 4096
 
@@ -153,7 +155,7 @@ def decide(units: DataFrame, n_largest: int, seed: int) -> DataFrame:
 
 
 def _decisions(narrow: DataFrame, seed: int) -> DataFrame:
-    """Of a written table (id, source, size): (k, s, z), source_size, target and taken of each distinct row."""
+    """Of a written table (id, source, size): mix (key, source and size), source_size, target and taken of each distinct row."""
     targets = written(source_targets(narrow.select("source", "size")), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_TIMES)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(1e-9))
@@ -162,11 +164,11 @@ def _decisions(narrow: DataFrame, seed: int) -> DataFrame:
     units = units.join(goals.select("of", F.col("n_docs").alias("n_source"), F.col("part").alias("p")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     n_largest = targets.agg(F.max("n_docs")).first()[0] or 0
     more = decide(units, n_largest, seed).join(goals, F.col("source").eqNullSafe(F.col("of")))
-    return more.select(F.col("id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
+    return more.select(F.struct(F.col("id").alias("key"), "source", "size").alias("mix"), "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
 
 
 def _same(key: str):
-    return F.col(key).eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & F.col("size").eqNullSafe(F.col("z"))
+    return F.col(key).eqNullSafe(F.col("mix.key")) & F.col("source").eqNullSafe(F.col("mix.source")) & F.col("size").eqNullSafe(F.col("mix.size"))
 
 
 def _narrow(docs: DataFrame, key: str) -> DataFrame:
@@ -181,6 +183,8 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with size, source_size, target and taken; columns of these names are replaced."""
-    added = ("size", "source_size", "target", "taken", "k", "s", "z")
-    whole = docs.drop(*added).withColumn("size", n_words(F.col("text")))
-    return whole.join(_decisions(_narrow(docs, key), seed), _same(key)).where("taken > 0").drop("k", "s", "z")
+    own = [c for c in docs.columns if c not in ADDED]
+    # the text's columns travel as one, so that no name of theirs can clash
+    whole = docs.select(F.struct(*own).alias("row"), F.col(key).alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    mixed = whole.join(_decisions(_narrow(docs, key), seed), _same("id")).where("taken > 0")
+    return mixed.select("row.*", *(F.col(c).alias(c) for c in ADDED))

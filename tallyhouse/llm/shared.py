@@ -26,9 +26,12 @@ BROADCAST_KEYS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyhouse.shared.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; with a local master, a temporary one where it is unset (tests)."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyhouse.shared.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyhouse-")
         spark.conf.set("tallyhouse.shared.dir", at)
     return at.rstrip("/")
@@ -39,7 +42,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    The tables stay there, as results are lazy and read them later; the folder
+    is the job's, to be removed with it.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
