@@ -158,7 +158,7 @@ def write_preceded(folder: str):
         preceded = np.zeros(len(word), np.uint32)
         preceded[np.searchsorted(word, keys)] = n
         write_arrays(f"{folder}/preceded-{s}", {"preceded": preceded})
-        return pa.table({f"n{k}": pa.array([int((preceded == k).sum())], pa.int64()) for k in (1, 2, 3, 4)} | {"more": pa.array([int((preceded > 2).sum())], pa.int64())})
+        return pa.table({"shard": pa.array([s], pa.int32())} | {f"n{k}": pa.array([int((preceded == k).sum())], pa.int64()) for k in (1, 2, 3, 4)} | {"more": pa.array([int((preceded > 2).sum())], pa.int64())})
     return run
 
 
@@ -184,11 +184,13 @@ def train(docs: DataFrame) -> dict:
     parts.groupBy("shard").applyInArrow(write_shard(folder, n_shards), STATS).write.parquet(stats_path)
     stats = spark.read.parquet(stats_path)
     one = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "tokens", "types", "bigrams"))).first()
-    low = stats.where(F.length("words") > 0).select("shard", "words", "counts").groupBy("shard").applyInArrow(write_preceded(folder), "n1 long, n2 long, n3 long, n4 long, more long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more"))).first()
+    low = stats.where(F.length("words") > 0).select("shard", "words", "counts").groupBy("shard").applyInArrow(write_preceded(folder), "shard int, n1 long, n2 long, n3 long, n4 long, more long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "more")), F.collect_set("shard").alias("shards")).first()
+    # the files there are, at most one of a shard each, so that a missing one is no empty shard
+    files = [r["shard"] for r in stats.where(F.length("words") == 0).select("shard").distinct().collect()]
     d = discounts([one[f"n{k}"] for k in (1, 2, 3, 4)])
     e = discounts([low[f"n{k}"] for k in (1, 2, 3, 4)])
     spread = (e[0] * low["n1"] + e[1] * low["n2"] + e[2] * low["more"]) / one["bigrams"] if one["bigrams"] else 1.0
-    return {"folder": folder, "shards": n_shards, "tokens": one["tokens"], "types": one["types"], "bigrams": one["bigrams"], "high": d, "low": e, "spread": spread}
+    return {"folder": folder, "shards": n_shards, "files": frozenset(files), "preceded": frozenset(low["shards"]), "tokens": one["tokens"], "types": one["types"], "bigrams": one["bigrams"], "high": d, "low": e, "spread": spread}
 
 
 def look_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,16 +208,20 @@ class Model:
         self.meta = meta
         self.maps: dict[int, dict] = {}
 
-    def shard(self, s: int) -> dict | None:
+    def shard(self, s: int) -> dict:
+        """A shard's arrays; empty where no word fell into it. A file that was written and is not there is an error."""
         if s not in self.maps:
-            try:
-                self.maps[s] = read_arrays(f"{self.meta['folder']}/shard-{s}")
-                try:
-                    self.maps[s] |= read_arrays(f"{self.meta['folder']}/preceded-{s}")
-                except FileNotFoundError:  # no word of this shard has a predecessor
-                    self.maps[s]["preceded"] = np.zeros(len(self.maps[s]["word"]), np.uint32)
-            except FileNotFoundError:  # no word fell into this shard
+            if s not in self.meta["files"]:
                 self.maps[s] = {}
+            else:
+                try:
+                    self.maps[s] = read_arrays(f"{self.meta['folder']}/shard-{s}")
+                    if s in self.meta["preceded"]:
+                        self.maps[s] |= read_arrays(f"{self.meta['folder']}/preceded-{s}")
+                    else:  # no word of this shard has a predecessor
+                        self.maps[s]["preceded"] = np.zeros(len(self.maps[s]["word"]), np.uint32)
+                except FileNotFoundError as e:
+                    raise FileNotFoundError(f"the model's file {e.filename} is not there: spark.checkpoint.dir has to be mounted on every machine") from e
         return self.maps[s]
 
     def by_shard(self, keys: np.ndarray, of: np.ndarray):

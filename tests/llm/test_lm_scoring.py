@@ -59,3 +59,17 @@ def test_edge_cases(spark):
     odd = spark.createDataFrame([(None, None, 1), (3, "a b", 2), (3, "a b", 2)], "doc_id long, text string, score int")
     rows = lm_scores(odd).collect()
     assert len(rows) == 3 and {r.n_tokens for r in rows} == {1, 3} and not any(r.held_out for r in rows if r.doc_id is None)
+
+
+def test_a_missing_file_is_an_error(spark):
+    import os
+
+    from tallyhouse.llm.kneser_ney import score, train
+
+    df = spark.createDataFrame([(i, f"w{i} w{i + 1} the w{i % 3}") for i in range(40)], "doc_id long, text string")
+    meta = train(df)
+    assert score(df, meta).count() == 40
+    one = next(f for f in sorted(os.listdir(meta["folder"])) if f.startswith("shard-"))
+    os.rename(f"{meta['folder']}/{one}", f"{meta['folder']}/moved")
+    with pytest.raises(Exception, match="is not there"):
+        score(df, meta).collect()
