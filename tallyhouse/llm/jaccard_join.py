@@ -11,12 +11,17 @@ reaching the threshold is below the tolerance. What is left is verified exactly
 on the whole sets. Links join classes to groups by connected components.
 
 A pair at the threshold shares no band with probability under 2e-7, and is
-dropped by the comparison with probability near the tolerance.
+dropped by the comparison with probability near the tolerance. The number of
+links is exact, so a cluster of n different texts that are all alike takes n^2
+comparisons, in blocks of bounded size; copies of one text count as one.
+``SMALL`` and ``BROADCAST_KEYS`` choose a way to compute, never what is found.
 
 Defined cases: a text of one to four words has one gram, all its words; a null
 or empty text has none and is a group of its own, with no id of a copy; ids in
 the result are the least non-null keys of a class and a group (null if all are
-null); repeated rows are copies of each other.
+null); repeated rows are copies of each other; a very long text is one set of
+grams in one task; an empty table gives no rows; other columns, whatever their
+names, are ignored by the groups and kept by ``one_of_each_group``.
 """
 
 from __future__ import annotations
@@ -27,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -198,12 +202,8 @@ def compare_blocks(threshold: float, tolerance: float):
     return run
 
 
-def jaccard_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """key, copy_id, group_id, n_linked_texts (different texts) and n_links (documents) of each row.
-
-    copy_id: least key of the texts with equal grams; group_id: least key of
-    all texts joined by links.
-    """
+def _grouped(docs: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
+    """id, set, copy_id, component, group_id, times, links and copies of each row; the last six null without a set."""
     signed = written(signatures(docs, key), "signatures")
     classes = written(
         signed.where("set is not null").groupBy("set").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("times"), F.first("signature").alias("signature"))
@@ -213,16 +213,27 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRE
     sums = links.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
     about = classes.select("cid", "set", "copy_id", "times").join(sums, "cid", "left").join(group.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = about.groupBy("component").agg(F.min("copy_id").alias("group_id"))
-    about = about.join(named, "component").select(F.col("set").alias("of"), "copy_id", "group_id", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
-    return signed.join(about, F.col("set") == F.col("of"), "left").select(
+    about = about.join(named, "component").select(F.col("set").alias("of"), "copy_id", "component", "group_id", "times", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    return signed.join(about, F.col("set") == F.col("of"), "left").drop("of", "signature")
+
+
+def jaccard_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """key, copy_id, group_id, n_linked_texts (different texts) and n_links (documents) of each row.
+
+    copy_id: least key of the texts with equal grams; group_id: least key of
+    all texts joined by links.
+    """
+    return _grouped(docs, key, threshold, tolerance).select(
         F.col("id").alias(key), "copy_id", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("group_id")).alias("group_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_linked_texts"), F.coalesce(F.col("copies") + F.col("times") - 1, F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
     """(cid, linked_to, links, copies): parts of each class's sums, and a class that it is joined to."""
-    bucket = W.partitionBy("bucket")
-    members = written(bands(classes).withColumns({"n": F.count(F.lit(1)).over(bucket), "least": F.min("cid").over(bucket)}).where("n > 1"), "buckets")
+    rows = written(bands(classes), "bands")
+    # counted with map-side combining, so that a bucket of most classes is no burden to one task
+    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least")).where("n > 1")
+    members = written(rows.join(counted, "bucket"), "buckets")
     small = members.where(F.col("n") <= SMALL).select("bucket", "cid")
     pairs = small.join(small.select("bucket", F.col("cid").alias("other")), "bucket").where("cid < other").select("cid", "other").distinct()
     large = members.where(F.col("n") > SMALL)
@@ -279,11 +290,33 @@ def _gram_sets(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` but for those whose group has a lesser key; rows with a null key cannot be named and stay."""
-    groups = written(jaccard_groups(docs, key, threshold).select(key, "group_id"), "groups")
-    gone = written(groups.where(F.col(key) != F.col("group_id")).select(key).distinct(), "gone")
-    kept = keyed(docs, gone, key, "left_anti")
-    again = written(groups.where(F.col(key) == F.col("group_id")).groupBy(key).count().where("count > 1").select(key), "again")
-    if again.isEmpty():
+    """One row of each group: the one with the least key, nulls last, and then the least hash of its grams; rows without words all stay.
+
+    A row is known by its key and its grams. Keys that several rows share, and
+    null keys, are told apart by the grams, so that no text goes because another
+    one of its key does.
+    """
+    rows = written(_grouped(docs, key, threshold, TOLERANCE).select("id", "set", "component"), "groups")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "set")
+    chosen = written(rows.where("set is not null").groupBy("component").agg(F.min(name).alias("row")).select("row.id", "row.set"), "chosen")
+    again = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again")
+    lost = rows.where("set is not null and id is not null").select("id", "set").join(chosen, ["id", "set"], "left_anti").select("id")
+    apart = written(lost.unionByName(again).distinct().withColumnRenamed("id", key), "gone")
+    kept = keyed(docs.where(F.col(key).isNotNull()), apart, key, "left_anti")
+    named, unnamed = again.isEmpty(), rows.where("id is null").isEmpty()
+    if named and unnamed:
         return kept
-    return keyed(kept, again, key, "left_anti").unionByName(keyed(kept, again, key, "left_semi").dropDuplicates([key]))
+    hard = docs.where(F.col(key).isNull())
+    if not named:
+        hard = hard.unionByName(keyed(docs, again.withColumnRenamed("id", key), key, "left_semi"))
+
+    def run(batches):
+        for table, codes, words, lengths in token_chunks(batches, lowered, most=CHUNK):
+            found = grams(codes, words, lengths)
+            yield from pa.table({"row": table.column("row"), "own": table.column("own"), "own_set": pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in found], pa.binary())}).to_batches(max_chunksize=200)
+
+    # the columns travel as one, so that no name can clash
+    whole = hard.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(key).alias("own"), "text")
+    told = written(whole.mapInArrow(run, whole.select("row", "own").schema.add("own_set", "binary")), "told")
+    one = told.where("own_set is not null").dropDuplicates(["own", "own_set"]).join(chosen, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_set") == F.col("set")), "left_semi")
+    return kept.unionByName(one.unionByName(told.where("own_set is null")).select("row.*"))

@@ -63,7 +63,7 @@ def test_one_of_each(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(str(r.doc_id) for r in one_of_each_group(df).collect())
-    want = sorted([str(k) for k, g, *_ in set(brute(rows)) if k is not None and k == g] + ["None"] * 3)
+    want = sorted([str(k) for k, g, *_ in set(brute(rows)) if k is not None and k == g] + ["None"])  # null keys are one group of two copies, and a copy of a text with a key
     assert kept == want
 
 
@@ -83,3 +83,42 @@ def test_components(spark):
 def test_posterior():
     assert [least_matches(n, 0.8, 1e-7) for n in (20, 40, 200)] == sorted(least_matches(n, 0.8, 1e-7) for n in (20, 40, 200))
     assert least_matches(200, 0.8, 1e-7) < 160
+
+
+def test_one_of_each_group_by_row(spark):
+    """Repeated and null keys with different texts lose none of them; copies leave one row."""
+    import random
+
+    from tallyhouse.llm.jaccard_join import one_of_each_group
+
+    random.seed(12)
+    a, b, c, d, e = (" ".join(f"{x}{random.randrange(10 ** 6)}" for _ in range(60)) for x in "abcde")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d.upper()), (None, e), (None, e), (None, a), (8, None), (8, ""), (None, None), (9, e + " more")]
+    df = spark.createDataFrame([(*r, i, "x", 0) for i, r in enumerate(rows)], "doc_id long, text string, set int, row string, component int").repartition(3)
+    got = one_of_each_group(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text.lower() if r.text else r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (7, c), (7, d), (9, e + " more"), (8, None), (8, ""), (None, None)], key=str)
+    assert one_of_each_group(df.limit(0)).collect() == []
+
+
+def test_components_with_heavy_nodes(spark, monkeypatch):
+    import random
+
+    from tallyhouse.llm import graph
+
+    monkeypatch.setattr(graph, "HEAVY", 3)
+    random.seed(13)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + random.randrange(60), 100 + random.randrange(60)) for _ in range(50)] + [(200, i) for i in range(201, 230)] + [(i, i + 1) for i in range(300, 330)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
