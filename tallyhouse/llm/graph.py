@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = written(edges.where("a != b").select("a", "b").distinct(), "edges"), None
     heavy = max(HEAVY, HEAVY_SHARE * edges.count())
     while True:
-        edges = written(_stars(_stars(edges, True, heavy), False, heavy), "edges")
+        edges = written(_stars(written(_stars(edges, True, heavy), "edges"), False, heavy), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
