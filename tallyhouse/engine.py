@@ -54,7 +54,8 @@ class Engine:
         if plan.intent in ("clarify", "unsupported"):
             return Answer(Bundle((), (f"plan is {plan.intent}",)))
         bundle, frames = self.frames(plan)
-        counts = union([policy.exclusion_counts(df).withColumn("product_type", F.lit(s.product_type.name)) for s, df in frames])
+        ranking = plan.intent == "screen_rank"
+        counts = union([policy.exclusion_counts(df, [policy.valid(m, ranking) for m in s.metrics]).withColumn("product_type", F.lit(s.product_type.name)) for s, df in frames])
         # counts read all rows; every other part reads the matching ones only
         frames_all, frames = frames, [(s, policy.matching(df, s, self.registry)) for s, df in frames]
         source = union([df for _, df in frames])
@@ -65,20 +66,26 @@ class Engine:
         return Answer(bundle, rows=self.rows(plan, frames), counts=counts, source=source)
 
     def guard(self, plan: QueryPlan, values: DataFrame) -> None:
-        """A ranking or aggregate over all types has to be of one partition."""
-        if plan.top_k_scope == "global" and len(plan.product_types) > 1 and values.select("partition_key").distinct().limit(2).count() > 1:
+        """A global ranking or aggregate of values has to be of one partition, also within one product type."""
+        if plan.top_k_scope == "global" and values.select("partition_key").distinct().limit(2).count() > 1:
             raise PlanError("a global result needs one comparable partition")
 
     def ranks(self, plan: QueryPlan, frames) -> DataFrame:
         primary = {s.product_type.name: self.registry.metric_of(s.sort[0].field, s.product_type.name) for s, _ in frames if s.sort}
         if any(m and m.needs_period and m.period is None for m in primary.values()):
             raise PlanError("a return needs its period")
-        values = union([policy.metric_values(df, s, self.registry, True) for s, df in frames]).where("valid")
+        parts = []
+        for s, df in frames:
+            # globally the plan's direction holds; by product type, that of the segment's own sort
+            down = s.sort[0].descending if plan.top_k_scope == "per_product_type" and s.sort else plan.sort[0].descending
+            own = policy.metric_values(df, s, self.registry, True)
+            parts.append(own.withColumn("sort_position", -F.col("sort_value") if down else F.col("sort_value")))
+        values = union(parts).where("valid")
         names = [m.name for m in primary.values() if m]
         values = values.where(F.col("metric").isin(names))
         self.guard(plan, values)
         by = ["partition_key"] if plan.top_k_scope == "global" else ["partition_key", "product_type"]
-        return policy.competition_rank(values, "sort_value", by, plan.sort[0].descending, plan.top_k)
+        return policy.competition_rank(values, "sort_position", by, False, plan.top_k).drop("sort_position")
 
     def rows(self, plan: QueryPlan, frames) -> DataFrame:
         # values are shown as recorded: an invalid one does not drop its row
@@ -94,11 +101,12 @@ class Engine:
             key = policy.partition_key(metric, "currency" in df.columns) if metric else F.lit(f"count:{s.product_type.grain}:{s.product_type.name}")
             kept = kept.withColumn("partition_key", key)
             ok = policy.valid(metric, False) if metric else None
-            if metric:  # a partition is there if it has a comparable value
-                kept = kept.join(kept.where(ok).select("partition_key").distinct(), "partition_key", "left_semi")
             by = list(agg.group_by)
             keyed = ["partition_key", *by] if metric or by else []
             out = policy.aggregated(kept, agg.function, agg.field, keyed, ok)
+            if metric:  # a partition is there if it has a comparable value
+                all_included = F.sum("included_count").over(W.partitionBy("partition_key")) if by else F.col("included_count")
+                out = out.withColumn("all_included", all_included).where("all_included > 0").drop("all_included")
             if not keyed:
                 out = out.withColumn("partition_key", key)
             if not by:  # the rows that the state policy left out count as excluded
@@ -113,5 +121,6 @@ class Engine:
                 out = policy.first_of(out, F.row_number().over(W.partitionBy("product_type", "partition_key").orderBy(*order)), plan.top_k, "position")
             parts.append(out)
         result = union(parts)
-        self.guard(plan, result)
+        if agg.field:
+            self.guard(plan, result)
         return result

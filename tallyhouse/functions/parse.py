@@ -48,13 +48,17 @@ def parse_optional_text(c: Column) -> Column:
 
 
 def parse_decimal(c: Column, zero_status: str = "recorded_zero") -> Column:
-    """A finite decimal of at most 20 integer and 18 fraction digits, without surrounding space."""
+    """A finite decimal of at most 20 integer and 18 fraction digits, without surrounding space; an exponent shifts the digits first."""
     blank = F.coalesce(strip(c) == "", F.lit(True))
     form = F.coalesce(c.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?\z"), F.lit(False))
     wide = F.expr("cast(null as decimal(38,18))")
     value = F.when(form, c.try_cast("decimal(38,18)")).otherwise(wide)
-    digits = F.length(F.regexp_extract(c, r"\.([0-9]*?)0*(?:[eE]|\z)", 1))
-    exact = form & value.isNotNull() & ((digits <= 18) | c.rlike("[eE]"))
+    mantissa, shift = F.regexp_extract(c, r"^[+-]?([0-9.]*)", 1), F.coalesce(F.regexp_extract(c, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int"), F.lit(0))
+    fraction = F.length(F.regexp_extract(mantissa, r"\.([0-9]*?)0*\z", 1))
+    # trailing zeros of a whole number make room for a negative exponent
+    zeros = F.when(fraction == 0, F.length(F.regexp_extract(F.regexp_replace(mantissa, r"\.0*\z", ""), r"(0*)\z", 1))).otherwise(0)
+    nothing = ~mantissa.rlike("[1-9]")
+    exact = form & value.isNotNull() & ((fraction - zeros - shift <= 18) | nothing)
     kept = F.when(exact & ~blank, value)
     return result(kept, F.when(blank, "missing_blank").when(kept.isNull(), "invalid_format").when(kept == 0, zero_status).otherwise("valid"))
 

@@ -13,14 +13,14 @@ def best_row(df: DataFrame, by: list[str], value: str, ties: list[Column]) -> Da
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def consensus(df: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
+def consensus(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, status, n_values: the value on which all rows of a group agree, or null as mixed_source_values.
 
     A null counts as a value of its own.
     """
     kinds = F.count_distinct(F.coalesce(F.col(value).cast("string"), F.lit("\0")))
     return df.groupBy(*by).agg(
-        F.when(kinds == 1, F.min_by(value, order)).alias("value"), F.when(kinds == 1, "valid").otherwise("mixed_source_values").alias("status"), kinds.alias("n_values"))
+        F.when(kinds == 1, F.min(value)).alias("value"), F.when(kinds == 1, "valid").otherwise("mixed_source_values").alias("status"), kinds.alias("n_values"))
 
 
 def value_range(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -2,41 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, match_score
 
-LEAST_SCORE, MOST = 4000, 5
+LEAST_SCORE, MOST, MENTIONS = 4000, 5, 10
 
 
 def entity_index(parts: list[DataFrame]) -> DataFrame:
-    """product_type, product_id, other_id, name and folded name of all products."""
+    """product_type, product_id, other_id and name of all products, and the three folded."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("product_type", "product_id", "other_id", "name", folded(F.col("name")).alias("folded_name"))
+    return out.select("product_type", "product_id", "other_id", "name", folded(F.col("product_id")).alias("folded_id"), folded(F.col("other_id")).alias("folded_other_id"), folded(F.col("name")).alias("folded_name"))
 
 
-def resolve(mentions: DataFrame, index: DataFrame) -> DataFrame:
+def place(types: list[str]) -> Column:
+    """A product type's place in a list; those that are not in it come last."""
+    at = F.array_position(F.array(*map(F.lit, types)), F.col("product_type"))
+    return F.when(at > 0, at).otherwise(len(types) + 1)
+
+
+def resolve(mentions: DataFrame, index: DataFrame, types: list[str], all_types: list[str] | None = None) -> DataFrame:
     """mention, product_type, product_id, matched_by, n_candidates, selected of the best kind of exact match.
 
-    More than one candidate of the best kind is ambiguous: none is selected.
+    Mentions, ids and names are compared folded. An id selects the first
+    product by the plan's ``types``, then by id, and comes before another id,
+    which does the same, and before names. A name that several products have
+    selects none: the first of them by ``all_types`` are its candidates. A column
+    identifier_type of mentions, where there is one, allows one kind only:
+    product_id, other_id or name; "unknown" allows all.
     """
-    m = mentions.select("mention", folded(F.col("mention")).alias("folded_mention"))
-    def by(condition, kind, rank):
-        return m.join(index, condition).select("mention", "product_type", "product_id", F.lit(kind).alias("matched_by"), F.lit(rank).alias("priority"))
+    m = mentions.select("mention", folded(F.col("mention")).alias("folded_mention"), F.col("identifier_type") if "identifier_type" in mentions.columns else F.lit("unknown").alias("identifier_type"))
+    own = index.where(F.col("product_type").isin(types))
+
+    def by(column, kind, allowed, rank):
+        here = F.col("identifier_type").isin("unknown", allowed)
+        return m.where(here).join(own, F.col("folded_mention") == F.col(column)).select("mention", "product_type", "product_id", F.lit(kind).alias("matched_by"), F.lit(rank).alias("priority"))
 
-    found = by(F.col("mention") == F.col("product_id"), "product_id", 1).unionByName(by(F.col("mention") == F.col("other_id"), "other_id", 2)).unionByName(by(F.col("folded_mention") == F.col("folded_name"), "exact_name", 3)).distinct()
+    found = by("folded_id", "product_id", "product_id", 1).unionByName(by("folded_other_id", "other_id", "other_id", 2)).unionByName(by("folded_name", "exact_name", "name", 3)).distinct()
     best = found.groupBy("mention").agg(F.min("priority").alias("best"))
     found = found.join(best, "mention").where("priority = best")
-    return found.withColumn("n_candidates", F.count(F.lit(1)).over(W.partitionBy("mention"))).withColumn("selected", F.col("n_candidates") == 1).drop("priority", "best")
+    order = F.when(F.col("priority") == 3, place(all_types or types)).otherwise(place(types))
+    w = W.partitionBy("mention")
+    found = found.withColumns({"place": F.row_number().over(w.orderBy(order, "product_id")), "n_candidates": F.when(F.col("priority") == 3, F.count(F.lit(1)).over(w)).otherwise(F.lit(1).cast("bigint"))})
+    most = F.when(F.col("priority") == 3, MOST).otherwise(1)
+    return found.where(F.col("place") <= most).withColumn("selected", F.col("n_candidates") == 1).drop("priority", "best", "place")
 
 
-def candidates(mentions: DataFrame, index: DataFrame, most: int = MOST, least: int = LEAST_SCORE) -> DataFrame:
-    """The likest names of each mention, never selected. mentions: a plan's, at most ten, so that side is broadcast."""
-    m = mentions.select("mention", folded(F.col("mention")).alias("folded_mention")).limit(10)
+def candidates(mentions: DataFrame, index: DataFrame, most: int = MOST, least: int = LEAST_SCORE, types: list[str] | None = None) -> DataFrame:
+    """The likest names of each mention, never selected; equal scores by the order of ``types``, then by id.
+
+    mentions: a plan's, ten at most, so that side is broadcast; more are an error.
+    """
+    m = mentions.select("mention", folded(F.col("mention")).alias("folded_mention"))
+    if m.limit(MENTIONS + 1).count() > MENTIONS:
+        raise ValueError(f"more than {MENTIONS} mentions")
     scored = index.join(F.broadcast(m), F.lit(True)).withColumn("score", match_score(F.col("folded_mention"), F.col("folded_name"))).where(F.col("score") >= least)
-    w = W.partitionBy("mention").orderBy(F.col("score").desc(), "product_type", "product_id")
+    tie = [place(types)] if types else []
+    w = W.partitionBy("mention").orderBy(F.col("score").desc(), *tie, "product_type", "product_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("mention", "product_type", "product_id", "score", "position")

@@ -167,9 +167,12 @@ def group_order(by: list[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("None")).asc() for c in by]
 
 
-def exclusion_counts(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """One row: all, excluded_by_filter, excluded_by_state, included."""
+def exclusion_counts(df: DataFrame, valid_metrics: list[Column] = ()) -> DataFrame:
+    """One row: all, excluded_by_filter, excluded_by_state, included; with metrics' conditions also excluded_by_metric, the included rows' values that may not be compared."""
+    included = F.col("matched") & F.col("eligible")
+    values = [sum((F.count_if(included & ~F.coalesce(ok, F.lit(False))) for ok in valid_metrics), F.lit(0).cast("bigint")).alias("excluded_by_metric")] if valid_metrics else []
     return df.agg(
+        *values,
         F.count(F.lit(1)).alias("all_rows"), F.count_if(~F.col("matched")).alias("excluded_by_filter"),
         F.count_if(F.col("matched") & ~F.col("eligible")).alias("excluded_by_state"), F.count_if(F.col("matched") & F.col("eligible")).alias("included"))
 
@@ -189,8 +192,9 @@ def dual_lens(df: DataFrame, field: str, ok: Column, by: list[str]) -> DataFrame
 
 def compared_pairs(df: DataFrame, left_id, right_id, value: str, id_column: str = "product_id") -> DataFrame:
     """Two products side by side: values, absolute difference and direction."""
-    a = df.where(F.col(id_column) == F.lit(left_id)).select(F.col(id_column).alias("left_id"), F.col(value).alias("left_value"))
-    b = df.where(F.col(id_column) == F.lit(right_id)).select(F.col(id_column).alias("right_id"), F.col(value).alias("right_value"))
+    # ids are unique in a product table; one row of either side, whatever comes
+    a = df.where(F.col(id_column) == F.lit(left_id)).limit(1).select(F.col(id_column).alias("left_id"), F.col(value).alias("left_value"))
+    b = df.where(F.col(id_column) == F.lit(right_id)).limit(1).select(F.col(id_column).alias("right_id"), F.col(value).alias("right_value"))
     sign = F.signum((F.col("left_value") - F.col("right_value")).cast("double"))
     return a.join(b, F.lit(True)).withColumns({"difference": F.abs(F.col("left_value") - F.col("right_value")), "direction": F.when(sign > 0, "higher").when(sign < 0, "lower").when(sign == 0, "equal")})
 

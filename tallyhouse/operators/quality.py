@@ -18,7 +18,8 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
 def issues(df: DataFrame, source: str, key: list[str], column: str, status: Column, rule: str, severity: str) -> DataFrame:
     """One row for each value whose status is not comparable, with an id of its lineage and rule."""
     bad = df.withColumn("status", status).where(~F.col("status").isin("valid", "recorded_zero", "constant_metric"))
-    row_key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key))
+    # escaped, so that no two keys meet
+    row_key = F.concat_ws("|", *(F.replace(F.replace(F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for k in key))
     out = bad.select(F.lit(source).alias("source"), row_key.alias("row_key"), F.lit(column).alias("column_name"), "status", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
     return out.withColumn("issue_id", row_hash(*(F.col(c) for c in ("source", "row_key", "column_name", "status", "rule"))))
 
@@ -61,10 +62,17 @@ def multiplicity(df: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, percent: int, by: list[str]) -> DataFrame:
-    """The ceil(p*n/100)-th smallest value of each group (not an interpolated percentile)."""
+    """The ceil(p*n/100)-th smallest value of each group (not an interpolated percentile).
+
+    Rows are counted by value first, with map-side combining; only distinct
+    values are sorted.
+    """
     w = W.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(value))
-    return df.withColumns({"_at": at, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_at") == F.ceil(F.col("_n") * percent / 100)).select(*by, F.col(value).alias(f"p{percent}"))
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_times"))
+    so_far = F.sum("_times").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    at = F.ceil(F.col("_n") * percent / 100)
+    placed = counted.withColumns({"_so_far": so_far, "_n": F.sum("_times").over(w)})
+    return placed.where((F.col("_so_far") >= at) & (F.col("_so_far") - F.col("_times") < at)).select(*by, F.col(value).alias(f"p{percent}"))
 
 
 def table_hash(df: DataFrame, columns: list[str]) -> DataFrame:

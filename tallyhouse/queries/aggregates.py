@@ -63,7 +63,7 @@ def collapse_argmax(spark, sf_dir):
 @query("collapse_consensus", """select l_orderkey, case when count(distinct l_returnflag) = 1 then min(l_returnflag) end as value, case when count(distinct l_returnflag) = 1 then 'valid' else 'mixed_source_values' end as status,
     count(distinct l_returnflag) as n_values from lineitem group by l_orderkey""")
 def collapse_consensus(spark, sf_dir):
-    return collapse.consensus(table(spark, sf_dir, LINES), ["l_orderkey"], "l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return collapse.consensus(table(spark, sf_dir, LINES), ["l_orderkey"], "l_returnflag")
 
 
 @query("collapse_range", "select l_partkey, min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem group by l_partkey")

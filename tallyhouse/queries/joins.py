@@ -29,13 +29,13 @@ def nullsafe_join(spark, sf_dir):
     return links.matched(df.select("product_id", "region", "currency"), df.where("size < 3"), ["region", "currency"], ("region",)).select("product_id", "is_matched")
 
 
-LEFT = "select cast(c_custkey as string) as id, cast(c_custkey % 400 as string) as raw_identifier from customer where c_custkey % 3 = 0"
+LEFT = "select cast(c_custkey as string) as id, cast(c_custkey % 400 as string) as raw_identifier from customer"
 RIGHT = "select cast(s_suppkey as string) as id, cast(s_suppkey as string) as raw_identifier from supplier"
 LINKS = f"select a.id as left_id, b.id as right_id, a.raw_identifier, 'same_key_v1' as rule, sha256(a.id || chr(0) || b.id || chr(0) || a.raw_identifier || chr(0) || 'same_key_v1') as link_id from ({LEFT}) a join ({RIGHT}) b using (raw_identifier)"
 
 
 def linked(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("cast(c_custkey as string) as id", "cast(c_custkey % 400 as string) as raw_identifier")
+    a = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "cast(c_custkey % 400 as string) as raw_identifier")
     b = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) as id", "cast(s_suppkey as string) as raw_identifier")
     return links.exact_links(a, b, "same_key_v1")
 

@@ -38,6 +38,10 @@ query("parse_identity", oracle(TEXT, "case when raw <> '' and raw = s then raw e
 query("parse_identifier", oracle(IDENT, "case when regexp_full_match(raw, '[A-Z0-9]{12}') then raw end", "case when regexp_full_match(raw, '[A-Z0-9]{12}') then 'valid' else 'malformed_source_row' end"))(parsed(IDENT, P.parse_identifier))
 FORM = r"regexp_full_match(raw, '[+-]?[0-9]+(\.[0-9]+)?')"
 query("parse_decimal", oracle(NUMBER, f"case when {FORM} then cast(raw as double) end", f"case when s = '' then 'missing_blank' when not {FORM} then 'invalid_format' when cast(raw as double) = 0 then 'recorded_zero' else 'valid' end"))(parsed(NUMBER, P.parse_decimal, "double"))
+#: Texts with exponents, and the value and status of each.
+EXPONENTS = [("1e-20", None, "invalid_format"), ("1.5e-18", None, "invalid_format"), ("1000e-20", "1e-17", "valid"), ("2.50E3", "2500", "valid"), ("0e-30", "0", "recorded_zero"), ("1e20", None, "invalid_format"), ("-12.5e-3", "-0.0125", "valid"), ("5e-18", "5e-18", "valid"), ("1e", None, "invalid_format"), (".5e1", "5", "valid")]
+RAW_EXPONENTS = "case c_custkey % 10 " + " ".join(f"when {i} then '{raw}'" for i, (raw, _, _) in enumerate(EXPONENTS)) + " end"
+query("parse_decimal_exponent", oracle(RAW_EXPONENTS, "case raw " + " ".join(f"when '{raw}' then cast('{v}' as double)" for raw, v, _ in EXPONENTS if v) + " end", "case raw " + " ".join(f"when '{raw}' then '{s}'" for raw, _, s in EXPONENTS) + " end"))(parsed(RAW_EXPONENTS, P.parse_decimal, "double"))
 WHOLE = f"{FORM} and cast(raw as double) = floor(cast(raw as double))"
 query("parse_integer", oracle(NUMBER, f"case when {WHOLE} then cast(cast(cast(raw as double) as bigint) as string) end", f"case when s = '' then 'missing_blank' when not ({FORM}) or cast(raw as double) <> floor(cast(raw as double)) then 'invalid_format' when cast(raw as double) = 0 then 'recorded_zero' else 'valid' end".replace(f"not ({FORM}) or cast", f"not ({FORM}) or try_cast").replace("floor(cast", "floor(try_cast").replace("when cast(raw", "when try_cast(raw")))(parsed(NUMBER, P.parse_integer))
 query("parse_return", oracle(NUMBER, f"case when {FORM} then cast(raw as double) end", f"case when s = '' then 'missing_blank' when not {FORM} then 'invalid_format' when try_cast(raw as double) < -100 then 'out_of_domain' when try_cast(raw as double) = 0 then 'recorded_zero' else 'valid' end"))(parsed(NUMBER, P.parse_return, "double"))

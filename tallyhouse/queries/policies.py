@@ -55,6 +55,13 @@ def exclusion_counts(spark, sf_dir):
     return policy.exclusion_counts(df)
 
 
+@query("exclusion_metric", f"select count(*) as all_rows, count(*) filter (not currency = 'BUILDING') as excluded_by_filter, cast(0 as bigint) as excluded_by_state, count(*) filter (currency = 'BUILDING') as included, count(*) filter (currency = 'BUILDING' and not ({COMPARABLE} and balance <> 0)) as excluded_by_metric, 'customer' as product_type from {silver_sql('customer')}")
+def exclusion_metric(spark, sf_dir):
+    """Counts of a ranking plan, with the values that it may not compare."""
+    plan = QueryPlan("screen_rank", ("customer",), AS_OF, filters=(Filter("currency", "eq", "BUILDING"),), sort=(Sort("balance", True),), metrics=("balance",))
+    return engine(spark, sf_dir).run(plan).counts
+
+
 @query("population_counts", f"select count(*) filter ({COMPARABLE}) as comparable, count(*) filter (balance is null) as missing, count(*) filter (balance = 0) as zero, count(*) as population_rows from {silver_sql('customer')} where currency = 'BUILDING'")
 def population_counts(spark, sf_dir):
     plan = QueryPlan("screen", ("customer",), AS_OF, filters=(Filter("currency", "eq", "BUILDING"), Filter("balance", "gt", 3000)))
@@ -108,17 +115,33 @@ def mentions(spark, *names):
 NAMED = f"select 'customer' as product_type, product_id, 'C' || product_id as other_id, product_name as name from {silver_sql('customer')} union all select 'supplier', product_id, 'S' || product_id, product_name from {silver_sql('supplier')} union all select 'part', product_id, 'P' || product_id, product_name from {silver_sql('part')}"
 
 
-@query("entity_exact", f"""with i as ({NAMED}), m as (select unnest(['7', 'S3', 'customer#000000012']) as mention), f as (
-    select mention, product_type, product_id, 1 as p, 'product_id' as matched_by from m join i on mention = product_id union select mention, product_type, product_id, 2, 'other_id' from m join i on mention = other_id
-    union select mention, product_type, product_id, 3, 'exact_name' from m join i on lower(mention) = lower(name)), b as (select mention, min(p) as best from f group by 1)
-    select mention, product_type, product_id, matched_by, count(*) over (partition by mention) as n_candidates, count(*) over (partition by mention) = 1 as selected from f join b using (mention) where p = best""")
+TYPES = ["customer", "supplier", "part"]
+
+
+def resolved_sql(mentions: list[str], types: list[str]) -> str:
+    """Ids give the first product by the order of types, names only a single one; all folded."""
+    order = "case product_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(types)) + " end"
+    return f"""with i as ({NAMED}), m as (select unnest({mentions!r}) as mention), f as (
+    select mention, product_type, product_id, 1 as p, 'product_id' as matched_by from m join i on lower(mention) = lower(product_id) union select mention, product_type, product_id, 2, 'other_id' from m join i on lower(mention) = lower(other_id)
+    union select mention, product_type, product_id, 3, 'exact_name' from m join i on lower(mention) = lower(name)), b as (select mention, min(p) as best from f group by 1),
+    k as (select mention, product_type, product_id, matched_by, p, row_number() over (partition by mention order by {order}, product_id) as r, count(*) over (partition by mention) as n from f join b using (mention) where p = best and product_type in ({', '.join(map(repr, types))}))
+    select mention, product_type, product_id, matched_by, case when p = 3 then n else 1 end as n_candidates, p < 3 or n = 1 as selected from k where r <= case when p = 3 then 5 else 1 end"""
+
+
+@query("entity_exact", resolved_sql(["7", "S3", "customer#000000012"], TYPES))
 def entity_exact(spark, sf_dir):
-    return entities.resolve(mentions(spark, "7", "S3", "customer#000000012"), index(spark, sf_dir))
+    return entities.resolve(mentions(spark, "7", "S3", "customer#000000012"), index(spark, sf_dir), TYPES)
+
+
+@query("entity_folded_id", resolved_sql(["s3", "c12", "P7", "9"], ["part", "supplier", "customer"]))
+def entity_folded_id(spark, sf_dir):
+    """Ids in another case, and one id of three types, of which the plan's first is taken."""
+    return entities.resolve(mentions(spark, "s3", "c12", "P7", "9"), index(spark, sf_dir), ["part", "supplier", "customer"])
 
 
 @query("entity_fuzzy", None)
 def entity_fuzzy(spark, sf_dir):
-    return entities.candidates(mentions(spark, "Custmer 0000123", "part 77"), index(spark, sf_dir))
+    return entities.candidates(mentions(spark, "Custmer 0000123", "part 77"), index(spark, sf_dir), types=TYPES)
 
 
 @query("folded_names", f"select product_id, lower(product_name) as folded from {silver_sql('customer')}")

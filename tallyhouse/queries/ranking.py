@@ -29,7 +29,7 @@ def rank_ties(spark, sf_dir):
     select 'balance:' || currency || ':snapshot:positive' as partition_key, product_id, cast(balance as double) as value,
     rank() over (partition by currency order by balance) as "rank" from {silver_sql('customer')} where {VALID}) where "rank" <= 10""")
 def rank_partition(spark, sf_dir):
-    plan = QueryPlan("screen_rank", ("customer",), AS_OF, sort=(Sort("balance"),), metrics=("balance",), top_k=10)
+    plan = QueryPlan("screen_rank", ("customer",), AS_OF, sort=(Sort("balance"),), metrics=("balance",), top_k=10, top_k_scope="per_product_type")
     return engine(spark, sf_dir).run(plan).ranks.select("partition_key", "product_id", F.col("sort_value").cast("double").alias("value"), "rank", "tie_count")
 
 
@@ -41,6 +41,14 @@ def rank_two_types(spark, sf_dir):
     return engine(spark, sf_dir).run(plan).ranks.select("product_type", "product_id", "rank")
 
 
+@query("rank_two_directions", f"""select 'customer' as product_type, product_id, "rank" from (select product_id, rank() over (partition by currency order by balance desc) as "rank" from {silver_sql('customer')} where {VALID}) where "rank" <= 3
+    union all select 'part', product_id, "rank" from (select product_id, rank() over (order by price) as "rank" from {silver_sql('part')}) where "rank" <= 3""")
+def rank_two_directions(spark, sf_dir):
+    """Each product type by its own sort and direction."""
+    plan = QueryPlan("screen_rank", ("customer", "part"), AS_OF, sort=(Sort("balance", True), Sort("price")), top_k=3, top_k_scope="per_product_type")
+    return engine(spark, sf_dir).run(plan).ranks.select("product_type", "product_id", "rank")
+
+
 @query("rank_evidence_cap", f"""select currency, product_id, "rank", "position" from (select currency, product_id, "rank", row_number() over (partition by currency order by "rank", product_id) as "position" from (
     select currency, product_id, rank() over (partition by currency order by price desc) as "rank" from {silver_sql('part')}) where "rank" <= 4) where "position" <= 4""")
 def rank_evidence_cap(spark, sf_dir):

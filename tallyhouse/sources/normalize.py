@@ -47,8 +47,8 @@ BOND_LOTS: dict[str, tuple[str, Parser]] = {
 }
 DOMESTIC_LISTED: dict[str, tuple[str, Parser]] = {
     "product_id": ("pd_itm_no", P.parse_identifier), "name": ("pd_nm", P.parse_text), "aum_primary": ("pd_net_tamt", P.parse_decimal), "total_fee": ("cu_charge_rt", P.parse_decimal),
-    "tracking_error": ("du_chas_errt", P.parse_decimal), "return_1m": ("du_er_1m", P.parse_return), "return_3m": ("du_er_3m", P.parse_return), "return_6m": ("du_er_6m", P.parse_return),
-    "return_1y": ("du_er_1y", P.parse_return), "return_ytd": ("du_er_ytd", P.parse_decimal), "sale_flag": ("pd_sale_yn", P.parse_flag), "suspension_flag": ("pd_tr_yn", P.parse_flag),
+    "tracking_error": ("du_chas_errt", P.parse_decimal), "return_1m": ("du_er_1m", P.parse_decimal), "return_3m": ("du_er_3m", P.parse_decimal), "return_6m": ("du_er_6m", P.parse_decimal),
+    "return_1y": ("du_er_1y", P.parse_decimal), "return_ytd": ("du_er_ytd", P.parse_decimal), "sale_flag": ("pd_sale_yn", P.parse_flag), "suspension_flag": ("pd_tr_yn", P.parse_flag),
     "listing_date": ("pd_lstg_dt", P.parse_date), "listing_end_date": ("pd_lste_dt", open_end), "currency": ("pd_curr_cd", currency("listed")),
     "asset_type": ("wu_inv_ast_type", P.parse_optional_text), "region": ("wu_inv_rgn", P.parse_optional_text),
 }
@@ -56,10 +56,12 @@ OVERSEAS_LISTED: dict[str, tuple[str, Parser]] = {
     "product_id": ("pd_itm_no", P.parse_exact_identity), "name": ("pd_nm", P.parse_text), "ticker": ("pd_abrv_nm", P.parse_text), "aum": ("du_last_aum", P.parse_decimal),
     "total_fee": ("cu_charge_rt", P.parse_decimal), "return_1d": ("du_er_1d", P.parse_decimal), "trading_currency": ("pd_trd_ccy", currency("overseas")), "isin": ("pd_isin_cd", P.parse_identifier),
 }
+#: Fund returns that cannot be below -100; the others, and those of listed products, are kept as they are.
+BOUNDED_RETURNS = ("18m", "2y", "3y", "5y")
 PUBLIC_FUNDS: dict[str, tuple[str, Parser]] = {
     "fund_item_id": ("itm_no", P.parse_exact_identity), "name": ("itm_nm", P.parse_text), "net_assets": ("fd_nast_suma", P.parse_decimal), "currency": ("curr_cd", currency("fund")),
     "external_id": ("ksd_itm_no", P.parse_optional_text), "risk_name": ("zrin_fd_ivst_risk_grd_nm", P.parse_text),
-} | {f"return_{k}": (f"fd_{c}_ern_r", P.parse_return) for k, c in {"1w": "wk1", "1m": "mm1", "3m": "mm3", "6m": "mm6", "18m": "mm18", "1y": "yr1", "2y": "yr2", "3y": "yr3", "5y": "yr5"}.items()}
+} | {f"return_{k}": (f"fd_{c}_ern_r", P.parse_return if k in BOUNDED_RETURNS else P.parse_decimal) for k, c in {"1w": "wk1", "1m": "mm1", "3m": "mm3", "6m": "mm6", "18m": "mm18", "1y": "yr1", "2y": "yr2", "3y": "yr3", "5y": "yr5"}.items()}
 
 
 def parsed(df: DataFrame, spec: dict[str, tuple[str, Parser]], keep: list[str] = ()) -> DataFrame:

@@ -121,7 +121,9 @@ def test_two_currencies_have_no_global_rank(spark):
     engine = Engine(R, lambda name: t, AS_OF)
     with pytest.raises(PlanError):
         engine.run(plan("screen_rank", ("domestic_etf", "overseas_etf"), sort=(Sort("aum", True),), metrics=("aum",)))
-    one = engine.run(plan("screen_rank", ("overseas_etf",), sort=(Sort("aum", True),), metrics=("aum",)))
+    with pytest.raises(PlanError):  # nor within one product type
+        engine.run(plan("screen_rank", ("overseas_etf",), sort=(Sort("aum", True),), metrics=("aum",)))
+    one = engine.run(plan("screen_rank", ("overseas_etf",), sort=(Sort("aum", True),), metrics=("aum",), top_k_scope="per_product_type"))
     assert {(r.product_id, r.rank) for r in one.ranks.collect()} == {("a", 1), ("b", 1)}
 
 
