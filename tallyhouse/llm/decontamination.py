@@ -7,11 +7,15 @@ text, and Myers' bit-parallel distance then verifies the whole item around
 each hit. The items go to the tasks in blocks of bounded size, each searched in
 all texts, however many blocks there are.
 
-Defined cases: items under ``least_words`` words cannot be told from ordinary
-prose and never match; a null or empty text matches nothing; repeated rows of
-texts are searched each; repeated items each match; a null item matches
-nothing; an item occurring more than once in a text gives its best place, the
-first of equals.
+Defined cases: an item under ten words has no error budget and is found only
+as it stands, however short; ``contaminations`` reports it with its number of
+words. ``decontaminated`` takes documents away only for items of ``least_words``
+words or more, as shorter ones cannot be told from ordinary prose. A null or
+empty text matches nothing; repeated rows of texts are searched each; repeated
+items each match; a null item, or one without words, matches nothing; an item
+occurring more than once in a text gives its best place, the first of equals;
+empty tables of texts or items give no matches; other columns are ignored by
+``contaminations`` and kept by ``decontaminated``.
 """
 
 from __future__ import annotations
@@ -114,7 +118,7 @@ def item_blocks(benchmark: DataFrame, item_key: str, least_words: int):
     block, chars = [], 0
     for r in benchmark.select(item_key, "text").toLocalIterator():
         w = words(r[1])
-        if len(w) >= least_words:
+        if w and len(w) >= least_words:
             block.append((r[0], w))
             chars += len(r[1])
             if chars >= BLOCK_CHARS:
@@ -124,7 +128,7 @@ def item_blocks(benchmark: DataFrame, item_key: str, least_words: int):
         yield block
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", rate: float = RATE, least_words: int = LEAST_WORDS) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", rate: float = RATE, least_words: int = 1) -> DataFrame:
     """key, item_key, distance, first_word, end_word (words of the text, end exclusive), item_words of each text and item in it."""
     schema = docs.select(key).schema.add("item", benchmark.schema[item_key].dataType)
     for c in ("distance", "first_word", "end_word", "item_words"):

@@ -51,7 +51,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs += [(500, None, 0), (None, "", 0), (501, "w1 " * 3000, 0)]
     d = spark.createDataFrame(docs, "doc_id long, text string, distance int").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted((str(k), i, distance(words(x), words(t))) for k, t, _ in docs for i, x in items if len(words(x)) >= 8 and distance(words(x), words(t)) <= int(0.1 * len(words(x))))
+    want = sorted((str(k), i, distance(words(x), words(t))) for k, t, _ in docs for i, x in items if words(x) and distance(words(x), words(t)) <= int(0.1 * len(words(x))))
     got = contaminations(d, b).collect()
     assert sorted((str(r.doc_id), r.item_id, r.distance) for r in got) == want and len(want) > 20
     for r in got:
@@ -68,3 +68,12 @@ def test_empty(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert contaminations(d, b).collect() == [] and decontaminated(d, b).count() == 1
     assert contaminations(d.limit(0), b).collect() == []
+
+
+def test_short_items_are_reported_but_take_nothing_away(spark):
+    docs = spark.createDataFrame([(1, "so the answer is forty two, he said"), (2, "nothing here"), (3, None), (4, "Forty-two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "forty two"), (2, ""), (3, None), (4, "...")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.first_word, r.end_word, r.item_words) for r in contaminations(docs, items).collect()}
+    assert got == {(1, 1, 0, 4, 6, 2), (4, 1, 0, 0, 2, 2)}
+    assert decontaminated(docs, items).count() == 4
+    assert contaminations(docs, items.limit(0)).collect() == [] and contaminations(docs.limit(0), items).collect() == []
