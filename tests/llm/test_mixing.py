@@ -50,3 +50,15 @@ def test_edge_cases(spark):
     assert mix(spark.createDataFrame([], schema)).collect() == []
     got = mix(spark.createDataFrame([(1, "a", ""), (2, None, None)], schema)).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_columns_of_any_name_stay(spark):
+    from tallyhouse.llm.mixing import ADDED, mixed_documents
+
+    rows = [(i, "abc"[i % 3], "w " * (i % 40 + 1), i, -i, str(i), i, "m") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, k int, s int, z string, size int, mix string")
+    out = mixed_documents(df)
+    assert out.columns == [*(c for c in df.columns if c not in ADDED), *ADDED]
+    got = out.collect()
+    assert got and all((r.k, r.s, r.z, r.mix, r.size) == (r.doc_id, -r.doc_id, str(r.doc_id), "m", r.doc_id % 40 + 1) for r in got)
+    assert mixed_documents(df.limit(0)).collect() == []
