@@ -10,7 +10,11 @@ such document nothing is rejected.
 
 Defined cases: a null or empty text has one token, its end, and is rejected
 only if that alone is beyond the threshold; a null key has no label; repeated
-rows are judged each; labels repeated for a key must all be good to trust it.
+rows are judged each; labels repeated for a key must all be good to trust it. A
+text at its threshold is kept; equal hashes in the choice of the learning part
+go by key; an empty table gives no rows; other columns, whatever their names,
+are ignored by the verdicts and kept by ``accepted``; a very long text is one
+row of one task.
 """
 
 from __future__ import annotations
