@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import policy
+from .operators import evidence, policy
 from .plans.plan import PlanError, QueryPlan
 from .plans.registry import Registry
 from .plans.segments import Bundle, Segment, check, split
@@ -21,7 +21,8 @@ class Answer:
 
     rows: selected products; ranks: competition ranks by partition; aggregates:
     values with counts; counts: exclusions by segment; source: matched rows
-    before the state policy.
+    before the state policy; comparison: the difference of a comparing plan's
+    two values.
     """
 
     bundle: Bundle
@@ -30,6 +31,7 @@ class Answer:
     aggregates: DataFrame | None = None
     counts: DataFrame | None = None
     source: DataFrame | None = None
+    comparison: DataFrame | None = None
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -63,7 +65,19 @@ class Engine:
             return Answer(bundle, aggregates=self.aggregates(plan, frames_all), counts=counts, source=source)
         if plan.intent == "screen_rank" and any(s.metrics for s, _ in frames):
             return Answer(bundle, ranks=self.ranks(plan, frames), counts=counts, source=source)
-        return Answer(bundle, rows=self.rows(plan, frames), counts=counts, source=source)
+        compared = self.comparison(plan, frames) if plan.intent == "compare" else None
+        return Answer(bundle, rows=self.rows(plan, frames), counts=counts, source=source, comparison=compared)
+
+    def comparison(self, plan: QueryPlan, frames) -> DataFrame | None:
+        """Evidence of the difference of two products; None unless the plan has one metric that is a number."""
+        if len(plan.metrics) != 1:
+            return None
+        parts = []
+        for s, df in frames:
+            m = self.registry.metric_of(plan.metrics[0], s.product_type.name)
+            if m and m.kind != "rating":
+                parts.append(policy.metric_values(df, s, self.registry, False).where(F.col("metric") == m.name).withColumn("metric", F.lit(m.field)))
+        return evidence.comparison(policy.compared_values(union(parts))) if parts else None
 
     def guard(self, plan: QueryPlan, values: DataFrame) -> None:
         """A global ranking or aggregate of values has to be of one partition, also within one product type."""

@@ -22,6 +22,13 @@ def derived_difference(pair: DataFrame, metric: str) -> DataFrame:
     return out.withColumn("evidence_id", row_hash(F.col("field"), F.array_join("inputs", ","), F.col("value")))
 
 
+def comparison(pair: DataFrame) -> DataFrame:
+    """The derived evidence of a comparing plan (``policy.compared_values``): field, value, inputs, and an id of both products."""
+    field = F.concat("metric", F.lit("_difference"))
+    out = pair.select("product_type", "product_id", field.alias("field"), F.array("low_id", "high_id").alias("inputs"), decimal_text(F.col("difference")).alias("value"), F.lit("valid").alias("status"))
+    return out.withColumn("evidence_id", F.concat(F.lit("comparison:"), row_hash(F.col("product_type"), F.col("inputs")[0], F.col("inputs")[1], F.col("field")), F.lit(":"), F.col("field")))
+
+
 def summaries(counts: DataFrame, kind: str) -> DataFrame:
     """One row for each counted fact: kind, product_type, name, count."""
     names = [c for c in counts.columns if c != "product_type"]
@@ -42,6 +49,18 @@ def point_lookup(evidence: DataFrame, ids: list[str], most: int = 50) -> DataFra
     return evidence.where(F.col("evidence_id").isin(sorted(set(ids))))
 
 
+def records_by_id(df: DataFrame, id_column: str, ids: list[str], most: int = 50) -> DataFrame:
+    """The records of a plan's ids, exactly one each; any other number is an error."""
+    wanted = sorted(set(ids))
+    if not 1 <= len(wanted) <= most or len(wanted) != len(ids):
+        raise ValueError(f"1 to {most} different ids are needed")
+    found = df.where(F.col(id_column).isin(wanted))
+    n = found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_column).alias("n_ids")).first()
+    if (n["n_rows"], n["n_ids"]) != (len(wanted), len(wanted)):
+        raise ValueError(f"{n['n_rows']} records of {n['n_ids']} ids, not one of each of {len(wanted)}")
+    return found
+
+
 def unsupported_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Claims (claim_id, evidence_id, value) that no evidence row carries with that value; empty for a verified answer."""
     e = evidence.select(F.col("evidence_id").alias("_id"), F.col("value").alias("_value"))

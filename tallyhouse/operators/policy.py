@@ -9,6 +9,7 @@ aggregates read the flags.
 from __future__ import annotations
 
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -146,16 +147,35 @@ def selection(df: DataFrame, order: list[tuple[str, bool]], top_k: int, per: lis
     return first_of(df, F.row_number().over(W.partitionBy(*per).orderBy(*keys)), top_k, "position")
 
 
+def exact_average(number: Column) -> Column:
+    """The average of a decimal(38,18), rounded once, half to even, at 18 digits; below 10^16, as the engine's own average.
+
+    The engine's average has 22 digits. Rounding that again errs only where its
+    last four digits look like a half; there the sum's remainder by the count,
+    in units of the last digit, says on which side of the half it is.
+    """
+    mean, last = F.avg(number), F.lit(Decimal("1E-18"))
+    part = F.count(number).cast("decimal(18,0)") * last
+    remainder = F.abs(F.sum(number)) % part
+    half = (F.abs(mean) % last) == F.lit(Decimal("5E-19"))
+    # towards zero and one digit away from it; only used where the mean looks like a half
+    inner = F.when(half, mean - F.signum(mean.cast("double")).cast("decimal(1,0)") * F.lit(Decimal("5E-19")))
+    outer = inner + F.signum(mean.cast("double")).cast("decimal(1,0)") * last
+    twice = remainder + remainder
+    return F.when(half & (twice < part), inner).when(half & (twice > part), outer).otherwise(F.bround(mean, 18)).cast("decimal(38,18)")
+
+
 def aggregated(df: DataFrame, function: str, field: str | None, by: list[str], ok: Column | None = None) -> DataFrame:
     """value, included_count and excluded_count by group; one row where nothing is grouped.
 
-    avg is exact to 18 digits, half to even; the sums are exact decimals.
+    avg is exact to 18 digits, half to even (``exact_average``); the sums are
+    exact decimals.
     """
     number = F.when(ok if ok is not None else F.lit(True), F.col(field)) if field else None
     if function == "count":
         value = F.count(F.lit(1)).cast("decimal(38,18)")
     elif function == "avg":
-        value = F.bround(F.avg(number.cast("decimal(38,18)")), 18).cast("decimal(38,18)")
+        value = exact_average(number.cast("decimal(38,18)"))
     else:
         value = getattr(F, function)(number.cast("decimal(38,18)")).cast("decimal(38,18)")
     included = F.count(F.lit(1)) if number is None else F.count(number)
@@ -199,6 +219,21 @@ def compared_pairs(df: DataFrame, left_id, right_id, value: str, id_column: str
     return a.join(b, F.lit(True)).withColumns({"difference": F.abs(F.col("left_value") - F.col("right_value")), "direction": F.when(sign > 0, "higher").when(sign < 0, "lower").when(sign == 0, "equal")})
 
 
+def compared_values(values: DataFrame) -> DataFrame:
+    """The difference of exactly two comparable values of one product type, of a tall table (``metric_values``); else no row.
+
+    product_id is the product with the larger value, the first by id at a tie;
+    low_id and high_id are both in the order of ids. One aggregation of
+    constant size, whatever the number of rows.
+    """
+    end = F.struct("product_type", "product_id", "metric", "sort_value")
+    both = values.where("valid").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("a"), F.max(end).alias("b"))
+    both = both.where("n = 2 and a.product_type = b.product_type and a.product_id <> b.product_id and a.metric = b.metric")
+    return both.select(
+        "a.product_type", F.when(F.col("b.sort_value") > F.col("a.sort_value"), F.col("b.product_id")).otherwise(F.col("a.product_id")).alias("product_id"), "a.metric",
+        F.col("a.product_id").alias("low_id"), F.col("b.product_id").alias("high_id"), F.abs(F.col("b.sort_value") - F.col("a.sort_value")).alias("difference"))
+
+
 def reversed_selection(df: DataFrame, value: str, descending: bool, top_k: int, by: list[str], tie_break: str = "product_id") -> DataFrame:
     """The first rows of each partition by (value, id) as one key: a descending order turns the ids round too."""
     order = [F.col(value).desc(), F.col(tie_break).desc()] if descending else [F.col(value).asc(), F.col(tie_break).asc()]

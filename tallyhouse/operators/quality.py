@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import row_hash
+from ..plans.registry import COMPARABLE
 
 
 def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
@@ -17,13 +18,21 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
 
 def issues(df: DataFrame, source: str, key: list[str], column: str, status: Column, rule: str, severity: str) -> DataFrame:
     """One row for each value whose status is not comparable, with an id of its lineage and rule."""
-    bad = df.withColumn("status", status).where(~F.col("status").isin("valid", "recorded_zero", "constant_metric"))
+    bad = df.withColumn("status", status).where(~F.col("status").isin(*COMPARABLE))
     # escaped, so that no two keys meet
     row_key = F.concat_ws("|", *(F.replace(F.replace(F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for k in key))
     out = bad.select(F.lit(source).alias("source"), row_key.alias("row_key"), F.lit(column).alias("column_name"), "status", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
     return out.withColumn("issue_id", row_hash(*(F.col(c) for c in ("source", "row_key", "column_name", "status", "rule"))))
 
 
+def field_issues(df: DataFrame, source: str, key: str, columns: dict[str, str], severity: str) -> DataFrame:
+    """Issues of many fields in one pass: like ``issues``, for parsed rows. columns: field to its raw column; the rule is source.field."""
+    cells = F.array(*(F.struct(F.lit(raw).alias("column_name"), F.col(f"{f}__quality_status").alias("status"), F.lit(f"{source}.{f}").alias("rule")) for f, raw in columns.items()))
+    out = df.select(F.col(key).cast("string").alias("row_key"), F.inline(cells)).where(~F.col("status").isin(*COMPARABLE))
+    out = out.select(F.lit(source).alias("source"), "row_key", "column_name", "status", "rule", F.lit(severity).alias("severity"))
+    return out.withColumn("issue_id", row_hash(*(F.col(c) for c in ("source", "row_key", "column_name", "status", "rule"))))
+
+
 def rollup(issue_rows: DataFrame) -> DataFrame:
     """Counts by source, rule, severity and status, one pass: dimension, name, n_issues, n_rows."""
     dims = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("name")) for d in ("source", "rule", "severity", "status")))

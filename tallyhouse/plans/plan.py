@@ -69,6 +69,8 @@ class QueryPlan:
     top_k_scope: str = "global"
     ids: tuple[str, ...] = ()
     constituent: tuple[str, str] | None = None
+    #: what a row of the answer is: the product types' own grain, or "product" over several; empty: not stated
+    grain: str = ""
 
     def __post_init__(self):
         need(self.intent in INTENTS, f"unknown intent {self.intent}")
@@ -82,8 +84,14 @@ class QueryPlan:
         need(bool(self.product_types), "a product type is needed")
         need((self.aggregation is not None) == (self.intent == "aggregate"), "an aggregation goes with the aggregate intent")
         need(self.intent != "screen_rank" or bool(self.sort), "a ranking needs a sort")
-        need(not (self.metrics and self.metric_targets), "metrics or metric targets, not both")
-        need({t for t, _ in self.metric_targets} <= set(self.product_types), "metric target of another product type")
+        if self.metric_targets:
+            need(self.intent == "screen_rank" and self.top_k_scope == "per_product_type", "metric targets need a ranking by product type")
+            need(tuple(t for t, _ in self.metric_targets) == self.product_types, "metric targets follow the product types")
+            for _, ms in self.metric_targets:
+                need(0 < len(ms) <= 20 and len(set(ms)) == len(ms), "a target has 1 to 20 different metrics")
+            if self.metrics:
+                need({m for _, ms in self.metric_targets for m in ms} == set(self.metrics), "metric targets cover the plan's metrics")
+                need(all(ms == tuple(m for m in self.metrics if m in ms) for _, ms in self.metric_targets), "target metrics keep the plan's order")
 
     def metrics_of(self, product_type: str) -> tuple[str, ...]:
         return dict(self.metric_targets).get(product_type, ()) if self.metric_targets else self.metrics

@@ -99,14 +99,15 @@ O_ETF, O_ETN, FUND = "overseas_etf", "overseas_etn", "public_fund"
 LISTED, OVERSEAS = (ETF, ETN), (O_ETF, O_ETN)
 
 
+# fixed values: fields with their operators, metrics with their policies, and the columns they stand in
 def _fields() -> dict[str, Field]:
     funds_and_listed = (*LISTED, *OVERSEAS, FUND)
     out = [
         Field("product_name", "string", (EQ, CONTAINS, STARTS)),
         Field("product_id", "string", (EQ, IN)),
         Field("holding_constituent", "string", (EQ,), False, (), funds_and_listed),
-        Field("asset_type", "string", (EQ, CONTAINS), True, (), funds_and_listed),
-        Field("region", "string", (EQ, CONTAINS), True, (), funds_and_listed),
+        Field("asset_type", "string", (EQ, IN, CONTAINS), True, (), (*LISTED, *OVERSEAS)),
+        Field("region", "string", (EQ, IN, CONTAINS), True, (), funds_and_listed),
         Field("currency", "string", (EQ, IN)),
         Field("issue_date", "date", (*RANGE, *NULLS), True, (), (BOND,)),
         Field("maturity_date", "date", (*RANGE, *NULLS), True, (), (BOND,)),

@@ -56,6 +56,9 @@ def check(plan: QueryPlan, registry: Registry, as_of: date) -> None:
     need(plan.as_of == as_of, "the plan's date is not the snapshot's")
     for t in plan.product_types:
         need(t in registry.product_types, f"unknown product type {t}")
+    if plan.grain and plan.product_types:
+        native = {registry.product_types[t].grain for t in plan.product_types}
+        need(plan.grain == "product" and len(plan.product_types) > 1 or native == {plan.grain}, "the grain is not that of the product types")
     asked = {f.field for f in plan.filters} | {s.field for s in plan.sort} | set(plan.metrics) | {m for _, ms in plan.metric_targets for m in ms}
     if plan.aggregation:
         asked |= set(plan.aggregation.group_by) | ({plan.aggregation.field} - {None})

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import holdings, links, policy, quality
 from ..operators.predicates import semi_exists
-from .base import query, silver, silver_sql, table
+from ..plans.plan import QueryPlan
+from .base import AS_OF, engine, query, silver, silver_sql, table
 
 
 @query("semi_exists", "select p_partkey, p_brand from part where exists (select 1 from lineitem where l_partkey = p_partkey and l_suppkey = 7)")
@@ -31,13 +32,13 @@ def nullsafe_join(spark, sf_dir):
 
 LEFT = "select cast(c_custkey as string) as id, cast(c_custkey % 400 as string) as raw_identifier from customer"
 RIGHT = "select cast(s_suppkey as string) as id, cast(s_suppkey as string) as raw_identifier from supplier"
-LINKS = f"select a.id as left_id, b.id as right_id, a.raw_identifier, 'same_key_v1' as rule, sha256(a.id || chr(0) || b.id || chr(0) || a.raw_identifier || chr(0) || 'same_key_v1') as link_id from ({LEFT}) a join ({RIGHT}) b using (raw_identifier)"
+LINKS = f"select a.id as left_id, b.id as right_id, a.raw_identifier, 'same_key_v1' as rule, sha256('same_key_v1' || chr(0) || '1.0.0' || chr(0) || 'customer' || chr(0) || a.id || chr(0) || 'supplier' || chr(0) || b.id || chr(0) || a.raw_identifier) as link_id from ({LEFT}) a join ({RIGHT}) b using (raw_identifier)"
 
 
 def linked(spark, sf_dir):
     a = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "cast(c_custkey % 400 as string) as raw_identifier")
     b = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as string) as id", "cast(s_suppkey as string) as raw_identifier")
-    return links.exact_links(a, b, "same_key_v1")
+    return links.exact_links(a, b, "same_key_v1", "1.0.0", "customer", "supplier")
 
 
 @query("exact_link", LINKS)
@@ -60,6 +61,18 @@ def link_scan(spark, sf_dir):
     return links.of_either_side(linked(spark, sf_dir), "9").select("left_id", "right_id")
 
 
+@query("link_problems", f"""with l as ({LINKS}), c as (select 'left' as side from l group by left_id having count(distinct right_id) > 1 union all select 'right' from l group by right_id having count(distinct left_id) > 1)
+    select 'conflict on the ' || side as problem, count(*) as n from c group by 1 union all select 'number of links', count(*) from l having count(*) <> 217""")
+def link_problems(spark, sf_dir):
+    return links.problems(linked(spark, sf_dir), 217)
+
+
+@query("linked_records", f"with l as ({LINKS}) select s_suppkey, s_name, s_nationkey from supplier where cast(s_suppkey as string) in (select right_id from l)")
+def linked_records(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").withColumn("id", F.col("s_suppkey").cast("string"))
+    return links.linked_records(suppliers, "id", linked(spark, sf_dir), "right_id").drop("id")
+
+
 COVERED = """select 'customer' as owner_type, cast(c_custkey as string) as owner_id, coalesce(state, 'unavailable') as coverage_state, coalesce(n, 0) as observed_holding_count from customer
     left join (select o_custkey, count(*) as n, case when count(*) > 10 then 'complete' else 'partial_top_10' end as state from orders group by 1) on c_custkey = o_custkey"""
 
@@ -94,6 +107,18 @@ def compare_pair(spark, sf_dir):
     return out.select("left_id", "right_id", *(F.col(c).cast("double").alias(c) for c in ("left_value", "right_value", "difference")), "direction")
 
 
+PAIR = f"select min_by(product_id, product_id) as a, max_by(product_id, product_id) as b, min_by(price, product_id) as x, max_by(price, product_id) as y from {silver_sql('part')} where product_id in ('3', '8')"
+
+
+@query("compare_plan", f"""select 'part' as product_type, case when y > x then b else a end as product_id, 'price_difference' as field, a || ',' || b as inputs, cast(abs(y - x) as double) as value,
+    'comparison:' || sha256('part' || chr(0) || a || chr(0) || b || chr(0) || 'price_difference') || ':price_difference' as evidence_id from ({PAIR})""")
+def compare_plan(spark, sf_dir):
+    """A comparing plan of two products through the engine."""
+    plan = QueryPlan("compare", ("part",), AS_OF, metrics=("price",), ids=("3", "8"))
+    out = engine(spark, sf_dir).run(plan).comparison
+    return out.select("product_type", "product_id", "field", F.array_join("inputs", ",").alias("inputs"), F.col("value").cast("double").alias("value"), "evidence_id")
+
+
 @query("except_all_diff", """select n_nationkey, n_regionkey, 'left' as only_in from (select n_nationkey, n_regionkey from nation except all select n_nationkey, n_regionkey % 4 from nation)
     union all select n_nationkey, n_regionkey, 'right' from (select n_nationkey, n_regionkey % 4 as n_regionkey from nation except all select n_nationkey, n_regionkey from nation)""")
 def except_all_diff(spark, sf_dir):

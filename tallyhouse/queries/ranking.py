@@ -86,6 +86,6 @@ def topk_per_type(spark, sf_dir):
     union all select 'supplier', product_id, product_name, null from {silver_sql('supplier')} where contains(product_name, '0001')
     union all select 'part', product_id, product_name, cast(price as double) from {silver_sql('part')} where contains(product_name, '0001')""")
 def envelope_union(spark, sf_dir):
-    plan = QueryPlan("screen", ("customer", "supplier", "part"), AS_OF, filters=(Filter("product_name", "contains", "0001"),), metric_targets=(("part", ("price",)),))
+    plan = QueryPlan("screen", ("customer", "supplier", "part"), AS_OF, filters=(Filter("product_name", "contains", "0001"),), metrics=("price",))
     source = engine(spark, sf_dir).run(plan).source
     return source.select("product_type", "product_id", "product_name", F.col("price").cast("double").alias("price"))

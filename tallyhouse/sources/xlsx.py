@@ -3,12 +3,14 @@
 ``spark.dataSource.register(XlsxDataSource)``, then
 ``spark.read.format("xlsx").schema(...).option("path", ...).load()``. Paths
 with several files (comma-separated) give a partition each. The schema's names
-have to be the header, in order. Formulas, repeated cells and document types
-are refused; a missing cell is an empty text.
+have to be the header, in order. Option ``sheet_name`` finds a sheet by the
+workbook's relations, ``sheet`` by its part. Formulas, repeated cells, rows out
+of order and document types are refused; a missing cell is an empty text.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -17,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 CELL = re.compile(r"([A-Z]+)([0-9]+)\Z")
 
 
@@ -49,34 +52,67 @@ def shared_strings(book: zipfile.ZipFile) -> list[str]:
     return [text_of(si) for si in root.findall(MAIN + "si")]
 
 
-def sheet_rows(path: str, sheet: str = "xl/worksheets/sheet1.xml"):
-    """(row number, {column number: text}) of a sheet, streamed."""
+def sheet_member(book: zipfile.ZipFile, name: str) -> str:
+    """The part of the archive that holds the sheet of a name, by the workbook's own relations."""
+    sheets = ElementTree.fromstring(checked(book.read("xl/workbook.xml"))).findall(f"{MAIN}sheets/{MAIN}sheet")
+    found = [s.get(f"{LINKS}id") for s in sheets if s.get("name") == name]
+    if len(found) != 1:
+        raise SheetError(f"{len(found)} sheets of the name {name!r}")
+    targets = {r.get("Id"): r for r in ElementTree.fromstring(checked(book.read("xl/_rels/workbook.xml.rels")))}
+    link = targets.get(found[0])
+    if link is None or not (link.get("Type") or "").endswith("/worksheet") or link.get("TargetMode") not in (None, "Internal"):
+        raise SheetError(f"{name!r} is no sheet of this workbook")
+    target = link.get("Target") or ""
+    member = posixpath.normpath(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+    if member not in book.namelist():
+        raise SheetError(f"{member} is missing")
+    return member
+
+
+def sheet_rows(path: str, sheet: str = "xl/worksheets/sheet1.xml", name: str | None = None):
+    """(row number, {column number: text}) of a sheet, streamed; name: look the sheet up in the workbook."""
     with zipfile.ZipFile(path) as book:
         strings = shared_strings(book)
-        with book.open(sheet) as f:
+        with book.open(sheet_member(book, name) if name else sheet) as f:
             checked(f.peek(4096))
-            for _, node in ElementTree.iterparse(f):
+            rows, last = None, 0
+            for event, node in ElementTree.iterparse(f, events=("start", "end")):
+                if event == "start":
+                    if node.tag == MAIN + "sheetData":
+                        rows = node
+                    continue
                 if node.tag != MAIN + "row":
                     continue
-                cells: dict[int, str] = {}
-                for c in node.findall(MAIN + "c"):
-                    m = CELL.match(c.get("r") or "")
-                    if not m:
-                        raise SheetError("a cell without a reference")
-                    if c.find(MAIN + "f") is not None:
-                        raise SheetError(f"a formula in {m[0]}")
-                    at = column_number(m[1])
-                    if at in cells:
-                        raise SheetError(f"repeated cell {m[0]}")
-                    kind, v = c.get("t"), c.find(MAIN + "v")
-                    if kind == "inlineStr":
-                        inline = c.find(MAIN + "is")
-                        cells[at] = text_of(inline) if inline is not None else ""
-                    else:
-                        raw = (v.text or "") if v is not None else ""
-                        cells[at] = strings[int(raw)] if kind == "s" else raw
-                yield int(node.get("r") or 0), cells
-                node.clear()
+                number = int(node.get("r") or 0)
+                if number <= last:
+                    raise SheetError(f"row {number} after row {last}")
+                last = number
+                yield number, row_cells(node, strings)
+                if rows is not None:  # a cleared row would still hang on its parent
+                    rows.clear()
+
+
+def row_cells(node, strings: list[str]) -> dict[int, str]:
+    cells: dict[int, str] = {}
+    for c in node.findall(MAIN + "c"):
+        m = CELL.match(c.get("r") or "")
+        if not m:
+            raise SheetError("a cell without a reference")
+        if c.find(MAIN + "f") is not None:
+            raise SheetError(f"a formula in {m[0]}")
+        at = column_number(m[1])
+        if at in cells:
+            raise SheetError(f"repeated cell {m[0]}")
+        kind, v = c.get("t"), c.find(MAIN + "v")
+        if kind == "inlineStr":
+            inline = c.find(MAIN + "is")
+            cells[at] = text_of(inline) if inline is not None else ""
+        else:
+            raw = (v.text or "") if v is not None else ""
+            if kind == "s" and not (raw.isascii() and raw.isdigit() and int(raw) < len(strings)):
+                raise SheetError(f"no shared text {raw!r} for {m[0]}")
+            cells[at] = strings[int(raw)] if kind == "s" else raw
+    return cells
 
 
 class XlsxReader(DataSourceReader):
@@ -84,13 +120,14 @@ class XlsxReader(DataSourceReader):
         self.names = schema.names
         self.paths = [p for p in (options.get("path") or "").split(",") if p]
         self.sheet = options.get("sheet") or "xl/worksheets/sheet1.xml"
+        self.named = options.get("sheet_name")
         self.expected = int(options["rows"]) if options.get("rows") else None
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        rows = sheet_rows(partition.value.removeprefix("file:"), self.sheet)
+        rows = sheet_rows(partition.value.removeprefix("file:"), self.sheet, self.named)
         header = next(rows, (0, {}))[1]
         names = [header.get(i, "") for i in range(1, max(header, default=0) + 1)]
         if names != self.names or len(set(names)) != len(names) or not all(n.strip() for n in names):

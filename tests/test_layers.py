@@ -1,15 +1,19 @@
 """Parsers' edge values, normalisation, collapse, holdings, the XLSX source, and sinks."""
 
 import zipfile
+from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.engine import Engine
 from tallyhouse.functions import parse as P
 from tallyhouse.functions.text import fold
-from tallyhouse.operators import evidence, holdings, quality
+from tallyhouse.operators import evidence, holdings, links, quality
+from tallyhouse.plans.plan import Filter, QueryPlan, Sort
+from tallyhouse.plans.registry import financial_registry
 from tallyhouse.sources import layers, normalize
 from tallyhouse.sources.xlsx import XlsxDataSource
 
@@ -69,7 +73,7 @@ def test_bonds(spark):
 def test_other_sources(spark, spec, identity):
     names = sorted({raw for raw, _ in spec.values()})
     ident = spec[identity][0]
-    rows = [tuple("KR0000000001" if c == ident else "1" for c in names), tuple("" for _ in names)]
+    rows = [tuple("KR0000000001" if c == ident else "ETF" if c == "pd_grp_no" else "1" for c in names), tuple("" for _ in names)]
     good, bad = normalize.normalised(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)), spec, identity)
     assert good.count() == 1 and bad.count() == 1 and len(good.columns) == 2 * len(spec)
 
@@ -98,6 +102,88 @@ def test_holdings(spark):
     assert [r.constituent_identifier for r in holdings.constituents(held, "B").collect()] == ["B"]
 
 
+def test_no_holdings_at_all(spark):
+    none = spark.createDataFrame([], "owner_type string, owner_id string, constituent_identifier_type string, constituent_identifier string, constituent_name string")
+    assert [tuple(r) for r in holdings.constituents(none, "Acme").collect()] == [("query_text_exact", "Acme", 3)]
+
+
+def test_admission(spark):
+    day = date(2026, 1, 1)
+    source = ("g1", "owner", "issuer", "https://example.org/h", "ab", day, day)
+    lineage = "generation_id string, source_owner string, source_kind string, direct_source_url string, raw_file_sha256 string, source_as_of_date date, publication_date date"
+    held_schema = "owner_type string, owner_id string, source_row_ordinal bigint, quantity_unit string, market_value_currency string, weight double, weight_unit string, " + lineage
+    seen_schema = "owner_type string, owner_id string, coverage_state string, observed_holding_count bigint, " + lineage
+    rows = [("etf", "1", 1, "shares", None, 5.0, "percent", *source), ("etf", "1", 2, None, "KRW", None, None, *source)]
+    held, seen, out = spark.createDataFrame(rows, held_schema), spark.createDataFrame([("etf", "1", "complete", 2, *source)], seen_schema), spark.createDataFrame([(3,)], "source_row_ordinal bigint")
+    n, digest = quality.table_hash(held, sorted(held.columns)).first()
+    good = holdings.Generation(*source, day, ("quantity:shares", "market_value:KRW", "weight:percent"), n, digest, 1)
+
+    def problems(g=good, h=held, o=seen, q=out):
+        return {r.problem for r in holdings.admission_problems(g, h, o, q).collect()}
+
+    assert problems() == set()
+    assert problems(replace(good, units=("quantity:shares",))) == {"unit that is not declared"}
+    assert problems(replace(good, cutoff_date=date(2025, 1, 1), direct_source_url="http://x")) == {"dated after the cut-off", "no direct https address", "holding of another source", "coverage of another source"}
+    assert problems(replace(good, n_quarantined=0), q=out.limit(0)) == set() and problems(q=out.limit(0)) == {"another number of quarantined rows"}
+    assert problems(q=held.select("source_row_ordinal").limit(1)) == {"repeated row number"}
+    assert problems(h=held.limit(1)) == {"holdings differ from those declared", "owner's coverage is broken"}
+    assert problems(o=seen.unionByName(seen)) >= {"repeated owner"}
+
+
+def raw_table(spark, spec, *rows):
+    """Raw rows as texts: the given fields, all others empty."""
+    names = sorted({raw for raw, _ in spec.values()})
+    full = [tuple({spec[f][0]: v for f, v in r.items()}.get(c, "") for c in names) + (i,) for i, r in enumerate(rows, 1)]
+    return spark.createDataFrame(full, ", ".join(f"{c} string" for c in names) + ", source_row bigint")
+
+
+def test_plans_over_normalised_tables(spark):
+    """Every product type is asked over the tables that the normalisers make of raw rows."""
+    as_of = date(2026, 8, 24)
+    listed = {"name": "n", "aum_primary": "10", "total_fee": "0.5", "return_1m": "1", "sale_flag": "1", "suspension_flag": "0", "listing_date": "20200101", "listing_end_date": "99991231", "currency": "CURR_CD_KRW", "region": "KR"}
+    overseas = {"name": "o", "aum": "7", "trading_currency": "USD", "region": "United States of America", "asset_type": "Equity", "return_1d": "0.1"}
+    raw = {
+        "PRBD01N001": raw_table(spark, normalize.BOND_LOTS, {"product_id": "KR0000000001", "name": "b", "currency": "KRW", "buy_yield": "3.5", "issue_date": "20200101", "maturity_date": "20270101", "credit_rating": "AA"}),
+        "PREF01N001": raw_table(spark, normalize.DOMESTIC_LISTED, {"product_id": "KR0000000002", "product_type": "ETF", **listed}, {"product_id": "KR0000000003", "product_type": "ETN", **listed, "aum_primary": "0"}, {"product_id": "KR0000000004", "product_type": "REIT", **listed}),
+        "PREF02N001": raw_table(spark, normalize.OVERSEAS_LISTED, {"product_id": "AAA", "product_type": "ETF", **overseas}, {"product_id": "BBB", "product_type": "ETN", **overseas}),
+        "PRFD01N001": raw_table(spark, normalize.PUBLIC_FUNDS, {"fund_item_id": "F1", "name": "f", "net_assets": "9", "currency": "KRW", "risk_name": "NULL", "region_description": "KR", "attribute_codes": "A,B", "attribute_count": "3", "return_18m": "-200", "fund_type_raw": "06"}),
+    }
+    tables, quarantined, issues = normalize.silver_tables(raw, as_of)
+    assert {k: v.count() for k, v in quarantined.items()} == {"PRBD01N001": 0, "PREF01N001": 1, "PREF02N001": 0, "PRFD01N001": 0}
+    found = {(r.source, r.row_key, r.column_name, r.status, r.severity) for r in issues.where("status <> 'missing_blank'").collect()}
+    assert found == {
+        ("PREF01N001", "1", "pd_lste_dt", "sentinel_max_date", "warning"), ("PREF01N001", "2", "pd_lste_dt", "sentinel_max_date", "warning"), ("PREF01N001", "3", "pd_grp_no", "malformed_source_row", "blocker"),
+        ("PRFD01N001", "1", "prfd_attr_cnt", "mixed_source_values", "warning"), ("PRFD01N001", "1", "fd_mm18_ern_r", "out_of_domain", "warning"),
+        ("PRFD01N001", "1", "or_attr_desc", "mixed_source_values", "warning"), ("PRFD01N001", "1", "zrin_fd_ivst_risk_grd_nm", "missing_literal_null", "warning")}
+    registry = financial_registry()
+    engine = Engine(registry, tables.__getitem__, as_of)
+    expected = {"domestic_bond": "KR0000000001", "domestic_etf": "KR0000000002", "domestic_etn": "KR0000000003", "overseas_etf": "AAA", "overseas_etn": "BBB", "public_fund": "F1"}
+    for kind, product in expected.items():
+        fields = [f for f in registry.fields if registry.has(f, kind) and registry.fields[f].sortable]
+        for i in range(0, len(fields), 5):  # every field that may be asked of the type
+            a = engine.run(QueryPlan("screen", (kind,), as_of, sort=tuple(Sort(f) for f in fields[i:i + 5])))
+            assert [r.product_id for r in a.rows.collect()] == [product]
+    ranks = engine.run(QueryPlan("screen_rank", ("domestic_etf", "domestic_etn"), as_of, sort=(Sort("aum", True),), metrics=("aum",))).ranks.collect()
+    assert [(r.product_id, r.rank) for r in ranks] == [("KR0000000002", 1)]
+    abroad = engine.run(QueryPlan("screen", ("overseas_etf",), as_of, filters=(Filter("region", "eq", "미국"),))).rows
+    assert [r.product_id for r in abroad.collect()] == ["AAA"]
+
+
+def test_ratings_of_agencies(spark):
+    df = spark.createDataFrame([("AA0,무등급,XX",), (None,)], "c string")
+    got = [[tuple(x) for x in r[0]] for r in df.select(normalize.ratings(F.col("c"))).collect()]
+    assert got == [[("AA0", "valid"), (None, "missing_blank"), (None, "out_of_domain")], [(None, "missing_blank")]]
+
+
+def test_evidence_of_cells(spark):
+    names = [c for c in links.CELL_KEY]
+    schema = ", ".join(f"{c} string" for c in names)
+    key = tuple("k" for _ in names[:-1])
+    ev = spark.createDataFrame([(*key, None, "id1"), (*key, "d", "id1"), (*key, None, "other")], schema + ", raw_identifier string")
+    cells = spark.createDataFrame([(*key, None, "id1")], schema + ", raw_value string")
+    assert sorted((r.source_applicable_date or "", r.raw_identifier, r.is_matched) for r in links.with_cell(ev, cells).collect()) == [("", "id1", True), ("", "other", False), ("d", "id1", False)]
+
+
 def test_claims(spark):
     ev = spark.createDataFrame([("e1", "5"), ("e2", None)], "evidence_id string, value string")
     claims = spark.createDataFrame([(1, "e1", "5"), (2, "e1", "6"), (3, "e3", "5"), (4, "e2", None)], "claim_id bigint, evidence_id string, value string")
@@ -105,6 +191,10 @@ def test_claims(spark):
     assert evidence.point_lookup(ev, ["e1"]).count() == 1
     with pytest.raises(ValueError):
         evidence.point_lookup(ev, [])
+    assert evidence.records_by_id(ev, "evidence_id", ["e2", "e1"]).count() == 2
+    for rows, ids in ((ev, ["e1", "e9"]), (ev.unionByName(ev), ["e1"]), (ev, ["e1", "e1"])):
+        with pytest.raises(ValueError):
+            evidence.records_by_id(rows, "evidence_id", ids)
 
 
 def book(path, rows, extra="", strings=()):
@@ -139,6 +229,35 @@ def test_xlsx(spark, tmp_path):
             read().collect()
 
 
+def test_xlsx_by_sheet_name(spark, tmp_path):
+    spark.dataSource.register(XlsxDataSource)
+    path, main = f"{tmp_path}/b.xlsx", 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def write(rows, target="worksheets/other.xml", strings=""):
+        with zipfile.ZipFile(path, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="Data" sheetId="1" r:id="r7"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r7" Type="{rel}/worksheet" Target="{target}"/></Relationships>')
+            z.writestr("xl/worksheets/other.xml", f"<worksheet {main}><sheetData>{''.join(rows)}</sheetData></worksheet>")
+            z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>first</t></si><si><t>last</t></si></sst>")
+
+    def read(name="Data"):
+        return [tuple(r) for r in spark.read.format("xlsx").schema("id string").options(path=path, sheet_name=name).load().collect()]
+
+    head = f'<row r="1">{inline("A1", "id")}</row>'
+    write([head, '<row r="2"><c r="A2" t="s"><v>1</v></c></row>'])
+    assert read() == [("last",)]
+    with pytest.raises(Exception, match="0 sheets"):
+        read("Other")
+    for row, why in (('<row r="2"><c r="A2" t="s"><v>-1</v></c></row>', "no shared text"), ('<row r="2"><c r="A2" t="s"><v>2</v></c></row>', "no shared text"), ('<row r="1"/>', "after row")):
+        write([head, row])
+        with pytest.raises(Exception, match=why):
+            read()
+    write([head], "worksheets/missing.xml")
+    with pytest.raises(Exception, match="missing"):
+        read()
+
+
 def test_listed_eligibility(spark):
     columns = "sale_flag boolean, sale_flag__quality_status string, suspension_flag boolean, suspension_flag__quality_status string, listing_date date, listing_date__quality_status string, listing_end_date date, listing_end_date__quality_status string"
     on, off = date(2020, 1, 1), date(2030, 1, 1)

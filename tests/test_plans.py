@@ -2,8 +2,11 @@
 
 from datetime import date
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyhouse.engine import Engine
@@ -127,6 +130,54 @@ def test_two_currencies_have_no_global_rank(spark):
     assert {(r.product_id, r.rank) for r in one.ranks.collect()} == {("a", 1), ("b", 1)}
 
 
+@pytest.mark.parametrize("more", [
+    dict(intent="screen", metric_targets=(("domestic_bond", ("aum",)),)), dict(metric_targets=(("domestic_bond", ("aum",)),), top_k_scope="global"),
+    dict(types=("a", "b"), metric_targets=(("b", ("x",)), ("a", ("x",)))), dict(metrics=("x", "y"), metric_targets=(("domestic_bond", ("x",)),)), dict(metrics=("x", "y"), metric_targets=(("domestic_bond", ("y", "x")),)),
+])
+def test_bad_targets(more):
+    with pytest.raises(PlanError):
+        plan(**{"intent": "screen_rank", "sort": (Sort("x"),), "top_k_scope": "per_product_type", **more})
+
+
+def test_grain():
+    check(plan(grain="instrument"), R, AS_OF)
+    check(plan(types=("domestic_bond", "public_fund"), grain="product"), R, AS_OF)
+    for types, grain in ((("domestic_bond",), "product"), (("domestic_bond", "public_fund"), "instrument"), (("domestic_bond",), "fund_item")):
+        with pytest.raises(PlanError):
+            check(plan(types=types, grain=grain), R, AS_OF)
+
+
+def test_compare(bonds):
+    engine = Engine(R, lambda name: bonds, AS_OF)
+
+    def compared(*ids, metrics=("buy_yield",)):
+        return engine.run(plan("compare", ids=ids, metrics=metrics)).comparison
+
+    r = compared("B1", "B2").first()
+    assert (r.product_id, r.field, list(r.inputs), r.value) == ("B1", "buy_yield_difference", ["B1", "B2"], "2") and r.evidence_id.startswith("comparison:")
+    assert compared("B1", "B3").first().product_id == "B1" and compared("B1", "B3").first().value == "0"
+    for ids in (("B1", "B6"), ("B1",), ("B1", "B2", "B3"), ("B1", "B5")):  # without a value, one, three, out of domain
+        assert compared(*ids).isEmpty()
+    assert compared("B1", "B2", metrics=("credit_rating",)) is None and compared("B1", "B2", metrics=()) is None
+
+
+@given(st.lists(st.integers(-30, 30), min_size=1, max_size=9), st.integers(0, 10**15))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_average_is_rounded_once(spark, units, base):
+    """Against exact fractions; whole units of the last digit, so that halves are common."""
+    values = [base * 10**4 + u for u in units]
+    df = spark.createDataFrame([(Decimal(v).scaleb(-18),) for v in values], "v decimal(38,18)")
+    assert df.agg(policy.exact_average(F.col("v")).alias("a")).first().a == Decimal(round(Fraction(sum(values), len(values)))).scaleb(-18)
+
+
+def test_average_near_a_half(spark):
+    """100,001 rows whose exact average is a hair beyond a half, which 22 digits do not show."""
+    n = 100_001
+    df = spark.range(n).select(F.when(F.col("id") < n // 2 + 1, F.lit(Decimal("1E-18"))).otherwise(F.lit(Decimal(0))).cast("decimal(38,18)").alias("v"))
+    got = df.agg(policy.exact_average(F.col("v")).alias("a"), policy.exact_average(-F.col("v")).alias("b"), F.sum("v").alias("s")).first()
+    assert got.s == Decimal(n // 2 + 1).scaleb(-18) and (got.a, got.b) == (Decimal("1E-18"), Decimal("-1E-18"))
+
+
 def test_holding_filter(spark, bonds):
     listed = spark.createDataFrame([("E1", "ETF"), ("E2", "ETF")], "product_id string, product_type string").withColumns({"name": F.col("product_id"), "sale_flag": F.lit(True), "suspension_flag": F.lit(False), "listing_date": F.lit(date(2020, 1, 1)), "listing_end_date": F.lit(None).cast("date")})
     held = spark.createDataFrame([("domestic_etf", "E2", "isin", "KR7"), ("overseas_etf", "E1", "isin", "KR7")], "owner_product_type string, owner_product_id string, constituent_identifier_type string, constituent_identifier string")
