@@ -1,9 +1,9 @@
 """Operator 2: language-model scores of whole texts.
 
-The model is the interpolated modified Kneser-Ney bigram model of
-``kneser_ney``. Of the order, a parameter of such models, two is taken here:
-the distinct trigrams of a corpus are most of its words, and their shuffle and
-arrays would not fit the disk of four times the input.
+The model is the interpolated modified Kneser-Ney model of ``kneser_ney``. Its
+order is a parameter, two unless given: the distinct trigrams of a corpus are
+most of its words, and their shuffle and arrays do not fit the disk of four
+times the input (figures in the README).
 
 Defined cases: a null or empty text scores its end alone; a null key is not
 held out; repeated rows are scored each, and learned from each; an empty table
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kneser_ney import score, train
+from .kneser_ney import corpus_shards, score, train
 
 
 def held_out_column(key: str = "doc_id"):
@@ -23,8 +23,9 @@ def held_out_column(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, key: str = "doc_id", order: int = 2) -> DataFrame:
     """Each text's score by a model of the texts that are not held out."""
     docs = docs.select(F.col(key).alias(key), held_out_column(key).alias("held_out"), "text")
-    meta = train(docs.where(~F.col("held_out")))
+    learned = docs.where(~F.col("held_out"))
+    meta = train(learned, order, corpus_shards(learned))
     return score(docs, meta)

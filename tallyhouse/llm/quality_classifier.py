@@ -2,7 +2,8 @@
 
 Trusted are documents whose labels all say quality 1 and toxic 0. A bounded
 sample of them (``learn_documents``, the first ones by hash) teaches the
-Kneser-Ney model; the count joins of its scoring run by shard. All trusted
+Kneser-Ney model (``order`` 2 unless given: 3 rejects no more of the labelled
+bad documents, as the README shows); the count joins of its scoring run by shard. All trusted
 documents that are not candidates for learning give the quantile of log10
 perplexity of each language, beyond which a document is rejected; a language
 with under ``least`` of them, or none, takes the quantile of all. Without any
@@ -10,8 +11,8 @@ such document nothing is rejected.
 
 Defined cases: a null or empty text has one token, its end, and is rejected
 only if that alone is beyond the threshold; a null key has no label; repeated
-rows are judged each; labels repeated for a key must all be good to trust it. A
-text at its threshold is kept; equal hashes in the choice of the learning part
+rows are judged each; labels repeated for a key must all be good to trust it,
+where a null beside another says nothing. A text at its threshold is kept; equal hashes in the choice of the learning part
 go by key; an empty table gives no rows; other columns, whatever their names,
 are ignored by the verdicts and kept by ``accepted``; a very long text is one
 row of one task.
@@ -28,7 +29,7 @@ from .shared import keyed, written
 QUANTILE, LEAST, LEARN_DOCUMENTS = 0.995, 50, 20_000
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", quantile: float = QUANTILE, least: int = LEAST, learn_documents: int = LEARN_DOCUMENTS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", quantile: float = QUANTILE, least: int = LEAST, learn_documents: int = LEARN_DOCUMENTS, order: int = 2) -> DataFrame:
     """key, lang, n_tokens, perplexity, threshold (of perplexity; null: none) and kept for each row of ``docs``."""
     docs = docs.select(F.col(key).alias(key), "lang", "text")
     trusted = (
@@ -38,7 +39,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", qu
     )
     learn = written(trusted.where("learn").orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(learn_documents).select(key), "learn")
     # at most learn_documents keys, so the side is safe to broadcast
-    meta = train(docs.join(F.broadcast(learn), key, "left_semi"))
+    meta = train(docs.join(F.broadcast(learn), key, "left_semi"), order)
     scores = written(score(docs, meta).select(key, "lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("bits")), "quality-scores")
     held = scores.join(trusted.where("not learn").select(key), key, "left_semi")
     by_lang = held.groupBy("lang").agg(F.percentile_approx("bits", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n"))
