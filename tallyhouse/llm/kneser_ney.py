@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_words, local_path, mix, new_path, replace_file, shards, token_chunks
+from .shared import CHUNK_TOKENS, hash_words, local_path, mix, new_path, replace_file, shards, token_chunks
 
 #: Hashes of the mark before a text's first word, and of the end, which counts as a token.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
@@ -68,9 +68,9 @@ def sequences(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.
     return before, nexts
 
 
-def count_parts(n_shards: int):
+def count_parts(n_shards: int, most: int):
     def run(batches):
-        for _, codes, words, lengths in token_chunks(batches, lowered, 1):
+        for _, codes, words, lengths in token_chunks(batches, lowered, 1, most):
             before, nexts = sequences(codes, lengths, len(words))
             hashes = np.append(hash_words(words), END)
             contexts = np.append(hashes[:-1], BEGIN)
@@ -93,9 +93,9 @@ def count_parts(n_shards: int):
     return run
 
 
-def count_triples(n_shards: int):
+def count_triples(n_shards: int, most: int):
     def run(batches):
-        for _, codes, words, lengths in token_chunks(batches, lowered, 1):
+        for _, codes, words, lengths in token_chunks(batches, lowered, 1, most):
             before, nexts = sequences(codes, lengths, len(words))
             first = before_that(before, lengths, len(words))
             hashes = np.append(hash_words(words), END)
@@ -260,13 +260,14 @@ def by_shard(parts: DataFrame, n_shards: int):
     return parts.repartition(n_shards, "shard").groupBy("shard")
 
 
-def train(docs: DataFrame, order: int = 2, n_shards: int | None = None) -> dict:
+def train(docs: DataFrame, order: int = 2, n_shards: int | None = None, most: int = CHUNK_TOKENS) -> dict:
     """The model of column ``text`` (null: empty) of ``docs``, of order 2 or 3; its arrays are in the shared folder.
 
     Every row is one text; repeated rows count each time. No row at all gives
     a model in which every word is unknown. n_shards: files that the model is
     cut into, each of which one task counts (``corpus_shards`` for a corpus
-    that grows); the session's shuffle partitions unless given.
+    that grows); the session's shuffle partitions unless given. most:
+    tokens that a task counts at once, memory against shuffle.
     """
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
@@ -276,9 +277,9 @@ def train(docs: DataFrame, order: int = 2, n_shards: int | None = None) -> dict:
     folder = local_path(url)
     top, triples = None, ()
     if order == 2:
-        parts = docs.select("text").mapInArrow(count_parts(n_shards), PARTS)
+        parts = docs.select("text").mapInArrow(count_parts(n_shards, most), PARTS)
     else:
-        counted = docs.select("text").mapInArrow(count_triples(n_shards), TRIPLE_PARTS)
+        counted = docs.select("text").mapInArrow(count_triples(n_shards, most), TRIPLE_PARTS)
         counted = by_shard(counted, n_shards).applyInArrow(write_triples(folder, n_shards), BELOW)
         counted.write.parquet(f"{url}/below")
         below = spark.read.parquet(f"{url}/below")

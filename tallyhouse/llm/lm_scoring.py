@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .kneser_ney import corpus_shards, score, train
 
 
+#: Tokens counted at once; more of them combine to fewer n-grams in the shuffle of a whole corpus.
+COUNT_TOKENS = 1_000_000
+
+
 def held_out_column(key: str = "doc_id"):
     """Whether crc32 of the key as text leaves the remainder 2 by 7; false for null."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -27,5 +31,5 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", order: int = 2) -> DataFrame
     """Each text's score by a model of the texts that are not held out."""
     docs = docs.select(F.col(key).alias(key), held_out_column(key).alias("held_out"), "text")
     learned = docs.where(~F.col("held_out"))
-    meta = train(learned, order, corpus_shards(learned))
+    meta = train(learned, order, corpus_shards(learned), COUNT_TOKENS)
     return score(docs, meta)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tokens that a task works on at once; bounds its memory, not the input.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 #: Keys that are broadcast at most; beyond, the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
