@@ -14,3 +14,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     not base_failed and not 10 * n_symbols > 3 * n_words and word_chars between 2 * n_words and 15 * n_words and not (n_dup_lines > 2 and 100 * n_dup_lines > 30 * len(lines))
     and not 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
     and not 2 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) as kept from f"""
+
+
+def centroid_clusters(rounds: int = 10, clusters: int = 8, length: int = 64) -> str:
+    """Lloyd's rounds written out one after the other: d distances, a assignments, c centroids."""
+    steps = [
+        f"""k as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings
+    where len(embedding) = {length} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {length})""",
+        f"c0 as (select cast(row_number() over (order by sha256('3:' || vec_id), q) - 1 as integer) as c, q as m from k qualify c < {clusters})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} as (select r, vec_id, q, c, cast(list_sum(list_transform(list_zip(q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from k, c{r})")
+        steps.append(f"a{r} as materialized (select * from d{r} qualify row_number() over (partition by r order by d, c) = 1)")
+        if r < rounds:
+            steps.append(f"""u{r} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m
+    from (select c, i, sum(x) as s, count(*) as n from (select c, unnest(q) as x, generate_subscripts(q, 1) as i from a{r}) group by c, i) group by c)""")
+            steps.append(f"c{r + 1} as materialized (select c, coalesce(u{r}.m, c{r}.m) as m from c{r} left join u{r} using (c))")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+    sha256(array_to_string(m, ',')) as centroid_sha256 from a{rounds} join c{rounds} using (c)"""
+
+
+CENTROID_CLUSTERS = centroid_clusters()

@@ -7,12 +7,13 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroid_clustering import centroid_clusters
 from .decontamination import contaminations
 from .jaccard_join import jaccard_groups
 from .license_scan import license_paragraphs
 from .lm_scoring import lm_scores
 from .mixing import mix
-from .oracles import QUALITY_RULES
+from .oracles import CENTROID_CLUSTERS, QUALITY_RULES
 from .pii import pii_digest
 from .quality_classifier import quality_verdicts
 from .quality_rules import quality_rules
@@ -64,6 +65,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -75,9 +80,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_RULES,
+    "op11_centroid_clustering": CENTROID_CLUSTERS,
 }
