@@ -36,3 +36,18 @@ select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as
 
 
 CENTROID_CLUSTERS = centroid_clusters()
+
+SOURCE_DIVERGENCE = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from w group by lang, term having count(distinct r) >= 30),
+v as (select lang, count(*) as terms, sum(n) as total from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by lang, source, term),
+t as (select lang, source, sum(n) as total from c group by lang, source),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // cast(coalesce(t.total, 0) + 5 * v.terms as bigint) as p, 1 + (1000000000 * (k.n + 5)) // cast(v.total + 5 * v.terms as bigint) as q
+    from g join k using (lang) join v using (lang) left join t on t.lang = g.lang and t.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+    union all select a.lang, a.source, 'pair', b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from v)
+    union all select lang, source, 'term', term, cast(p - q as bigint) from p where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from f qualify part = 'pair' or rank <= 50"""

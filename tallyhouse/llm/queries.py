@@ -13,10 +13,11 @@ from .jaccard_join import jaccard_groups
 from .license_scan import license_paragraphs
 from .lm_scoring import lm_scores
 from .mixing import mix
-from .oracles import CENTROID_CLUSTERS, QUALITY_RULES
+from .oracles import CENTROID_CLUSTERS, QUALITY_RULES, SOURCE_DIVERGENCE
 from .pii import pii_digest
 from .quality_classifier import quality_verdicts
 from .quality_rules import quality_rules
+from .source_divergence import source_divergence
 from .substring_dedup import repeated_passages
 from .token_counts import Automaton, read_vocabulary, token_counts
 
@@ -69,6 +70,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -81,10 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_source_divergence": op12_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_RULES,
     "op11_centroid_clustering": CENTROID_CLUSTERS,
+    "op12_source_divergence": SOURCE_DIVERGENCE,
 }
