@@ -28,6 +28,8 @@ never cut; other columns are ignored.
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -79,6 +81,7 @@ WRAPPER = "host string, share int, tokens string, pages long, stats array<long>"
 NUMBERS = 6
 
 
+@lru_cache(REMEMBERED)
 def label(name: str, attributes: str) -> str:
     """An element's name with what its attributes tell: words of class, id, role and itemprop (digits as 0), and whether it is hidden."""
     if not attributes.strip(" /\n\t"):
@@ -95,7 +98,8 @@ def label(name: str, attributes: str) -> str:
     return ".".join([name, *dict.fromkeys(words)]).replace(">", "").replace("\n", "")
 
 
-def marks(of: str) -> set[str]:
+@lru_cache(REMEMBERED)
+def marks(of: str) -> frozenset[str]:
     """Lower-case words of a label: its name, and the parts of its class names, also joined two by two."""
     name, *classes = of.split(".")
     out = {name}
@@ -103,7 +107,7 @@ def marks(of: str) -> set[str]:
         parts = [p.lower() for x in PARTS.findall(c) for p in re.sub(r"([a-z])([A-Z])", r"\1 \2", x).split()]
         out.update(parts)
         out.update(a + b for a, b in zip(parts, parts[1:]))
-    return out
+    return frozenset(out)
 
 
 def blocks(html: str) -> list[tuple[str, str, int]]:
@@ -233,8 +237,6 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     both = [(i, i) for i in range(head)]
     if x and y:
         if len(x) * len(y) > TABLE:
-            from difflib import SequenceMatcher
-
             inner = [(m.a + i, m.b + i) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for i in range(m.size)]
         else:
             best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -304,11 +306,7 @@ def page_stats(page: list[tuple[str, str, int]], slot: list[int], n: int) -> lis
 def chosen(tokens: list[str], stats: list[list[int]]) -> list[bool]:
     """Which slots of a skeleton are the article, by what their paths tell and by the numbers of the host's wrapper."""
     paths = [t.split(">") if t else [] for t in tokens]
-    words: dict[str, set[str]] = {}
-    for p in paths:
-        for x in p:
-            if x not in words:
-                words[x] = marks(x)
+    words = {x: marks(x) for p in paths for x in p}
     article, body = frozenset(ARTICLE), frozenset(BODY)
     # elements with an article or a first heading inside are no side matter, whatever their class says
     around = set()

@@ -51,3 +51,10 @@ f as (select a.lang, a.source, 'pair' as part, b.source as item, cast(sum(abs(a.
     union all select a.lang, a.source, 'pair', b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from v)
     union all select lang, source, 'term', term, cast(p - q as bigint) from p where n > 0 and p > q)
 select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from f qualify part = 'pair' or rank <= 50"""
+
+#: For the given pages, whose article stands in <article>; other pages are tested against articles that were put into templates.
+HTML_EXTRACTION = r"""
+with a as (select page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as t from pages),
+d as (select page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) as t from a),
+w as (select page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '[ \t-\r]+', ' ', 'g')) as text from d)
+select page_id, url, text, length(text) as n_chars from w"""

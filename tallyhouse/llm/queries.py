@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .centroid_clustering import centroid_clusters
 from .decontamination import contaminations
+from .html_extraction import main_texts
 from .jaccard_join import jaccard_groups
 from .license_scan import license_paragraphs
 from .lm_scoring import lm_scores
 from .mixing import mix
-from .oracles import CENTROID_CLUSTERS, QUALITY_RULES, SOURCE_DIVERGENCE
+from .oracles import CENTROID_CLUSTERS, HTML_EXTRACTION, QUALITY_RULES, SOURCE_DIVERGENCE
 from .pii import pii_digest
 from .quality_classifier import quality_verdicts
 from .quality_rules import quality_rules
@@ -74,6 +75,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_source_divergence": op12_source_divergence,
+    "op13_html_extraction": op13_html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -94,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_RULES,
     "op11_centroid_clustering": CENTROID_CLUSTERS,
     "op12_source_divergence": SOURCE_DIVERGENCE,
+    "op13_html_extraction": HTML_EXTRACTION,
 }
