@@ -42,7 +42,7 @@ LEAST_DOCS = 30
 UNIT, SMOOTH, TOP = 1_000_000_000, 5, 50
 #: Groups of a block, at most; few groups are dealt to blocks of about FEW, so that meetings run side by side. Kept terms of a slice. All are averages.
 #: A meeting's memory is about 2 x BLOCK x SLICE x 8 bytes.
-BLOCK, FEW, FEW_BLOCKS, SLICE = 128, 8, 8, 16_384
+BLOCK, FEW, FEW_BLOCKS, SLICE = 128, 8, 8, 2048
 #: Term bytes stay, in lower case; all others part terms.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 COUNTS = "lang string, source string, term string, n long, docs long"
