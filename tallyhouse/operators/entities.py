@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, match_score
+from ..functions.text import fold, folded, match_score
 
 LEAST_SCORE, MOST, MENTIONS = 4000, 5, 10
+#: Names of best bound that are scored first.
+FIRST = 64
 
 
 def entity_index(parts: list[DataFrame]) -> DataFrame:
@@ -52,15 +54,56 @@ def resolve(mentions: DataFrame, index: DataFrame, types: list[str], all_types:
     return found.where(F.col("place") <= most).withColumn("selected", F.col("n_candidates") == 1).drop("priority", "best", "place")
 
 
+def score_bound(mention: Column, name: Column) -> Column:
+    """An upper bound of ``match_score`` in ten-thousandths: matching blocks cannot hold more of a character than either text has."""
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    characters = F.array_distinct(F.regexp_extract_all(mention, F.lit("(?s)(.)"), F.lit(1)))
+    shared = F.aggregate(characters, F.lit(0), lambda n, c: n + F.least(times(mention, c), times(name, c)))
+    both = F.length(mention) + F.length(name)
+    return F.when(both == 0, 10_000).otherwise(F.floor(F.lit(20_000) * shared / both)).cast("int")
+
+
+def bounded(mentions: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """Every mention with every name of the index that may reach ``least``: mention, the index's columns, folded_mention, bound.
+
+    mentions: a plan's, ten at most, which become literals of the scan of the
+    index; more are an error.
+    """
+    given = mentions.select("mention").limit(MENTIONS + 1).collect()
+    if len(given) > MENTIONS:
+        raise ValueError(f"more than {MENTIONS} mentions")
+    texts = [r["mention"] for r in given if r["mention"] is not None]
+    cells = [F.struct(F.lit(t).alias("mention"), F.lit(fold(t)).alias("folded_mention")) for t in texts]
+    pairs = index.where(F.col("folded_name").isNotNull()).select("*", F.inline(F.array(*cells))) if cells else index.limit(0).select("*", F.lit("").alias("mention"), F.lit("").alias("folded_mention"))
+    return pairs.withColumn("bound", score_bound(F.col("folded_mention"), F.col("folded_name"))).where(F.col("bound") >= least)
+
+
+def likely(pairs: DataFrame, most: int, least: int) -> DataFrame:
+    """Of ``bounded`` pairs those that can still be among the ``most`` likest of their mention.
+
+    The names of best bound are scored first; what the last of them that counts
+    reaches is then the least bound for all others. The names of one bound
+    may be many, so the first are taken by id, not with their ties.
+    """
+    w = W.partitionBy("mention").orderBy(F.col("bound").desc(), "product_type", "product_id")
+    first = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= FIRST).drop("_n")
+    scores = first.withColumn("score", match_score(F.col("folded_mention"), F.col("folded_name"))).where(F.col("score") >= least)
+    # at most FIRST scores of each of ten mentions
+    needed = {r["mention"]: sorted(r["scores"])[-most] for r in scores.groupBy("mention").agg(F.collect_list("score").alias("scores")).collect() if len(r["scores"]) >= most}
+    enough = F.lit(least)
+    for mention, score in needed.items():
+        enough = F.when(F.col("mention") == F.lit(mention), score).otherwise(enough)
+    return pairs.where(F.col("bound") >= enough)
+
+
 def candidates(mentions: DataFrame, index: DataFrame, most: int = MOST, least: int = LEAST_SCORE, types: list[str] | None = None) -> DataFrame:
     """The likest names of each mention, never selected; equal scores by the order of ``types``, then by id.
 
-    mentions: a plan's, ten at most, so that side is broadcast; more are an error.
+    Only names whose bound can bring them among the likest meet the exact
+    matcher, which is a Python function; the bound is one of the engine's.
     """
-    m = mentions.select("mention", folded(F.col("mention")).alias("folded_mention"))
-    if m.limit(MENTIONS + 1).count() > MENTIONS:
-        raise ValueError(f"more than {MENTIONS} mentions")
-    scored = index.join(F.broadcast(m), F.lit(True)).withColumn("score", match_score(F.col("folded_mention"), F.col("folded_name"))).where(F.col("score") >= least)
+    pairs = likely(bounded(mentions, index, least), most, least)
+    scored = pairs.withColumn("score", match_score(F.col("folded_mention"), F.col("folded_name"))).where(F.col("score") >= least)
     tie = [place(types)] if types else []
     w = W.partitionBy("mention").orderBy(F.col("score").desc(), *tie, "product_type", "product_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("mention", "product_type", "product_id", "score", "position")

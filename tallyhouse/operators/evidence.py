@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import decimal_text, row_hash
-from .policy import first_of
+from .policy import evidence_rows, records_by_id, reversed_selection  # noqa: F401  records are evidence too
 
 
 def direct(values: DataFrame) -> DataFrame:
@@ -36,10 +36,23 @@ def summaries(counts: DataFrame, kind: str) -> DataFrame:
     return counts.select(F.lit(kind).alias("kind"), "product_type", F.inline(cells))
 
 
-def recorded_zeros(values: DataFrame, by: list[str], cap: int) -> DataFrame:
-    """Zeros that are recorded but not comparable, the first ``cap`` by id of each group."""
-    zero = values.where(~F.col("valid") & F.coalesce(F.col("sort_value") == 0, F.lit(False)))
-    return first_of(zero, F.row_number().over(W.partitionBy(*by).orderBy("product_id")), cap, "position")
+def recorded_zeros(values: DataFrame, by: list[str], top_k: int, descending: bool = False) -> DataFrame:
+    """Zeros that are recorded but not comparable, among the first ``top_k`` recorded values of each group.
+
+    The cut comes first, over all recorded values by (value, id) as one key,
+    which a descending order turns round as a whole; a zero behind it is no
+    part of the answer.
+    """
+    first = reversed_selection(values, "sort_value", descending, top_k, by)
+    return first.where(~F.col("valid") & (F.col("sort_value") == 0))
+
+
+def capped(ranked: DataFrame, by: list[str], cap: int, tie_break: str = "product_id") -> DataFrame:
+    """The first ``cap`` ranked rows of each partition, with position, and at_boundary: whether the cut parts the row's tie group."""
+    rows = evidence_rows(ranked, by, cap, tie_break)
+    last = F.max("position").over(W.partitionBy(*by, "rank"))
+    first = F.min("position").over(W.partitionBy(*by, "rank"))
+    return rows.withColumn("at_boundary", F.col("tie_count") > last - first + 1)
 
 
 def point_lookup(evidence: DataFrame, ids: list[str], most: int = 50) -> DataFrame:
@@ -49,16 +62,49 @@ def point_lookup(evidence: DataFrame, ids: list[str], most: int = 50) -> DataFra
     return evidence.where(F.col("evidence_id").isin(sorted(set(ids))))
 
 
-def records_by_id(df: DataFrame, id_column: str, ids: list[str], most: int = 50) -> DataFrame:
-    """The records of a plan's ids, exactly one each; any other number is an error."""
-    wanted = sorted(set(ids))
-    if not 1 <= len(wanted) <= most or len(wanted) != len(ids):
-        raise ValueError(f"1 to {most} different ids are needed")
-    found = df.where(F.col(id_column).isin(wanted))
-    n = found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_column).alias("n_ids")).first()
-    if (n["n_rows"], n["n_ids"]) != (len(wanted), len(wanted)):
-        raise ValueError(f"{n['n_rows']} records of {n['n_ids']} ids, not one of each of {len(wanted)}")
-    return found
+#: Columns of claims and of evidence that a typed claim has to share.
+CLAIMED = ("product_type", "product_id", "field", "value", "groups")
+
+
+def claim_problems(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """claim_id and problem of every claim that its evidence does not carry; empty for a verified answer.
+
+    claims: claim_id, kind ('numeric', 'candidate', 'limitation' or 'text'),
+    evidence_ids (array), product_type, product_id, field, value (text), groups
+    (array). evidence: evidence_id, product_type, product_id, field, value, groups.
+
+    A numeric claim needs evidence; every id it names has to be there; a
+    numeric claim, or one that names a field, agrees with one of its evidence
+    rows in product, field, value and groups (a claim without type or groups
+    takes any type, and no groups only where the evidence has none); a candidate is
+    the product of all its evidence. Ids join with evidence once: claims are
+    exploded by id and summed up again by claim.
+    """
+    named = claims.withColumn("_id", F.explode_outer("evidence_ids"))
+    e = evidence.select(F.col("evidence_id").alias("_evidence"), *(F.col(c).alias(f"_{c}") for c in CLAIMED))
+    both = named.join(e, F.col("_id") == F.col("_evidence"), "left")
+    known = F.col("_evidence").isNotNull()
+    same = known
+    same &= F.col("product_type").isNull() | F.col("product_type").eqNullSafe(F.col("_product_type"))
+    for c in ("product_id", "field", "value"):
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    none = F.array().cast("array<string>")
+    same &= F.coalesce("groups", none) == F.coalesce("_groups", none)
+    own = known & F.col("product_type").eqNullSafe(F.col("_product_type")) & F.col("product_id").eqNullSafe(F.col("_product_id"))
+    of = both.groupBy("claim_id", "kind").agg(
+        F.max(F.col("field").isNotNull()).alias("has_field"), F.count("_id").alias("n_ids"), F.count_if(F.col("_id").isNotNull() & ~known).alias("n_unknown"),
+        F.max(same).alias("agrees"), F.min(own).alias("all_own"))
+    numeric, candidate = F.col("kind") == "numeric", F.col("kind") == "candidate"
+    problem = (
+        F.when(numeric & (F.col("n_ids") == 0), "numeric claim without evidence").when(F.col("n_unknown") > 0, "unknown evidence")
+        .when(candidate & ((F.col("n_ids") == 0) | ~F.col("all_own")), "evidence of another product").when((numeric | F.col("has_field")) & ~F.col("agrees"), "differs from its evidence"))
+    return of.select("claim_id", problem.alias("problem")).where("problem is not null")
+
+
+def missing_limitations(limitations: DataFrame, claims: DataFrame) -> DataFrame:
+    """The limitations (limitation, detail) of an answer that no limitation claim says; empty for a complete answer."""
+    said = claims.where("kind = 'limitation'").select(F.col("value").alias("_said")).distinct()
+    return limitations.join(said, F.concat_ws(": ", "limitation", "detail") == F.col("_said"), "left_anti")
 
 
 def unsupported_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -26,12 +26,14 @@ def coverage_counts(covered: DataFrame) -> DataFrame:
 
 
 def holding_counts(holdings: DataFrame) -> DataFrame:
-    return holdings.groupBy("owner_type", "owner_id").agg(F.count(F.lit(1)).alias("n_holdings"))
+    """Holdings by owner, and by generation where the table has one."""
+    by = [c for c in ("generation_id", "owner_type", "owner_id") if c in holdings.columns]
+    return holdings.groupBy(*by).agg(F.count(F.lit(1)).alias("n_holdings"))
 
 
 def violations(holdings: DataFrame, covered: DataFrame) -> DataFrame:
     """owner_type, owner_id, problem: what keeps a generation of holdings from being admitted; empty when it may be."""
-    counts = holding_counts(holdings)
+    counts = holding_counts(holdings.drop("generation_id"))
     both = covered.join(counts, ["owner_type", "owner_id"], "full").withColumn("n_holdings", F.coalesce("n_holdings", F.lit(0)))
     problem = (
         F.when(F.col("coverage_state").isNull(), "holding without coverage")

@@ -20,6 +20,10 @@ from ..plans.segments import Segment
 from .predicates import condition, ordinal, test
 
 
+#: What a result that breaks its contract fails with.
+TOO_MANY, NOT_ONE = "candidate limit exceeded", "a global result needs one comparable partition"
+
+
 def status(name: str) -> str:
     return f"{name}__status"
 
@@ -165,21 +169,24 @@ def exact_average(number: Column) -> Column:
     return F.when(half & (twice < part), inner).when(half & (twice > part), outer).otherwise(F.bround(mean, 18)).cast("decimal(38,18)")
 
 
-def aggregated(df: DataFrame, function: str, field: str | None, by: list[str], ok: Column | None = None) -> DataFrame:
+def aggregated(df: DataFrame, function: str, field: str | None, by: list[str], ok: Column | None = None, among: Column | None = None) -> DataFrame:
     """value, included_count and excluded_count by group; one row where nothing is grouped.
 
-    avg is exact to 18 digits, half to even (``exact_average``); the sums are
-    exact decimals.
+    among: the rows that are aggregated, where not all are; left_out then
+    counts the others in the same pass. avg is exact to 18 digits, half to even
+    (``exact_average``); the sums are exact decimals.
     """
-    number = F.when(ok if ok is not None else F.lit(True), F.col(field)) if field else None
+    others = [] if among is None else [F.count_if(~F.coalesce(among, F.lit(False))).alias("left_out")]
+    among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    number = F.when(among & (ok if ok is not None else F.lit(True)), F.col(field)) if field else None
     if function == "count":
-        value = F.count(F.lit(1)).cast("decimal(38,18)")
+        value = F.count_if(among).cast("decimal(38,18)")
     elif function == "avg":
         value = exact_average(number.cast("decimal(38,18)"))
     else:
         value = getattr(F, function)(number.cast("decimal(38,18)")).cast("decimal(38,18)")
-    included = F.count(F.lit(1)) if number is None else F.count(number)
-    return df.groupBy(*by).agg(value.alias("value"), included.alias("included_count"), (F.count(F.lit(1)) - included).alias("excluded_count"))
+    included = F.count_if(among) if number is None else F.count(number)
+    return df.groupBy(*by).agg(value.alias("value"), included.alias("included_count"), (F.count_if(among) - included).alias("excluded_count"), *others)
 
 
 def group_order(by: list[str]) -> list[Column]:
@@ -187,14 +194,32 @@ def group_order(by: list[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("None")).asc() for c in by]
 
 
-def exclusion_counts(df: DataFrame, valid_metrics: list[Column] = ()) -> DataFrame:
-    """One row: all, excluded_by_filter, excluded_by_state, included; with metrics' conditions also excluded_by_metric, the included rows' values that may not be compared."""
+def exclusion_measures(valid_metrics: list[Column] = ()) -> list[Column]:
+    """Counts over flagged rows: all_rows, excluded_by_filter, excluded_by_state, included; with metrics' conditions also excluded_by_metric, the included rows' values that may not be compared."""
     included = F.col("matched") & F.col("eligible")
     values = [sum((F.count_if(included & ~F.coalesce(ok, F.lit(False))) for ok in valid_metrics), F.lit(0).cast("bigint")).alias("excluded_by_metric")] if valid_metrics else []
-    return df.agg(
-        *values,
-        F.count(F.lit(1)).alias("all_rows"), F.count_if(~F.col("matched")).alias("excluded_by_filter"),
-        F.count_if(F.col("matched") & ~F.col("eligible")).alias("excluded_by_state"), F.count_if(F.col("matched") & F.col("eligible")).alias("included"))
+    return [
+        *values, F.count(F.lit(1)).alias("all_rows"), F.count_if(~F.col("matched")).alias("excluded_by_filter"),
+        F.count_if(F.col("matched") & ~F.col("eligible")).alias("excluded_by_state"), F.count_if(included).alias("included")]
+
+
+def exclusion_counts(df: DataFrame, valid_metrics: list[Column] = ()) -> DataFrame:
+    """One row of ``exclusion_measures``."""
+    return df.agg(*exclusion_measures(valid_metrics))
+
+
+def limited(df: DataFrame, most: int) -> DataFrame:
+    """``df``, whose task fails as soon as it alone has more than ``most`` rows; the sum over all tasks is for ``observe``."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return df.where(F.when(place < most, F.lit(True)).otherwise(F.raise_error(F.lit(TOO_MANY)).cast("boolean")))
+
+
+def one_partition(df: DataFrame) -> DataFrame:
+    """``df``, which fails when it runs if it has several partition keys; for a result of one key, whose rows are one task's anyway."""
+    w = W.partitionBy()
+    one = F.min("partition_key").over(w) == F.max("partition_key").over(w)
+    checked = df.withColumn("_one", F.when(one, F.lit(True)).otherwise(F.raise_error(F.lit(NOT_ONE)).cast("boolean")))
+    return checked.where("_one").drop("_one")
 
 
 def population_counts(df: DataFrame, field: str, ok: Column) -> DataFrame:
@@ -210,11 +235,23 @@ def dual_lens(df: DataFrame, field: str, ok: Column, by: list[str]) -> DataFrame
     return df.groupBy(*by).agg(F.count(field).alias("recorded"), F.count_if(ok).alias("comparable")).withColumn("differs", F.col("recorded") != F.col("comparable"))
 
 
+def records_by_id(df: DataFrame, id_column: str, ids: list[str], most: int = 50) -> DataFrame:
+    """The records of a plan's ids, exactly one each; any other number is an error."""
+    wanted = sorted(set(ids))
+    if not 1 <= len(wanted) <= most or len(wanted) != len(ids):
+        raise ValueError(f"1 to {most} different ids are needed")
+    found = df.where(F.col(id_column).isin(wanted))
+    n = found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(id_column).alias("n_ids")).first()
+    if (n["n_rows"], n["n_ids"]) != (len(wanted), len(wanted)):
+        raise ValueError(f"{n['n_rows']} records of {n['n_ids']} ids, not one of each of {len(wanted)}")
+    return found
+
+
 def compared_pairs(df: DataFrame, left_id, right_id, value: str, id_column: str = "product_id") -> DataFrame:
-    """Two products side by side: values, absolute difference and direction."""
-    # ids are unique in a product table; one row of either side, whatever comes
-    a = df.where(F.col(id_column) == F.lit(left_id)).limit(1).select(F.col(id_column).alias("left_id"), F.col(value).alias("left_value"))
-    b = df.where(F.col(id_column) == F.lit(right_id)).limit(1).select(F.col(id_column).alias("right_id"), F.col(value).alias("right_value"))
+    """Two products side by side: values, absolute difference and direction; ids that are not there once each are an error."""
+    found = records_by_id(df, id_column, [left_id, right_id])
+    a = found.where(F.col(id_column) == F.lit(left_id)).select(F.col(id_column).alias("left_id"), F.col(value).alias("left_value"))
+    b = found.where(F.col(id_column) == F.lit(right_id)).select(F.col(id_column).alias("right_id"), F.col(value).alias("right_value"))
     sign = F.signum((F.col("left_value") - F.col("right_value")).cast("double"))
     return a.join(b, F.lit(True)).withColumns({"difference": F.abs(F.col("left_value") - F.col("right_value")), "direction": F.when(sign > 0, "higher").when(sign < 0, "lower").when(sign == 0, "equal")})
 

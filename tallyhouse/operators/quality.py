@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import row_hash
 from ..plans.registry import COMPARABLE
+from .ordering import positions
 
 
 def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,35 @@ def rollup(issue_rows: DataFrame) -> DataFrame:
     return issue_rows.select("source", "row_key", F.inline(dims)).groupBy("dimension", "name").agg(F.count(F.lit(1)).alias("n_issues"), F.count_distinct("source", "row_key").alias("n_rows"))
 
 
+LEVELS = {"total": [], "source": ["source"], "rule": ["rule", "rule_version"], "severity": ["severity"], "status": ["status"], "quarantined": ["quarantined"]}
+
+
+def full_rollup(issue_rows: DataFrame) -> DataFrame:
+    """Issues at every level in one pass of grouping sets: dimension, name, version (of rules), n_issues, n_rows, n_quarantined_rows.
+
+    issue_rows: source, row_key, rule, rule_version, severity, status,
+    quarantined (boolean). Levels: total, source, (rule, version), severity, status,
+    quarantined. A row counts once at a level, however many issues it has
+    there. Without issues there are no rows.
+    """
+    columns = [c for cs in LEVELS.values() for c in cs]
+    row, held = F.struct("source", "row_key"), F.coalesce(F.col("quarantined"), F.lit(False))
+    # grouped columns stay apart from those that are counted, which grouping sets would set to null
+    base = issue_rows.select(*(F.col(c).alias(f"_{c}") for c in columns), row.alias("row"), F.when(held, row).alias("held"))
+    sets = [[F.col(f"_{c}") for c in cs] for cs in LEVELS.values()]
+    out = base.groupingSets(sets, *(F.col(f"_{c}") for c in columns)).agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_issues"), F.count_distinct("row").alias("n_rows"), F.count_distinct("held").alias("n_quarantined_rows"))
+    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+    everything = sum(bit.values())
+    dimension = name = F.lit(None).cast("string")
+    for d, cs in LEVELS.items():
+        here = F.col("level") == everything - sum(bit[c] for c in cs)
+        dimension = F.when(here, d).otherwise(dimension)
+        if cs:
+            name = F.when(here, F.col(f"_{cs[0]}").cast("string")).otherwise(name)
+    return out.select(dimension.alias("dimension"), name.alias("name"), F.col("_rule_version").cast("string").alias("version"), "n_issues", "n_rows", "n_quarantined_rows")
+
+
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -107,4 +137,4 @@ def affected_rows(issue_rows: DataFrame, quarantining: list[str]) -> DataFrame:
 def ordered_distinct(df: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values in the order in which each comes first: value, position."""
     first = df.groupBy(value).agg(F.min(order).alias("_first"))
-    return first.withColumn("position", F.row_number().over(W.orderBy("_first", value)).cast("bigint")).drop("_first")
+    return positions(first, ["_first", value]).drop("_first")

@@ -76,13 +76,32 @@ def source_lens(spark, sf_dir):
     return engine(spark, sf_dir).run(plan).source.select("product_id")
 
 
-@query("recorded_zeros", f"""select currency, product_id, "position" from (select currency, product_id, row_number() over (partition by currency order by product_id) as "position" from {silver_sql('customer')} where balance = 0 and balance__quality_status = 'recorded_zero') where "position" <= 5""")
-def recorded_zeros(spark, sf_dir):
-    plan = QueryPlan("screen_rank", ("customer",), AS_OF, sort=(Sort("balance"),), metrics=("balance",))
-    e = engine(spark, sf_dir)
-    ((s, df),) = e.frames(plan)[1]
+def zeros_sql(order: str, where: str) -> str:
+    """The cut over all recorded values first, then the zeros."""
+    return f"""select currency, product_id, "position" from (select *, row_number() over (partition by currency order by {order}) as "position" from {silver_sql('customer')} where balance is not null and {where}) where "position" <= 20 and balance = 0"""
+
+
+def zeros(spark, sf_dir, descending, *filters):
+    plan = QueryPlan("screen_rank", ("customer",), AS_OF, sort=(Sort("balance", descending),), metrics=("balance",), top_k=20, filters=filters)
+    ((s, df),) = engine(spark, sf_dir).frames(plan)[1]
     values = policy.metric_values(df, s, REGISTRY, True).withColumn("currency", F.split("partition_key", ":")[1])
-    return evidence.recorded_zeros(values, ["currency"], 5).select("currency", "product_id", "position")
+    return evidence.recorded_zeros(values, ["currency"], plan.top_k, descending).select("currency", "product_id", "position")
+
+
+@query("recorded_zeros", zeros_sql("balance, product_id", "balance >= 0"))
+def recorded_zeros(spark, sf_dir):
+    return zeros(spark, sf_dir, False, Filter("balance", "gte", 0))
+
+
+@query("recorded_zeros_behind_others", zeros_sql("balance, product_id", "true"))
+def recorded_zeros_behind_others(spark, sf_dir):
+    """Negative balances come first, so that few zeros or none are in the answer."""
+    return zeros(spark, sf_dir, False)
+
+
+@query("recorded_zeros_descending", zeros_sql("balance desc, product_id desc", "balance < 300"))
+def recorded_zeros_descending(spark, sf_dir):
+    return zeros(spark, sf_dir, True, Filter("balance", "lt", 300))
 
 
 @query("evidence_direct", f"""select product_id, value, status, sha256('part' || chr(0) || product_id || chr(0) || 'part.size' || chr(0) || value || chr(0) || status) as evidence_id from (select product_id, cast(size as string) as value, 'valid' as status from {silver_sql('part')} where region = 'PROMO')""")

@@ -19,11 +19,11 @@ Parser = Callable[[Column], Column]
 
 
 def rating(c: Column) -> Column:
-    """A rating's label in its canonical width; missing words are blank, unknown ones out of domain."""
+    """A rating's label in its canonical width; an empty text is blank, the other missing words are a literal null, unknown ones out of domain."""
     s = F.translate(P.strip(c), "０", "0")
-    blank = F.coalesce(s.isin(*RATING_MISSING), F.lit(True))
-    known = F.coalesce(s.isin(*RATINGS), F.lit(False))
-    return P.result(F.when(~blank & known, s), F.when(blank, "missing_blank").when(~known, "out_of_domain").otherwise("valid"))
+    blank = F.coalesce(s == "", F.lit(True))
+    missing, known = F.coalesce(s.isin(*RATING_MISSING), F.lit(True)), F.coalesce(s.isin(*RATINGS), F.lit(False))
+    return P.result(F.when(~missing & known, s), F.when(blank, "missing_blank").when(missing, "missing_literal_null").when(~known, "out_of_domain").otherwise("valid"))
 
 
 def fund_type(c: Column) -> Column:
@@ -141,12 +141,18 @@ def silver_tables(raw: dict[str, DataFrame], as_of: date, row: str = "source_row
         tables[source.silver] = good
         if name == "PRBD01N001":
             tables["silver_bond_instrument"] = instruments(good, as_of, row)
+            own = collapse.conflict_issues(good, name, "product_id", {f: source.spec[f][0] for f in PARENT_FIELDS}, "bond.parent_field_conflict")
+            found = own if found is None else found.unionByName(own)
         for rows, fields, severity in ((good, [f for f in source.spec if f not in needed], "warning"), (quarantined[name], needed, "blocker")):
             own = field_issues(rows, name, row, {f: source.spec[f][0] for f in fields}, severity)
             found = own if found is None else found.unionByName(own)
     return tables, quarantined, found
 
 
+#: Fields of an instrument on which its lots have to agree.
+PARENT_FIELDS = ("name", "currency", "bond_kind", "issue_date", "maturity_date", "coupon_rate", "credit_rating")
+
+
 def with_remaining_days(df: DataFrame, as_of: date) -> DataFrame:
     """Days to maturity at the date, with the maturity's status carried over."""
     days = P.days_between(F.col("maturity_date"), F.lit(as_of))
@@ -160,7 +166,7 @@ def instruments(lots: DataFrame, as_of: date, row: str = "source_row") -> DataFr
     """
     ties = [F.col(c).asc_nulls_last() for c in ("market", "info_date", "info_seq", row)]
     best = collapse.best_row(lots, ["product_id"], "buy_yield", ties)
-    shared = ("name", "currency", "issue_date", "maturity_date", "credit_rating")
+    shared = PARENT_FIELDS
     kinds = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"_n_{c}") for c in shared]
     group = lots.groupBy("product_id").agg(*kinds, F.count(F.lit(1)).alias("n_lots"), F.struct(F.min("buy_yield").alias("low"), F.max("buy_yield").alias("high")).alias("buy_yield_range"))
     out = best.join(group, "product_id")

@@ -36,7 +36,7 @@ def test_parsers(spark):
     assert values(spark, P.parse_datetime, "2026-01-02 03:04:05", "2026-01-02T03:04:05") == [(datetime(2026, 1, 2, 3, 4, 5), "valid"), (None, "invalid_format")]
     assert values(spark, P.parse_return, "-100.01", "-100") == [(Decimal("-100.01"), "out_of_domain"), (Decimal(-100), "valid")]
     assert values(spark, lambda c: P.parse_currency(c, "listed"), "CURR_CD_KRW", "KRW", "") == [("KRW", "valid"), (None, "out_of_domain"), (None, "missing_blank")]
-    assert values(spark, normalize.rating, "AA０", "무등급", "XX", "AA") == [("AA0", "valid"), (None, "missing_blank"), (None, "out_of_domain"), ("AA", "valid")]
+    assert values(spark, normalize.rating, "AA０", "무등급", "XX", "AA") == [("AA0", "valid"), (None, "missing_literal_null"), (None, "out_of_domain"), ("AA", "valid")]
     assert values(spark, normalize.fund_type, "06", "01") == [("06", "mixed_source_values"), ("01", "valid")]
     assert fold("Ｓtraße  ＡＢ") == "strasse ab"
     assert [P.excel_letters(n) for n in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
@@ -172,7 +172,7 @@ def test_plans_over_normalised_tables(spark):
 def test_ratings_of_agencies(spark):
     df = spark.createDataFrame([("AA0,무등급,XX",), (None,)], "c string")
     got = [[tuple(x) for x in r[0]] for r in df.select(normalize.ratings(F.col("c"))).collect()]
-    assert got == [[("AA0", "valid"), (None, "missing_blank"), (None, "out_of_domain")], [(None, "missing_blank")]]
+    assert got == [[("AA0", "valid"), (None, "missing_literal_null"), (None, "out_of_domain")], [(None, "missing_blank")]]
 
 
 def test_evidence_of_cells(spark):

@@ -39,5 +39,16 @@ def test_entry(spark):
 
 
 def test_fuzzy_candidates(spark):
+    """All mentions against all names by the plain matcher."""
+    from difflib import SequenceMatcher
+
+    from tallyhouse.functions.text import fold
+    from tallyhouse.queries.policies import TYPES, index
+
+    names, want = index(spark, SF).select("product_type", "product_id", "name").collect(), []
+    for mention in ("Custmer 0000123", "part 77"):
+        scored = [(int(SequenceMatcher(None, fold(mention), fold(r.name)).ratio() * 10000), r.product_type, r.product_id) for r in names]
+        best = sorted((s for s in scored if s[0] >= 4000), key=lambda s: (-s[0], TYPES.index(s[1]), s[2]))[:5]
+        want += [(mention, t, i, s, n) for n, (s, t, i) in enumerate(best, 1)]
     got = QUERIES["entity_fuzzy"](spark, SF).collect()
-    assert got and all(r.score >= 4000 and r.position <= 5 for r in got)
+    assert sorted((r.mention, r.product_type, r.product_id, r.score, r.position) for r in got) == sorted(want)
