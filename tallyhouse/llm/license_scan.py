@@ -6,19 +6,24 @@ made by rule: whole, as spans that a line break leaves, with words left out,
 and with foreign words around them. Its class "unknown" learns from a bounded
 sample of the corpus' own paragraphs (those that share little with any
 template), from prose with the words of licences, and from templates with their
-words in shuffled order. A part of the templates, not of their variants, is
+words in shuffled order; lines that hold a licence's bare name without sharing more
+with any template (German prose has "mit") teach it too, some for each name. A part of the templates, not of their variants, is
 left out of training: on it, a temperature is chosen that makes the
 probabilities most likely, and the least probability of a family that keeps its
 false alarms at or below ``FALSE_ALARMS`` of the unknown. A predicted family is
 confirmed when a paragraph and one of its templates share enough of their word
-pairs, measured against the smaller of the two.
-
-Paragraphs are lines, and, for hard-wrapped text, the short lines (up to
-``SHORT_LINE`` characters) among ``SPAN`` neighbouring ones. The model decides
+pairs, measured against the smaller of the two, and no other family's template
+shares more. Without a shared pair, or where only another family's template
+shares enough, the family is unknown.
+
+Paragraphs are runs of lines between blank lines, of any width and number, and
+each line by itself; in runs of more than ``SPAN`` lines also the short lines
+(up to ``SHORT_LINE`` characters) among ``SPAN`` neighbouring ones, so that a
+wrapped licence within a longer run is seen by itself. The model decides
 on all of them: a paragraph is set aside before its n-grams are added up only
-where it has too few n-grams of positive weight to outweigh "unknown", whatever
-they are. Returned is a paragraph of which the model holds some licence likelier
-than none; its family is "unknown" where no single one is likely enough. A
+where the most that each of its n-grams can speak for any family against
+"unknown" does not add up to outweigh it. Returned is a paragraph of which the model holds some licence likelier
+than none, and that shares a word pair with a template; its family is "unknown" where no single one is likely enough. A
 wrapped paragraph is returned where none of its lines is confirmed for its
 family by itself and no overlapping one before it has that family; unconfirmed
 lines within it are left out.
@@ -31,12 +36,14 @@ other columns are ignored; a very long line is one paragraph.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .license_texts import NAMES, NOTICES, OTHER, PARAGRAPHS, SHORT
@@ -49,7 +56,11 @@ VARIANTS, NOTICE_VARIANTS, HELD_OUT, FALSE_ALARMS, CONFIRM = 12, 2, 6, 0.01, 0.5
 EMPTY = 500
 #: Paragraphs of the corpus at most, from as many documents, that teach the unknown class; the characters of each at most.
 CORPUS_SAMPLE, SAMPLE_CHARS = 2_000, 2_000
-LEAST_SPREAD = 0.6
+#: Documents, and lines for each bare name of a licence, that teach the unknown class at most.
+NAME_DOCS, NAME_LINES = 5_000, 150
+#: Least probability of a family, whatever the false alarms of the held-out part.
+LEAST_PROBABILITY = 0.4
+LEAST_SPREAD = 0.3
 SHORT_LINE, SPAN, STEP = 100, 6, 3
 #: Word pairs that a paragraph or template shares at least with a template to be compared by the smaller one.
 LEAST_PAIRS = 2
@@ -125,18 +136,32 @@ def examples(spark: SparkSession) -> DataFrame:
     return chosen.select("family", around.alias("words"), "held").unionByName(salad).unionByName(plain).unionByName(empty)
 
 
+def bare_names() -> list[str]:
+    """The words of licences' identifiers that can stand for one by themselves."""
+    return sorted({w for _, ids in NAMES.values() for i in ids for w in template_words(i) if len(w) > 2 and w.isalpha()})
+
+
 def corpus_sample(docs: DataFrame, most: int = CORPUS_SAMPLE) -> DataFrame:
-    """words of at most so many lines of the corpus, one of a document, that share under a fifth of the pairs of every template."""
-    n = docs.count()
-    share = min(1.0, most / max(1, n)) * 0.9  # most documents have a line with words
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """words of lines of the corpus that share under a fifth of the pairs of every template.
+
+    At most ``most`` lines, one of a document, and at most NAME_LINES for each bare
+    name, of at most about NAME_DOCS documents; all chosen by hash, so that reruns agree.
+    """
+    n, at = docs.count(), F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    some = docs.select("text").where(at < int(min(1.0, max(NAME_DOCS, most) / max(1, n)) * (1 << 30)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
     line = F.get(lines, F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.size(lines), F.lit(1))).cast("int"))
-    words = chosen.select(F.substring(line, 1, SAMPLE_CHARS).alias("line")).where("line is not null").limit(most).select(tokens(F.col("line")).alias("words"))
+    one = some.where(at < int(min(1.0, 0.9 * most / max(1, n)) * (1 << 30))).select(F.substring(line, 1, SAMPLE_CHARS).alias("line")).where("line is not null")
+    names = bare_names()
+    named = some.select(F.explode(F.filter(lines, lambda x: x.rlike(f"(?i)(?<![A-Za-z0-9])({'|'.join(names)})(?![A-Za-z0-9])"))).alias("line")).select(F.substring("line", 1, SAMPLE_CHARS).alias("line")).distinct()
+    named = named.select("line", F.explode(F.array_intersect(tokens(F.col("line")), F.array(*map(F.lit, names)))).alias("name"))
+    named = named.withColumn("n", F.row_number().over(W.partitionBy("name").orderBy(F.xxhash64("line"), "line"))).where(F.col("n") <= NAME_LINES)
+    words = one.unionByName(named.select("line").distinct()).select(tokens(F.col("line")).alias("words"))
     rows = words.where(F.size("words") > 0).withColumn("uid", F.monotonically_increasing_id())
     pairs = docs.sparkSession.createDataFrame(template_pairs(), "family string, template int, size int, pair string")
     rows = written(rows, "licence-corpus")
-    near = rows.select("uid", F.explode(F.array_distinct(ngrams(F.col("words")))).alias("pair")).join(F.broadcast(pairs), "pair").groupBy("uid", "template", "size").count().where("count >= 2 and 5 * count >= size").select("uid").distinct()
+    near = rows.select("uid", F.explode(F.array_distinct(ngrams(F.col("words")))).alias("pair")).join(F.broadcast(pairs), "pair").groupBy("uid", "template", "size").count()
+    near = near.where("5 * count >= size and (count >= 2 or size <= 3)").select("uid").distinct()
     return rows.join(near, "uid", "left_anti").select("words")
 
 
@@ -145,7 +170,7 @@ def fit(spark: SparkSession, data: DataFrame) -> dict:
     families = sorted([*PARAGRAPHS, UNKNOWN])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     counted = CountVectorizer(inputCol="grams", outputCol="features", minDF=3.0, vocabSize=20_000, binary=True).fit(data)
-    model = LogisticRegression(regParam=3e-5, maxIter=40, family="multinomial").fit(counted.transform(data.withColumn("label", label)).select("label", "features"))
+    model = LogisticRegression(regParam=3e-4, maxIter=25, family="multinomial").fit(counted.transform(data.withColumn("label", label)).select("label", "features"))
     weights = model.coefficientMatrix.toArray()
     # n-grams that tell the families from each other by next to nothing are left out of the model
     spread = weights.max(axis=0) - weights.min(axis=0)
@@ -167,11 +192,24 @@ def train(docs: DataFrame) -> dict:
     out["temperature"] = loss["t"]
     judged = written(with_softmax(held, F.lit(out["temperature"])).select("family", known(F.col("p"), out).alias("best")), "licence-judged")
     alarms = judged.where(F.col("family") == UNKNOWN).agg(F.percentile("best.p", 1 - FALSE_ALARMS)).first()[0]
-    out["least"] = max(0.5, alarms or 0.0)
+    out["least"] = max(LEAST_PROBABILITY, alarms or 0.0)
     out["recall"] = judged.where(F.col("family") != UNKNOWN).agg(F.avg(((F.col("best.family") == F.col("family")) & (F.col("best.p") > out["least"])).cast("double"))).first()[0]
     return out
 
 
+def save_model(model: dict, spark: SparkSession, path: str) -> None:
+    """The trained model as a small Parquet table."""
+    rest = json.dumps({k: v for k, v in model.items() if k not in ("rows", "weights")})
+    spark.createDataFrame([(rest, [r[0] for r in model["rows"]], [r[1] for r in model["rows"]])], "facts string, grams array<string>, weights array<array<double>>").coalesce(1).write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """A model that ``save_model`` wrote; ``license_paragraphs`` takes it in place of training."""
+    r = spark.read.parquet(path).first()
+    rows = list(zip(r["grams"], r["weights"]))
+    return json.loads(r["facts"]) | {"rows": rows, "weights": spark.createDataFrame(rows, "gram string, weights array<double>").coalesce(1)}
+
+
 def logits(frame: DataFrame, keep: list[str], model: dict, likely: bool = False) -> DataFrame:
     """keep and the classes' logits, rounded to nine digits, of each row of ``frame`` (grams: distinct n-grams); keep identifies a row. likely: only rows with P(unknown) < 1/2."""
     n = len(model["families"])
@@ -205,12 +243,11 @@ def once(value: Column) -> Column:
 
 
 def gains(model: dict) -> tuple[list[tuple[float, list[str]]], float]:
-    """N-grams by the most that they can speak for a family against "unknown", in levels, and the sum that a returned paragraph has at least.
+    """N-grams by the most that they can speak for a family against "unknown" (less than nothing for most), in levels, and the sum that a returned paragraph has at least.
 
     A returned paragraph has P(unknown) < 1/2, so for some family f of n:
     z_f - z_unknown > -T ln(n). Its grams' gains make up for the intercepts,
-    and no gram's gain is beyond the most of its level. A paragraph without
-    any gain is of no family.
+    and no gram's gain is beyond the most of its level.
     """
     u = model["families"].index(UNKNOWN)
     rest = [i for i in range(len(model["families"])) if i != u]
@@ -220,17 +257,30 @@ def gains(model: dict) -> tuple[list[tuple[float, list[str]]], float]:
     for g, x in most.items():
         if x > 0:
             levels.setdefault(max(0.125, 2.0 ** (math.ceil(2 * math.log2(x)) / 2)), []).append(g)
+        elif x < -0.125:
+            levels.setdefault(-(2.0 ** (math.floor(2 * math.log2(-x)) / 2)), []).append(g)
     return sorted(levels.items()), lack
 
 
-def paragraphs(lines: Column, short: Column) -> Column:
-    """Structs (first, last, line): each line, and the short ones among SPAN neighbours, from every STEP-th line on, where there are two or more."""
+def runs(blank: Column) -> Column:
+    """Structs (first, last) of the runs of two or more lines that are not blank."""
+    ends = F.filter(F.sequence(F.lit(0), F.size(blank)), lambda i: F.coalesce(F.get(blank, i), F.lit(True)))
+    starts = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(ends) - 1))
+    return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last"))), lambda r: r["last"] > r["first"])
+
+
+def paragraphs(lines: Column, short: Column, run: Column) -> Column:
+    """Structs (first, last, line): each line, each run, and of a run of more than SPAN lines the short ones among SPAN neighbours, from every STEP-th line on, where there are two or more."""
     each = F.transform(lines, lambda x, i: F.struct(i.alias("first"), i.alias("last"), x.alias("line")))
-    starts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(STEP))
+    whole = F.transform(run, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.array_join(F.slice(lines, r["first"] + 1, r["last"] - r["first"] + 1), " ").alias("line")))
     # places of the short lines of each span
-    spans = F.transform(starts, lambda s: F.filter(F.sequence(s, F.least(s + SPAN, F.size(lines)) - 1), lambda i: F.get(short, i)))
-    spans = F.transform(F.filter(spans, lambda x: F.size(x) > 1), lambda x: F.struct(F.get(x, 0).alias("first"), F.get(x, F.size(x) - 1).alias("last"), F.array_join(F.transform(x, lambda i: F.get(lines, i)), " ").alias("line")))
-    return F.concat(each, F.when(F.exists(short, lambda x: x), spans).otherwise(F.array().cast("array<struct<first:int,last:int,line:string>>")))
+    long_runs = F.filter(run, lambda r: r["last"] - r["first"] >= SPAN)
+    spans = F.flatten(F.transform(long_runs, lambda r: F.transform(F.sequence(r["first"], r["last"], F.lit(STEP)), lambda s: F.filter(F.sequence(s, F.least(s + SPAN - 1, r["last"])), lambda i: F.get(short, i)))))
+    # two spans of the same ends are one; the ends as one number, whose distinct values are found by hash
+    ends = F.array_distinct(F.transform(F.filter(spans, lambda x: F.size(x) > 1), lambda x: F.get(x, 0).cast("long") * F.lit(1 << 31) + F.get(x, F.size(x) - 1)))
+    first, last = lambda e: F.shiftright(e, 31).cast("int"), lambda e: e.bitwiseAND((1 << 31) - 1).cast("int")
+    spans = F.transform(ends, lambda e: F.struct(first(e).alias("first"), last(e).alias("last"), F.array_join(F.transform(F.filter(F.sequence(first(e), last(e)), lambda i: F.get(short, i)), lambda i: F.get(lines, i)), " ").alias("line")))
+    return F.concat(each, whole, F.when(F.exists(short, lambda x: x), spans).otherwise(F.array().cast("array<struct<first:int,last:int,line:string>>")))
 
 
 def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "doc_id") -> DataFrame:
@@ -240,11 +290,12 @@ def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "d
     levels, lack = gains(model)
     texts = docs.select(F.col(key).alias(key), "text").where("text is not null").withColumn("row", F.monotonically_increasing_id()).select(key, "row", once(F.split("text", "\n")).alias("lines"))
     texts = texts.select("*", once(F.transform("lines", lambda x: (F.length(x) <= SHORT_LINE) & x.rlike("[A-Za-z0-9]"))).alias("short"))
-    units = texts.select(key, "row", F.inline(paragraphs(F.col("lines"), F.col("short")))).select(key, "row", "first", "last", once(tokens(F.col("line"))).alias("words"))
+    texts = texts.select("*", once(F.transform("lines", lambda x: ~x.rlike(r"[^\x09-\x0D ]"))).alias("blank")).select("*", once(runs(F.col("blank"))).alias("run"))
+    units = texts.select(key, "row", F.inline(paragraphs(F.col("lines"), F.col("short"), F.col("run")))).select(key, "row", "first", "last", once(tokens(F.col("line"))).alias("words"))
     units = units.select(key, "row", "first", "last", "words", once(ngrams(F.col("words"))).alias("all"))
     # only a paragraph whose n-grams' gains could reach what is lacking can outweigh unknown
-    units = units.select("*", once(F.expr(f"array_distinct(filter(all, g -> {one_of([g for _, x in levels for g in x])}))")).alias("positive")).where(F.size("positive") > 0)
-    most = F.expr(f"aggregate(positive, 0D, (a, g) -> a + case {' '.join(f'when {one_of(x)} then {v}D' for v, x in levels)} else 0D end)")
+    units = units.select("*", once(F.expr(f"array_distinct(filter(all, g -> {one_of([g for _, x in levels for g in x])}))")).alias("weighed")).where(F.size("weighed") > 0)
+    most = F.expr(f"aggregate(weighed, 0D, (a, g) -> a + case {' '.join(f'when {one_of(x)} then {v}D' for v, x in levels)} else 0D end)")
     units = units.where(most >= lack)
     pairs = template_pairs()
     units = units.select(
@@ -256,10 +307,16 @@ def license_paragraphs(docs: DataFrame, model: dict | None = None, key: str = "d
     # the templates' pairs: a fixed table
     table = spark.createDataFrame(pairs, "of string, template int, size int, pair string")
     own = [c for c in unit if c != "pairs"] + ["family", "probability"]
-    shared = found.select(*own, F.explode_outer("pairs").alias("pair")).join(F.broadcast(table), "pair", "left").where("of is null or of = family or family = 'unknown'")
-    shared = shared.groupBy(*own, "template").agg(F.sum(F.when(F.col("of") == F.col("family"), 1).otherwise(0)).alias("common"), F.first("size").alias("size"))
+    shared = found.select(*own, F.explode_outer("pairs").alias("pair")).join(F.broadcast(table), "pair", "left")
+    shared = shared.groupBy(*own, "template", "of").agg(F.count("template").alias("common"), F.first("size").alias("size"))
     smaller = F.greatest(F.least(F.col("size"), F.col("n_pairs")), F.lit(LEAST_PAIRS))
-    found = shared.groupBy(*own).agg(F.round(F.coalesce(F.max(F.least(F.lit(1.0), F.col("common") / smaller)), F.lit(0.0)), 6).alias("similarity")).withColumn("confirmed", F.col("similarity") >= CONFIRM)
+    alike, its = F.least(F.lit(1.0), F.col("common") / smaller), F.coalesce(F.col("of") == F.col("family"), F.lit(False))
+    found = shared.groupBy(*own).agg(F.round(F.coalesce(F.max(F.when(its, alike)), F.lit(0.0)), 6).alias("similarity"), F.round(F.coalesce(F.max(F.when(~its, alike)), F.lit(0.0)), 6).alias("other"))
+    lost = (F.col("similarity") == 0) | (F.col("similarity") < CONFIRM) & (F.col("other") >= CONFIRM)
+    # what shares no word pair with any template is no licence, whatever the model holds
+    found = found.where((F.col("similarity") > 0) | (F.col("other") > 0))
+    found = found.withColumns({"family": F.when(lost, UNKNOWN).otherwise(F.col("family")), "similarity": F.when(lost, 0.0).otherwise(F.col("similarity"))})
+    found = found.withColumn("confirmed", (F.col("similarity") >= CONFIRM) & (F.col("similarity") >= F.col("other")))
     one = F.struct("first", "last", "family", "probability", "similarity", "confirmed")
     of_text = found.groupBy(key, "row").agg(F.collect_list(one).alias("found"))
 

@@ -21,6 +21,9 @@ PARAGRAPHS = {
         "\"Contribution\" shall mean any work of authorship, including the original version of the Work and any modifications or additions to that Work or Derivative Works thereof, that is intentionally submitted to Licensor for inclusion in the Work by the copyright owner.",
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work.",
         "You must cause any modified files to carry prominent notices stating that You changed the files; and You must retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form of the Work.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "\"Contributor\" shall mean Licensor and any individual or Legal Entity on behalf of whom a Contribution has been received by Licensor and subsequently incorporated within the Work.",
+        "\"Work\" shall mean the work of authorship, whether in Source or Object form, made available under the License, as indicated by a copyright notice that is included in or attached to the work.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -30,6 +33,8 @@ PARAGRAPHS = {
         "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "This software is provided by the regents and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the regents or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption).",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -39,6 +44,9 @@ PARAGRAPHS = {
         "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code.",
         "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software.",
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program.",
+        "You may convey a work based on the Program, or the modifications to produce it from the Program, in the form of source code under the terms of section 4, provided that you also meet all of these conditions.",
+        "You may charge any price or no price for each copy that you convey, and you may offer support or warranty protection for a fee.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
@@ -102,6 +110,11 @@ PARAGRAPHS = {
         "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0 Universal. This work is distributed without any warranty.",
         "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law.",
     ],
+    "wtfpl": [
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar.",
+        "Do what the fuck you want to public license, terms and conditions for copying, distribution and modification: you just do what the fuck you want to.",
+    ],
     "proprietary": [
         "All rights reserved.",
         "Copyright (c) 2020 Example Inc. All rights reserved.",
@@ -129,6 +142,7 @@ NAMES = {
     "cc-by-nc": (["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial license", "the Creative Commons Attribution-NonCommercial 4.0 International License"], ["CC-BY-NC-4.0", "CC BY-NC 3.0"]),
     "cc-by-sa": (["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike license", "the Creative Commons Attribution-ShareAlike 4.0 International License"], ["CC-BY-SA-4.0", "CC BY-SA 3.0"]),
     "public-domain": (["CC0 1.0 Universal", "the Unlicense", "a public domain dedication"], ["CC0-1.0", "Unlicense"]),
+    "wtfpl": (["the WTFPL", "the Do What The Fuck You Want To Public License"], ["WTFPL"]),
     "proprietary": (["a proprietary license", "a commercial license"], ["Proprietary"]),
 }
 

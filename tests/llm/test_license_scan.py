@@ -25,10 +25,16 @@ def brute(text, model):
     lines = text.split("\n")
     short = [len(x) <= 100 and any(c.isascii() and c.isalnum() for c in x) for x in lines]
     units = [(i, i, x) for i, x in enumerate(lines)]
-    for s in range(0, len(lines), 3):
-        own = [i for i in range(s, min(s + 6, len(lines))) if short[i]]
-        if len(own) > 1:
-            units.append((own[0], own[-1], " ".join(lines[i] for i in own)))
+    at = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i].strip("\t\n\v\f\r "):
+            if i - at > 1:
+                units.append((at, i - 1, " ".join(lines[at:i])))
+            for s in range(at, i, 3) if i - at > 6 else ():
+                own = [k for k in range(s, min(s + 6, i)) if short[k]]
+                if len(own) > 1:
+                    units.append((own[0], own[-1], " ".join(lines[k] for k in own)))
+            at = i + 1
     out = []
     for first, last, line in units:
         w = template_words(line)
@@ -39,34 +45,41 @@ def brute(text, model):
         if p[UNKNOWN] < 0.5:
             best = max((f for f in families if f != UNKNOWN), key=lambda f: (p[f], -families.index(f)))
             family = best if p[best] > model["least"] else UNKNOWN
-            sim = max((min(1.0, len(ps & two) / max(LEAST_PAIRS, min(len(ps), len(two)))) for (f, _), ps in pairs.items() if f == family), default=0.0)
-            out.append((first, last, family, round(p[best], 6), round(sim, 6)))
+            alike = {k: round(min(1.0, len(ps & two) / max(LEAST_PAIRS, min(len(ps), len(two)))), 6) for k, ps in pairs.items()}
+            sim, other = max((x for (f, _), x in alike.items() if f == family), default=0.0), max((x for (f, _), x in alike.items() if f != family), default=0.0)
+            if sim == other == 0:
+                continue
+            if sim == 0 or sim < CONFIRM <= other:
+                family, sim = UNKNOWN, 0.0
+            out.append((first, last, family, round(p[best], 6), sim, sim >= CONFIRM and sim >= other))
     return out
 
 
 def test_against_plain_python(spark, model):
     texts = [p for ps in PARAGRAPHS.values() for p in ps]
     texts += ["\n".join(t[i:i + 70] for i in range(0, len(t), 70)) for t in texts[:12]]
+    many = " ".join(texts[:4]).split()
+    texts.append("\n".join(" ".join(many[i:i + 9]) for i in range(0, len(many), 9)))
     texts += [" ".join(PROSE) + "\n" + texts[3] + "\n\n" + PROSE[0], "Released under GPLv3\nor the MIT licence", *PROSE]
     rows = [(i, t) for i, t in enumerate(texts)]
     found: dict = {}
     for r in license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
-        found.setdefault(r.doc_id, []).append((r.paragraph, r.family, r.probability, r.similarity))
-        assert r.confirmed == (r.similarity >= CONFIRM)
+        found.setdefault(r.doc_id, []).append((r.paragraph, r.family, r.probability, r.similarity, r.confirmed))
     for i, t in rows:
         want = brute(t, model)
-        every = {(a, f, p, s) for a, _, f, p, s in want}
+        every = {(a, f, p, s, ok) for a, _, f, p, s, ok in want}
         assert set(found.get(i, [])) <= every
-        spans = [(a, b, f) for a, b, f, _, s in want if a < b and s >= CONFIRM and f != UNKNOWN]
-        for a, b, f, p, s in want:  # each line that is confirmed, or within no span, is there
-            if a == b and (s >= CONFIRM or not any(x <= a and a <= y for x, y, _ in spans)):
-                assert (a, f, p, s) in found.get(i, [])
+        spans = [(a, b, f) for a, b, f, _, _, ok in want if a < b and ok and f != UNKNOWN]
+        for a, b, f, p, s, ok in want:  # each line that is confirmed, or within no span, is there
+            if a == b and (ok or not any(x <= a and a <= y for x, y, _ in spans)):
+                assert (a, f, p, s, ok) in found.get(i, [])
         if want and not any(a == b for a, b, *_ in want) and spans:
             assert {f for _, f, *_ in found[i]} & {f for *_, f in spans}
+    assert any(b - a > 6 for t in texts for a, b, *_ in brute(t, model))  # a long run is one paragraph
 
 
 def test_recall(spark, model):
-    assert model["recall"] >= 0.85  # templates that the calibrating model had not seen
+    assert model["recall"] >= 0.9  # templates that the calibrating model had not seen
     lines = [(k, p) for k, ps in PARAGRAPHS.items() for p in ps]
     got = {r.doc_id: (r.family, r.confirmed) for r in license_paragraphs(spark.createDataFrame(list(enumerate(p for _, p in lines)), "doc_id long, text string"), model).collect()}
     assert sum(got.get(i) == (k, True) for i, (k, _) in enumerate(lines)) >= 0.95 * len(lines)
@@ -110,3 +123,34 @@ def test_wrapped_and_lower_case(spark, model):
 def test_empty_corpus(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert license_paragraphs(df).collect() == []
+
+
+def test_runs_of_any_width(spark, model):
+    """A paragraph of many long lines is seen whole, and does not run over a blank line."""
+    grant = next(p for p in PARAGRAPHS["mit"] if p.startswith("Permission"))
+    words = grant.split()
+    narrow, wide = "\n".join(words), "\n".join(" ".join(words[i:i + 25]) for i in range(0, len(words), 25))
+    rows = [(1, f"{PROSE[0]}\n\n{narrow}\n\n{PROSE[1]}"), (2, f"{PROSE[0]}\n \t\n{wide}\n\n{PROSE[1]}"), (3, "\n".join(PROSE * 40))]
+    got = {r.doc_id: (r.paragraph, r.family, r.confirmed) for r in license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r.family != UNKNOWN}
+    assert got[1] == (2, "mit", True) and got[2][1:] == ("mit", True) and 3 not in got
+
+
+def test_lookalikes(spark, model):
+    rows = [(1, "Er kam mit ihr."), (2, "Sie fuhr mit dem Wagen, und wir gingen mit den anderen."), (3, "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.")]
+    got = [(r.doc_id, r.family, r.confirmed) for r in license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r.family != UNKNOWN]
+    assert got == [(3, "wtfpl", True)]
+
+
+def test_german_prose_has_no_family(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = license_paragraphs(docs).collect()
+    assert out and all(r.confirmed or r.family == UNKNOWN for r in out)
+
+
+def test_model_is_saved(spark, model, tmp_path):
+    from tallyhouse.llm.license_scan import load_model, save_model
+
+    save_model(model, spark, f"{tmp_path}/model")
+    again = load_model(spark, f"{tmp_path}/model")
+    df = spark.createDataFrame([(1, "Released under the MIT License."), (2, PROSE[0])], "doc_id long, text string")
+    assert license_paragraphs(df, again).collect() == license_paragraphs(df, model).collect() != []
