@@ -3,15 +3,19 @@
 Base identifiers are found in the text as it stands. Two transducers then
 rewrite it: one maps look-alike, full-width, mathematical and other digits and
 letters to ASCII and drops invisible characters; one maps "(at)", "[dot]",
-"name at host dot org", "name_at_host_dot_org", runs of spelled digits and
-numbers with spelled dots to what they stand for. A transducer gives its edits;
+"name at host dot org", "name_at_host_dot_org", "name @ host . org", runs of spelled digits and
+numbers with spelled or bracketed dots to what they stand for; mail and numbers share its dots. A transducer gives its edits;
 from them, each identifier found in the rewritten text maps back to source
 characters. Such a span is added where its source differs from it and no base
 span of its kind holds it; it may reach beyond a base span, which stays.
 
 An "at" with no other sign of disguise, as in "look at example.com", counts
-only before a host with one of ``TOP_LEVEL`` and after a word that is none of
-``BEFORE_AT``, which prose puts there.
+where the host is in lower case after its first dot and ends in letters, and the
+word before it is no word of prose. A word with a digit or sign in it is none. Of
+others the corpus tells: of the words that stand so before a host anywhere,
+those that at least one in ``PROSE_SHARE`` documents (and PROSE_DOCS) has in
+lower case elsewhere are prose. Without a corpus (``find_pii`` of one text) every plain
+word counts as prose.
 
 Every step reads the text once or twice, so that very long texts take time in
 proportion to their length.
@@ -52,16 +56,20 @@ MATHEMATICAL = "\U0001d400-\U0001d7ff"
 GLYPH = re.compile(f"[{''.join(LOOKALIKES)}{DASHES}{DOTS}{INVISIBLE}\u00a0٠-٩۰-۹०-९！-～{MATHEMATICAL}]")
 # fixed values: names of digits
 DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-# fixed values: common top-level domains, and words that prose puts before "at" and a host
-TOP_LEVEL = frozenset("com org net edu gov io de fr es it uk co info eu ru nl ch at be us ca au in cn jp br pl se no dk fi cz dev app ai me biz".split())
-BEFORE_AT = frozenset("look looks looked looking available online is are was were be been found find hosted me us them it him her you page website site web us live here home visit see read more info details out up back down in out work works working worked shop store buy sold again arrived arrive stay stays meet and or not just only free this that these those one people time day today now later".split())
+#: A word before a bare "at" is prose if one in so many documents, and so many at least, have it elsewhere.
+PROSE_SHARE, PROSE_DOCS = 2_000, 2
+#: A bare "at" between a plain word and a host, in the expressions of the engine.
+BARE_AT = r"(?<![A-Za-z0-9._%+\-])([A-Za-z]+)\s{1,3}(?:[Aa][Tt]|@)\s{1,3}[A-Za-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}"
+#: Local parts where they stand before any kind of "at", which tell nothing of prose.
+LOCALS = BARE_AT + r"|[A-Za-z0-9._%+\-]+(?:\s{0,2}[\[({<]\s?(?:[Aa][Tt]|@)\s?[\])}>]|\s{0,3}@|_at_|\s{1,3}[Aa][Tt]\s{1,3}[A-Za-z0-9\-]+(?:\s{1,3}[Dd][Oo][Tt]\s|\s?[\[({<]))"
 ANY_DIGIT = "(?:" + "|".join(DIGITS) + ")"
-AT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}at\s{1,3}(?=[a-z0-9])|@")
-DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_dot_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
+AT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}(?:at|@)\s{1,3}(?=[a-z0-9])|@")
+BRACKET_DOT = r"\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}"
+DOT = re.compile("(?i)" + BRACKET_DOT + r"|(?<=[a-z0-9])\s\.\s(?=[a-z0-9])|(?<=[a-z0-9])_dot_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}dot\s{1,3}(?=[a-z0-9])")
 LABEL = re.compile(r"[A-Za-z0-9-]++")
-RUN = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\s-]{{1,2}})?(?:{ANY_DIGIT}|[0-9]++)\b(?:(?:\s{{1,3}}(?:dot|point)\s{{1,3}}|[\s-]{{1,2}})(?:{ANY_DIGIT}|[0-9]++)\b)++")
-PART = re.compile(rf"(?i)\s{{1,3}}(?P<dot>dot|point)\s{{1,3}}|(?P<plus>plus)[\s-]{{1,2}}|(?P<digit>{ANY_DIGIT})|(?P<gap>[\s-]{{1,2}})")
-SPELLED = re.compile(rf"(?i)\b(?:{ANY_DIGIT}|plus|dot|point)\b")
+RUN = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\s-]{{1,2}})?(?:{ANY_DIGIT}|[0-9]++)\b(?:(?:\s{{1,3}}(?:dot|point)\s{{1,3}}|{BRACKET_DOT}|[\s-]{{1,2}})(?:{ANY_DIGIT}|[0-9]++)\b)++")
+PART = re.compile(rf"(?i)(?P<dot>\s{{1,3}}(?:dot|point)\s{{1,3}}|{BRACKET_DOT})|(?P<plus>plus)[\s-]{{1,2}}|(?P<digit>{ANY_DIGIT})|(?P<gap>[\s-]{{1,2}})")
+SPELLED = re.compile(rf"(?i)\b(?:{ANY_DIGIT}|plus|dot|point)\b|(?<=[0-9])\s{{0,2}}[\[({{<]\s?\.")
 
 
 def luhn(digits: str) -> bool:
@@ -151,10 +159,10 @@ def plain_glyphs(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), glyph(m[0])) for m in GLYPH.finditer(text)]
 
 
-def address(text: str, at: re.Match, dots_before: dict[int, tuple[int, int]], dots_after: dict[int, tuple[int, int]], low: int) -> list[tuple[int, int, str]]:
+def address(text: str, at: re.Match, dots_before: dict[int, tuple[int, int]], dots_after: dict[int, tuple[int, int]], low: int, prose: frozenset[str] | None) -> list[tuple[int, int, str]]:
     """Edits that make an address around one "at"; none if there is no disguised one. dots: spelled dots by where they end and start; low: no character before it is used."""
     def bare(x: str) -> bool:
-        return x[:1].isspace() and x.strip()[:1].lower() in ("a", "d")
+        return x[:1].isspace() and x.strip()[:1].lower() in ("a", "@")
 
     start, edits, spelled = at.start(), [], False
     while True:  # chunks of the local part, from right to left
@@ -192,13 +200,17 @@ def address(text: str, at: re.Match, dots_before: dict[int, tuple[int, int]], do
         return []
     if at[0] == "@" and not host_dots and not spelled:
         return []  # a base address
-    if bare(at[0]) and not host_dots and not spelled and (last.lower() not in TOP_LEVEL or local.lower() in BEFORE_AT):
-        return []
+    if bare(at[0]) and not host_dots and not spelled:
+        tail = text[at.end():end].partition(".")[2]
+        if tail != tail.lower() or not (last.isalpha() and len(last) > 1):
+            return []
+        if local.isalpha() and (prose is None or local.lower() in prose):
+            return []
     return edits[::-1] + [(at.start(), at.end(), "@")] + host_dots
 
 
-def plain_words(text: str) -> list[tuple[int, int, str]]:
-    """Edits for spelled signs and digits."""
+def plain_words(text: str, prose: frozenset[str] | None = None) -> list[tuple[int, int, str]]:
+    """Edits for spelled signs and digits; prose: words that are no local part before a bare "at" (None: all plain words)."""
     edits: list[tuple[int, int, str]] = []
     if re.search(r"(?i)at\b|at_|@", text):
         dots = [m.span() for m in DOT.finditer(text)]
@@ -206,7 +218,7 @@ def plain_words(text: str) -> list[tuple[int, int, str]]:
         for at in AT.finditer(text):
             if at.start() < low:
                 continue
-            found = address(text, at, before, after, low)
+            found = address(text, at, before, after, low, prose)
             if found:
                 edits += found
                 low = max(at.end(), found[-1][1])
@@ -221,13 +233,13 @@ def plain_words(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
-def find_pii(text: str | None) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, disguised) by kind as in KINDS, then start."""
+def find_pii(text: str | None, prose: frozenset[str] | None = None) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, disguised) by kind as in KINDS, then start; prose as in ``plain_words``."""
     if not text:
         return []
     base = [(*x, False) for x in identifiers(text)]
     tapes, plain = [], text
-    for transducer in (plain_glyphs, plain_words):
+    for transducer in (plain_glyphs, lambda t: plain_words(t, prose)):
         if edits := transducer(plain):
             tapes.append(Tape(plain, edits))
             plain = tapes[-1].text
@@ -246,35 +258,59 @@ def find_pii(text: str | None) -> list[tuple[str, int, int, bool]]:
     return sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-@F.pandas_udf(SPANS)
-def spans_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("kind", "start", "end", "disguised"), x)) for x in find_pii(t)])
+def prose_words(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """The words that stand before a bare "at" and a host somewhere in ``docs`` and are prose elsewhere.
+
+    A word counts once a document, in lower case and outside such places. As
+    at least one document in PROSE_SHARE has each, there are at most PROSE_SHARE times
+    as many as a document has different words, so that they fit the driver and
+    every task whatever the corpus.
+    """
+    texts = docs.select(F.col(text).cast("string").alias("text"))
+    near = texts.where(F.col("text").rlike(BARE_AT)).select(F.explode(F.regexp_extract_all("text", F.lit(BARE_AT), F.lit(1))).alias("word"))
+    found = near.select(F.lower("word").alias("word")).distinct()
+    if found.isEmpty():
+        return frozenset()
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", LOCALS, " "), F.lit("(?<![A-Za-z])([a-z]+)(?![A-Za-z])"), F.lit(1)))
+    counted = texts.select(F.explode(words).alias("word")).groupBy("word").count()
+    least = max(PROSE_DOCS, -(-docs.count() // PROSE_SHARE))
+    return frozenset(r["word"] for r in counted.where(F.col("count") >= least).join(found, "word", "left_semi").select("word").collect())
 
 
 def pii_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
     """``docs`` with the array column ``into`` of the text's spans; a column of that name is replaced."""
+    prose = prose_words(docs, text)
+
+    @F.pandas_udf(SPANS)
+    def spans_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [dict(zip(("kind", "start", "end", "disguised"), x)) for x in find_pii(t, prose)])
+
     return docs.withColumn(into, spans_of(F.col(text)))
 
 
-@F.pandas_udf(T.StringType())
-def masked(text: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None:
-            return None
-        out, at = [], 0
-        for kind, s, e, _ in sorted(find_pii(t), key=lambda x: (x[1], -x[2])):
-            if s < at:  # overlaps the one before: one mask covers both
-                at = max(at, e)
-                continue
-            out += [t[at:s], f"<{kind.upper()}>"]
-            at = e
-        return "".join(out) + t[at:]
-    return text.map(one)
+def masked(text: str | None, prose: frozenset[str] | None = None) -> str | None:
+    """A text with its spans replaced by their kinds."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for kind, s, e, _ in sorted(find_pii(text, prose), key=lambda x: (x[1], -x[2])):
+        if s < at:  # overlaps the one before: one mask covers both
+            at = max(at, e)
+            continue
+        out += [text[at:s], f"<{kind.upper()}>"]
+        at = e
+    return "".join(out) + text[at:]
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a null text stays null."""
-    return docs.withColumn(text, masked(F.col(text)))
+    prose = prose_words(docs, text)
+
+    @F.pandas_udf(T.StringType())
+    def mask(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: masked(t, prose))
+
+    return docs.withColumn(text, mask(F.col(text)))
 
 
 def digest(spans: Column) -> Column:

@@ -7,7 +7,7 @@ import time
 
 import pytest
 
-from tallyhouse.llm.pii import KINDS, find_pii, luhn, mask_pii, pii_digest
+from tallyhouse.llm.pii import KINDS, find_pii, luhn, mask_pii, pii_digest, pii_spans, plain_glyphs, plain_words, prose_words, Tape
 from tallyhouse.llm.quality_classifier import quality_verdicts
 from tallyhouse.llm.quality_rules import RULES, cascade_order, quality_rules
 from tallyhouse.llm.token_counts import Automaton, token_counts
@@ -70,10 +70,11 @@ def test_disguised_pii(text, kind, source):
 @pytest.mark.parametrize("text, kind, source", [
     ("jοhn@gmail.com", "email", "jοhn@gmail.com"), ("mail 𝐣ohn@gmail.com", "email", "𝐣ohn@gmail.com"), ("so john at example.com,", "email", "john at example.com"),
     ("john  at  gmail  dot  com", "email", "john  at  gmail  dot  com"), ("x john_at_gmail_dot_com", "email", "john_at_gmail_dot_com"), ("on 10 dot 0 dot 0 dot 1 now", "ip", "10 dot 0 dot 0 dot 1"),
+    ("ip 192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"), ("ip 192(dot)168(dot)0(dot)1", "ip", "192(dot)168(dot)0(dot)1"), ("to john @ example . com", "email", "john @ example . com"), ("ask jane at example.museum", "email", "jane at example.museum"), ("jo.fox @ example.com", "email", "jo.fox @ example.com"),
     ("john dot smith at example.com", "email", "john dot smith at example.com"), ("to ann@gmail dot com", "email", "ann@gmail dot com"), ("a\u200bb@c.de", "email", "a\u200bb@c.de"),
 ])
 def test_longer_spans_and_more_disguises(text, kind, source):
-    found = find_pii(text)
+    found = find_pii(text, frozenset())
     assert (kind, text.index(source), text.index(source) + len(source), True) in found
     assert [x[:3] for x in found if not x[3]] == brute_pii(text)
 
@@ -97,7 +98,53 @@ def test_random_disguises():
         spans = {(s, e) for k, s, e, _ in find_pii(text) if k == "email"}
         assert (len(before), len(before) + len(disguised)) in spans, text
         assert all(len(before) <= s and e <= len(before) + len(disguised) for s, e in spans), text
-        assert plain in (plain, text)
+        assert slow_address(text[len(before):len(before) + len(disguised)]) == plain, text
+        tapes, rewritten = [], text
+        for transducer in (plain_glyphs, plain_words):
+            tapes.append(Tape(rewritten, transducer(rewritten)))
+            rewritten = tapes[-1].text
+        assert plain in rewritten, (text, rewritten)  # what the span maps back from is the very address
+
+
+def slow_address(source):
+    """The address that a disguise stands for, by plain replacing."""
+    plain = "".join({"а": "a", "ο": "o", "с": "c", "е": "e", "х": "x", "𝐦": "m"}.get(c, c) for c in source)
+    return re.sub(r"\s*[\[({]dot[\])}]\s*|_dot_|\s+dot\s+", ".", re.sub(r"\s*[\[({]at[\])}]\s*|_at_|\s+at\s+", "@", plain))
+
+
+def test_bare_at_by_the_corpus(spark):
+    """Words that the corpus has in prose are no local parts; recall and false alarms by disguise."""
+    random.seed(8)
+    prose = ["look", "shop", "studies", "nice", "hotel", "works", "house", "we", "met", "noon"]
+    names = ["jane", "bob", "aiko", "tomas", "li"]
+    planted, alarms = {k: [0, 0] for k in ("{} at {}.{}", "{} @ {}.{}", "{} at {} dot {}", "{}[at]{}[.]{}", "{} (at) {} . {}", "{}@{} . {}")}, 0
+    rows, want = [], {}
+    for i in range(600):
+        text = " ".join(random.choices(prose, k=12)) + " "
+        if i % 3 == 0:
+            shape = random.choice(list(planted))
+            address = shape.format(random.choice(names), random.choice(["mail", "x-1", "ab"]), random.choice(["com", "museum", "de"]))
+            want[i] = (shape, len(text), len(text) + len(address))
+            text += address + " " + random.choice(prose)
+        elif i % 3 == 1:
+            text += f"{random.choice(prose)} at {random.choice(['mit', 'shop', 'x'])}.{random.choice(['edu', 'de', 'com', 'Then'])} we"
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = prose_words(df)
+    assert {"look", "shop", "studies"} <= known and not known & set(names)
+    for r in pii_spans(df).collect():
+        spans = {(x["start"], x["end"]) for x in r.pii_spans if x["kind"] == "email"}
+        if r.doc_id in want:
+            shape, s, e = want[r.doc_id]
+            planted[shape][0] += 1
+            planted[shape][1] += (s, e) in spans
+        else:
+            alarms += bool(spans)
+    print({k: f"{found} of {n}" for k, (n, found) in planted.items()}, "false alarms:", alarms)
+    assert alarms == 0 and all(found == n for n, found in planted.values())
+    masked_rows = {r.doc_id: r.text for r in mask_pii(df).collect()}
+    assert all("<EMAIL>" in masked_rows[i] for i in want)
+    assert prose_words(df.limit(0)) == frozenset() == prose_words(spark.createDataFrame([(1, None)], "doc_id long, text string"))
 
 
 def test_long_texts_take_linear_time():
