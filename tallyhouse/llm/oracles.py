@@ -9,11 +9,14 @@ rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, k)
 cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from rep) group by doc_id),
 s as (select doc_id, t, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines, coalesce(cov.n, 0) as n_repeat_words from d left join cov using (doc_id)),
+ch as (select doc_id, c, count(*) as k from (select doc_id, unnest(regexp_extract_all(array_to_string(w, ''), '(?s).')) as c from d) group by doc_id, c),
+ent as (select doc_id, -sum(k / n * log2(k / n)) as bits from (select doc_id, cast(k as double) as k, sum(k) over (partition by doc_id) as n from ch) group by doc_id),
 f as (select *, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and not 10 * n_symbols > 3 * n_words and word_chars between 2 * n_words and 15 * n_words and not (n_dup_lines > 2 and 100 * n_dup_lines > 30 * len(lines))
     and not 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
-    and not 2 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) as kept from f"""
+    and not 2 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]+', '', 'g'))
+    and not coalesce(bits, 0) < 2 and not 10 * len(regexp_extract_all(t, '(?i)(https?://|www\.)')) > 3 * n_words as kept from f left join ent using (doc_id)"""
 
 
 def centroid_clusters(rounds: int = 10, clusters: int = 8, length: int = 64) -> str:

@@ -1,22 +1,26 @@
 """Operator 5: quality rules as a short-circuit cascade.
 
 Every rule rejects documents by one signal. On a bounded sample of documents
-(at most ``SAMPLE`` of up to ``SAMPLE_CHARS`` characters, for the order alone) each rule's time a document and share of
+(at most ``SAMPLE`` of up to ``SAMPLE_CHARS`` characters, chosen by hash from the whole table, for the order alone) each rule's time a document and share of
 rejected documents are measured; the rules then run in descending order of
 rejection per cost, each only over documents that no earlier one rejected. The
 order changes the work, never the verdicts: a document is kept if no rule
 rejects it. The base signals are part of the result and so are taken of every
-document; the rules reuse them.
+document; the rules on them only compare. ``character_entropy``, ``links``,
+``exclamations`` and ``capitals`` read the text themselves, so that the order
+saves their work (``cascade_work`` tells how much).
 
 Defined cases: a null text has no words and is rejected by ``few_words``;
-repeated rows are judged each; an empty table gives no rows; other columns are
-ignored.
+repeated rows are judged each; equal rates order rules by name; a very long
+text is judged whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import time
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -27,10 +31,20 @@ from pyspark.sql import functions as F
 from .shared import token_chunks
 
 SAMPLE, SAMPLE_CHARS = 300, 50_000
+#: Least bits a character, and most links of ten words.
+LEAST_BITS, MOST_LINKS = 2.0, 3
+LINK = re.compile(r"(?i)(?:https?://|www\.)")
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
+
+def entropy(text: str) -> float:
+    """Bits a character by the text's own character counts; 0 for an empty text."""
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values()) if n else 0.0
+
+
 #: name: (text, signals of the document) -> rejected
 RULES: dict[str, Callable[[str, dict], bool]] = {
     "few_words": lambda text, s: s["n_words"] < 10,
@@ -40,6 +54,8 @@ RULES: dict[str, Callable[[str, dict], bool]] = {
     "duplicate_lines": lambda text, s: s["n_dup_lines"] > 2 and 100 * s["n_dup_lines"] > 30 * s["n_lines"],
     "exclamations": lambda text, s: 10 * text.count("!") > 3 * s["n_words"],
     "capitals": lambda text, s: 2 * len(re.sub("[^A-Z]+", "", text)) > len(re.sub("[^A-Za-z]+", "", text)),
+    "character_entropy": lambda text, s: entropy("".join(text.split())) < LEAST_BITS,
+    "links": lambda text, s: 10 * len(LINK.findall(text)) > MOST_LINKS * s["n_words"],
 }
 BASE = ("few_words", "repeated_words")
 
@@ -80,9 +96,11 @@ def measured(texts: list[str]):
 
 
 def cascade_order(docs: DataFrame, rules: dict = RULES, sample: int = SAMPLE) -> list[str]:
-    """The rules' names by rejected documents per second, from the first documents of bounded length; ties by name."""
-    first = docs.where(F.length("text") <= SAMPLE_CHARS).select("text").take(sample)
-    rows, rate = list(measured([r.text for r in first])), {}
+    """The rules' names by rejected documents per second, from documents of bounded length chosen by hash; ties by name."""
+    some = docs.where(F.length("text") <= SAMPLE_CHARS).select("text")
+    share = min(1.0, 2 * sample / max(1, docs.count()))
+    chosen = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample).collect()
+    rows, rate = list(measured([r.text for r in chosen])), {}
     for name, rule in rules.items():
         began = time.perf_counter()
         rejected = sum(bool(rule(*x)) for x in rows)
@@ -90,6 +108,23 @@ def cascade_order(docs: DataFrame, rules: dict = RULES, sample: int = SAMPLE) ->
     return sorted(rules, key=lambda k: (-rate[k], k))
 
 
+def cascade_work(docs: DataFrame, rules: dict = RULES, order: list[str] | None = None) -> DataFrame:
+    """position, rule, evaluated and rejected: on how many documents each rule of the cascade runs, and how many it rejects."""
+    order = order or cascade_order(docs, rules)
+
+    def run(batches):
+        for rows, codes, _, lengths in token_chunks(batches, lambda t: t.encode().split()):
+            texts = [t or "" for t in rows.column("text").to_pylist()]
+            left, counts = [(t, signals(t, n, r)) for t, n, r in zip(texts, lengths.tolist(), window_words(codes, lengths).tolist())], []
+            for name in order:
+                passed = [x for x in left if not rules[name](*x)]
+                counts.append((len(left), len(left) - len(passed)))
+                left = passed
+            yield pa.RecordBatch.from_pydict({"position": pa.array(range(1, len(order) + 1), pa.int32()), "rule": order, "evaluated": [c[0] for c in counts], "rejected": [c[1] for c in counts]})
+
+    return docs.select("text").mapInArrow(run, "position int, rule string, evaluated long, rejected long").groupBy("position", "rule").agg(F.sum("evaluated").alias("evaluated"), F.sum("rejected").alias("rejected"))
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", rules: dict = RULES, order: list[str] | None = None) -> DataFrame:
     """key, the signals, base_failed and kept of each row of ``docs``."""
     order = order or cascade_order(docs, rules)

@@ -176,6 +176,22 @@ def test_pii_frame(spark):
     assert KINDS == ("email", "ip", "card", "phone")
 
 
+def test_entropy_and_links(spark):
+    from tallyhouse.llm.quality_rules import RULES, cascade_order, cascade_work, entropy, quality_rules
+
+    assert entropy("") == 0 and entropy("aaaa") == 0 and entropy("abcd" * 5) == 2.0
+    good = "The river went by the old stone house and nine of us walked on to the green hill."
+    rows = [(1, "ab ba " * 20 + " ".join(map(str, range(3)))), (2, " ".join(f"www.{w}.com" for w in good.split())), (3, good), (4, None), (5, ""), (3, good)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string")
+    assert sorted((r.doc_id, r.kept) for r in quality_rules(df).collect()) == [(1, False), (2, False), (3, True), (3, True), (4, False), (5, False)]
+    order = cascade_order(df)
+    assert sorted(order) == sorted(RULES)
+    work = cascade_work(df, order=order).orderBy("position").collect()
+    assert [r.rule for r in work] == order and work[0].evaluated == len(rows) and sum(r.rejected for r in work) == 4
+    assert all(b.evaluated == a.evaluated - a.rejected for a, b in zip(work, work[1:]))
+    assert cascade_work(df.limit(0)).collect() == []
+
+
 def greedy(word, first, inside):
     n, at, pieces = 0, 0, first
     while at < len(word):
