@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import positions
 from .shared import n_words, written
 
 MOST_TIMES = 3
@@ -97,11 +98,9 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     target above three times its source's size stops there; the excess is
     shared again by weight until none is above.
     """
-    spark = sizes.sparkSession
     totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    schema = totals.schema.add("at", "long")
-    ranked = spark.createDataFrame(totals.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-    ranked = written(ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("at") % len(WEIGHTS) + 1).cast("int")).cast("double")), "sources")
+    ranked = positions(totals, [F.col("source").asc_nulls_last()], "at")
+    ranked = written(ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("at") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")), "sources")
     cap = F.col("source_size") * MOST_TIMES
     level, capped = 0.0, -1
     while True:
