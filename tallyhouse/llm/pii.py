@@ -30,8 +30,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,13 @@ PROSE_SHARE, PROSE_DOCS = 2_000, 2
 BARE_AT = r"(?<![A-Za-z0-9._%+\-])([A-Za-z]+)\s{1,3}(?:[Aa][Tt]|@)\s{1,3}[A-Za-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,}"
 #: Local parts where they stand before any kind of "at", which tell nothing of prose.
 LOCALS = BARE_AT + r"|[A-Za-z0-9._%+\-]+(?:\s{0,2}[\[({<]\s?(?:[Aa][Tt]|@)\s?[\])}>]|\s{0,3}@|_at_|\s{1,3}[Aa][Tt]\s{1,3}[A-Za-z0-9\-]+(?:\s{1,3}[Dd][Oo][Tt]\s|\s?[\[({<]))"
+LOCAL_BYTES = re.compile(LOCALS.encode())
+#: What follows the word, which is quick to look for.
+AFTER_AT = r"\s(?:[Aa][Tt]|@)\s{1,3}[A-Za-z0-9\-]+\.[a-z0-9\-]"
+#: Letters stay, all other bytes part words.
+LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
+#: Words before a bare "at" that every task holds at most.
+FEW_WORDS = 20_000
 ANY_DIGIT = "(?:" + "|".join(DIGITS) + ")"
 AT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}(?:at|@)\s{1,3}(?=[a-z0-9])|@")
 BRACKET_DOT = r"\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}"
@@ -258,23 +267,42 @@ def find_pii(text: str | None, prose: frozenset[str] | None = None) -> list[tupl
     return sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
+def _held(words: frozenset[str]):
+    """A task's (word, documents): in how many of its documents each of ``words`` stands in lower case and before no kind of "at"."""
+    def run(batches):
+        wanted, counts = {w.encode() for w in words}, Counter()
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                t = text.as_py() or b""
+                if not wanted.isdisjoint(t.translate(LETTERS).split()):  # few texts are read again, without their addresses
+                    counts.update(wanted.intersection(LOCAL_BYTES.sub(b" ", t).translate(LETTERS).split()))
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    return run
+
+
 def prose_words(docs: DataFrame, text: str = "text") -> frozenset[str]:
     """The words that stand before a bare "at" and a host somewhere in ``docs`` and are prose elsewhere.
 
     A word counts once a document, in lower case and outside such places. As
     at least one document in PROSE_SHARE has each, there are at most PROSE_SHARE times
     as many as a document has different words, so that they fit the driver and
-    every task whatever the corpus.
+    every task whatever the corpus. The words that stand so before a host are
+    counted in tasks that hold all of them, up to FEW_WORDS; beyond, by a join.
     """
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    near = texts.where(F.col("text").rlike(BARE_AT)).select(F.explode(F.regexp_extract_all("text", F.lit(BARE_AT), F.lit(1))).alias("word"))
+    near = texts.where(F.col("text").rlike(AFTER_AT)).select(F.explode(F.regexp_extract_all("text", F.lit(BARE_AT), F.lit(1))).alias("word"))
     found = near.select(F.lower("word").alias("word")).distinct()
-    if found.isEmpty():
+    few = [r["word"] for r in found.limit(FEW_WORDS + 1).collect()]
+    if not few:
         return frozenset()
-    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", LOCALS, " "), F.lit("(?<![A-Za-z])([a-z]+)(?![A-Za-z])"), F.lit(1)))
-    counted = texts.select(F.explode(words).alias("word")).groupBy("word").count()
+    if len(few) <= FEW_WORDS:
+        counted = texts.mapInArrow(_held(frozenset(few)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    else:
+        words = F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", LOCALS, " "), F.lit("(?<![A-Za-z])([a-z]+)(?![A-Za-z])"), F.lit(1)))
+        counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(found, "word", "left_semi")
     least = max(PROSE_DOCS, -(-docs.count() // PROSE_SHARE))
-    return frozenset(r["word"] for r in counted.where(F.col("count") >= least).join(found, "word", "left_semi").select("word").collect())
+    return frozenset(r["word"] for r in counted.where(F.col("n") >= least).select("word").collect())
 
 
 def pii_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
