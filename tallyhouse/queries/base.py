@@ -15,27 +15,39 @@ ORACLE_SQL: dict[str, str] = {}
 AS_OF = date(1998, 1, 1)
 
 DEC = "decimal(38,18)"
-#: Select lists that both engines read alike. Nulls, zeros and bad values are put in by key, as the test tables have none.
-SILVER = {
-    "customer": f"""cast(c_custkey as string) as product_id, c_name as product_name, c_mktsegment as currency, cast(c_nationkey as string) as region,
-        case when c_custkey % 17 <> 0 then cast(cast(case when c_custkey % 13 = 0 then 0 else c_acctbal end as decimal(18,2)) as {DEC}) end as balance,
-        case when c_custkey % 17 = 0 then 'missing_blank' when c_custkey % 13 = 0 then 'recorded_zero' when c_custkey % 11 = 0 then 'out_of_domain' else 'valid' end as balance__quality_status""",
-    "supplier": f"""cast(s_suppkey as string) as product_id, s_name as product_name, 'MACHINERY' as currency, cast(s_nationkey as string) as region,
-        cast(cast(s_acctbal as decimal(18,2)) as {DEC}) as balance, case when s_suppkey % 7 = 0 then 'stale' else 'valid' end as balance__quality_status""",
-    "part": f"""cast(p_partkey as string) as product_id, p_name as product_name, p_brand as currency, case when p_partkey % 9 <> 0 then p_type end as region,
-        cast(cast(p_retailprice as decimal(18,2)) as {DEC}) as price, 'valid' as price__quality_status, cast(p_size as bigint) as size, 'valid' as size__quality_status""",
-    "orders": f"""cast(o_orderkey as string) as product_id, o_orderpriority as rating, 'valid' as rating__quality_status, o_orderstatus as currency,
-        cast(cast(o_totalprice as decimal(18,2)) as {DEC}) as total, 'valid' as total__quality_status, cast(o_orderdate as date) as issue_date,
-        case when o_orderkey % 10 <> 0 then cast(o_orderdate as date) + cast(o_orderkey % 900 as int) end as maturity_date,
-        o_orderstatus <> 'P' as saleable, o_orderkey % 8 = 0 as suspension_flag, cast(o_orderdate as date) as listing_date,
-        case when o_orderkey % 6 > 1 then cast(o_orderdate as date) + cast(o_orderkey % 700 as int) end as listing_end_date,
-        case when o_orderkey % 6 = 0 then 'sentinel_max_date' when o_orderkey % 6 = 1 then 'invalid_format' else 'valid' end as listing_end_date__quality_status""",
+#: Columns and expressions that both engines read alike. Nulls, zeros and bad values are put in by key, as the test tables have none.
+SILVER: dict[str, dict[str, str]] = {
+    "customer": {
+        "product_id": "cast(c_custkey as string)", "product_name": "c_name", "currency": "c_mktsegment", "region": "cast(c_nationkey as string)",
+        "balance": f"case when c_custkey % 17 <> 0 then cast(cast(case when c_custkey % 13 = 0 then 0 else c_acctbal end as decimal(18,2)) as {DEC}) end",
+        "balance__quality_status": "case when c_custkey % 17 = 0 then 'missing_blank' when c_custkey % 13 = 0 then 'recorded_zero' when c_custkey % 11 = 0 then 'out_of_domain' else 'valid' end",
+    },
+    "supplier": {
+        "product_id": "cast(s_suppkey as string)", "product_name": "s_name", "currency": "'MACHINERY'", "region": "cast(s_nationkey as string)",
+        "balance": f"cast(cast(s_acctbal as decimal(18,2)) as {DEC})", "balance__quality_status": "case when s_suppkey % 7 = 0 then 'stale' else 'valid' end",
+    },
+    "part": {
+        "product_id": "cast(p_partkey as string)", "product_name": "p_name", "currency": "p_brand", "region": "case when p_partkey % 9 <> 0 then p_type end",
+        "price": f"cast(cast(p_retailprice as decimal(18,2)) as {DEC})", "price__quality_status": "'valid'", "size": "cast(p_size as bigint)", "size__quality_status": "'valid'",
+    },
+    "orders": {
+        "product_id": "cast(o_orderkey as string)", "rating": "o_orderpriority", "rating__quality_status": "'valid'", "currency": "o_orderstatus",
+        "total": f"cast(cast(o_totalprice as decimal(18,2)) as {DEC})", "total__quality_status": "'valid'", "issue_date": "cast(o_orderdate as date)",
+        "maturity_date": "case when o_orderkey % 10 <> 0 then cast(o_orderdate as date) + cast(o_orderkey % 900 as int) end",
+        "saleable": "o_orderstatus <> 'P'", "suspension_flag": "o_orderkey % 8 = 0", "listing_date": "cast(o_orderdate as date)",
+        "listing_end_date": "case when o_orderkey % 6 > 1 then cast(o_orderdate as date) + cast(o_orderkey % 700 as int) end",
+        "listing_end_date__quality_status": "case when o_orderkey % 6 = 0 then 'sentinel_max_date' when o_orderkey % 6 = 1 then 'invalid_format' else 'valid' end",
+    },
 }
 PRIORITIES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
 
 
+def columns(name: str) -> list[str]:
+    return [f"{expression} as {column}" for column, expression in SILVER[name].items()]
+
+
 def silver_sql(name: str) -> str:
-    return f"(select {SILVER[name]} from {name})"
+    return f"(select {', '.join(columns(name))} from {name})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    parts, depth, at = [], 0, 0
-    text = SILVER[name]
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            parts.append(text[at:i])
-            at = i + 1
-    return table(spark, sf_dir, name).selectExpr(*parts, text[at:])
+    return table(spark, sf_dir, name).selectExpr(*columns(name))
 
 
 NUMERIC = (EQ, GT, GTE, LT, LTE, BETWEEN, MISSING, NOT_MISSING)
