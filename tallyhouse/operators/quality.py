@@ -73,9 +73,20 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Repeats of a row that are written out at once.
+REPEATS = 4096
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows, with repeats, that only one of two tables has; empty for equal tables."""
-    return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionAll(b.exceptAll(a).withColumn("only_in", F.lit("right")))
+    """Rows, with repeats, that only one of two tables has; empty for equal tables. Both are read and dealt out once."""
+    own = [f"c{i}" for i in range(len(a.columns))]
+    both = a.toDF(*own).withColumn("n", F.lit(1).cast("long")).unionAll(b.toDF(*own).withColumn("n", F.lit(-1).cast("long")))
+    n = F.abs("n")
+    more = both.groupBy(*own).agg(F.sum("n").alias("n")).where("n != 0")
+    # repeats in blocks, so that a row with very many is no long array
+    blocks = more.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / REPEATS))))
+    rows = blocks.withColumn("only_in", F.explode(F.array_repeat(F.when(F.col("n") > 0, "left").otherwise("right"), F.least(F.lit(REPEATS).cast("long"), n - F.col("block") * REPEATS).cast("int"))))
+    return rows.select(*own, "only_in").toDF(*a.columns, "only_in")
 
 
 def out_of_order(df: DataFrame, position: str, key: str, by: list[str]) -> DataFrame:

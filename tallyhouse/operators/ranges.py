@@ -1,23 +1,25 @@
 """Two tables compared range by range: only the ranges of keys that differ are opened.
 
-Bounds are key tuples from a sample by hash of the first table's keys. A row
-finds its range by an equality join on bins of the first key column, plus the
-tuple bounds; the ranges are a few thousand at most, so that side is broadcast.
+Bounds are key tuples from a sample by hash of the first table's keys; they part the work and settle no row. A row
+finds its range by the bin of its first key column; a row of a bin in which
+ranges meet finds it by an equality join on the bin, plus the tuple bounds. The
+ranges are a few thousand at most, so that side is broadcast.
 Each range of both tables is summed up to a count and a hash that does not
-depend on order; where the two agree, nothing more is read. Keys need not be
-unique.
+depend on order; where the two agree, nothing more is read. Where most ranges
+differ, the whole tables are compared. Keys need not be unique.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import row_hash
 from .quality import difference
 
-BINS = 1024
+BINS = 16_384
 #: Keys sampled for each bound; intervals of the first key column that reach the scan as filters.
 SAMPLED, INTERVALS = 20, 64
 
@@ -47,27 +49,33 @@ def in_ranges(df: DataFrame, key: list[str], at: list[tuple]) -> DataFrame:
     """``df`` with range: how many of the bounds are not above the row's key."""
     if not at:
         return df.withColumn("range", F.lit(0))
+    spark, kind = df.sparkSession, df.schema[key[0]].dataType
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in key])
-    ends = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("low", schema), T.StructField("high", schema)])
-    table = df.sparkSession.createDataFrame([(i, at[i - 1] if i else None, at[i] if i < len(at) else None) for i in range(len(at) + 1)], ends)
-    kind = df.schema[key[0]].dataType
-    line = lambda c: on_line(c, kind)
-    span = table.agg(F.min(line(F.col(f"high.{key[0]}"))).alias("a"), F.max(F.when(F.col("low").isNotNull(), line(F.col(f"low.{key[0]}")))).alias("b")).first()
+    line = on_line(F.col(f"bound.{key[0]}"), kind)
+    marks = spark.createDataFrame(list(enumerate(at)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("bound", schema)])).select("i", line.alias("x"))
+    span = marks.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
     width = max((span["b"] - span["a"]) / BINS, 1e-300)
     bin_of = lambda c: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((c - F.lit(span["a"])) / F.lit(width)))).cast("int")
-    first, last = F.when(F.col("low").isNull(), 0).otherwise(bin_of(line(F.col(f"low.{key[0]}")))), F.when(F.col("high").isNull(), BINS - 1).otherwise(bin_of(line(F.col(f"high.{key[0]}"))))
-    table = F.broadcast(table.withColumn("bin", F.explode(F.sequence(first, last))))
+    bins = [r["bin"] for r in marks.select("i", bin_of(F.col("x")).alias("bin")).orderBy("i").collect()]
+    # a bin without a bound lies in one range; only rows of the other bins are compared with bounds
+    within = set(bins)
+    settled = F.split(F.lit(",".join("-1" if k in within else str(bisect_left(bins, k)) for k in range(BINS))), ",").cast("array<int>")
+    parts = [(k, i, at[i - 1] if i else None, at[i] if i < len(at) else None) for k in sorted(within) for i in range(bisect_left(bins, k), bisect_right(bins, k) + 1)]
+    ends = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("_found", T.IntegerType()), T.StructField("low", schema), T.StructField("high", schema)])
+    table = F.broadcast(spark.createDataFrame(parts, ends))
     own = F.struct(*key)
-    rows = df.withColumn("_bin", bin_of(line(F.col(key[0]))))
+    rows = df.withColumn("_bin", bin_of(on_line(F.col(key[0]), kind))).withColumn("range", F.element_at(settled, F.col("_bin") + 1)).withColumn("_bin", F.when(F.col("range") < 0, F.col("_bin")))
     inside = (F.col("_bin") == F.col("bin")) & (F.col("low").isNull() | (own >= F.col("low"))) & (F.col("high").isNull() | (own < F.col("high")))
-    return rows.join(table, inside).drop("_bin", "bin", "low", "high")
+    return rows.join(table, inside, "left").withColumn("range", F.coalesce("_found", "range")).drop("_bin", "bin", "_found", "low", "high")
 
 
 def range_sums(df: DataFrame, columns: list[str]) -> DataFrame:
-    """range, n and four sums of the rows' hashes."""
-    # a null and an empty text differ
-    h = row_hash(*(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in columns))
-    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    """range, n and four sums of the rows' hashes: the halves of two 64-bit ones, of the columns forth and back."""
+    # a null leaves the engine's hash as it is, so that whether there is one goes along
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    hashes = [F.xxhash64(*values), F.xxhash64(F.lit(1), *values[::-1])]
+    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    parts = [F.sum(half).alias(f"s{i}") for i, half in enumerate(halves)]
     return df.groupBy("range").agg(F.count(F.lit(1)).alias("n"), *parts)
 
 
@@ -108,5 +116,7 @@ def changed_rows(a: DataFrame, b: DataFrame, key: list[str], ranges: int = 256)
     at = bounds(a, key, ranges)
     ranged = [in_ranges(x, key, at) for x in (a, b)]
     which = differing(*ranged, columns)
+    if 2 * len(which) > len(at) + 1:  # to open most ranges costs more than to compare all
+        return difference(a, b)
     opened = [in_ranges(x.where(_reaches(key[0], at, which)), key, at).where(F.col("range").isin(which)).select(*columns) if which else x.limit(0) for x in (a, b)]
     return difference(*opened)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import ordering, ranges
-from tallyhouse.operators.quality import ordered_distinct
+from tallyhouse.operators.quality import difference, ordered_distinct
 
 
 def plan_of(df):
@@ -129,3 +129,21 @@ def test_every_row_has_one_range(spark, column):
     key = lambda v: bytes(v) if isinstance(v, (bytes, bytearray)) else v.encode() if isinstance(v, str) else v
     for r in got:
         assert r.range == (0 if r[column] is None else sum(key(x[0]) <= key(r[column]) for x in at))
+
+
+def test_difference_deals_out_once(spark):
+    """Both tables are read once, by one sum over all columns; repeats beyond a block and names of any kind come whole."""
+    a = spark.createDataFrame([(1, None)] * 3 + [(2, "x")] * 9_000 + [(3, "")], "`a.b` int, only string")
+    b = spark.createDataFrame([(1, None)] * 5 + [(3, None), (2, "x")], "`a.b` int, only string")
+    got = difference(a, b)
+    assert got.columns == ["a.b", "only", "only_in"] and plan_of(got).count("Exchange hashpartitioning") == 1
+    assert {tuple(r): r["count"] for r in got.groupBy("`a.b`", "only", "only_in").count().collect()} == {(1, None, "right", 2): 2, (2, "x", "left", 8_999): 8_999, (3, "", "left", 1): 1, (3, None, "right", 1): 1}
+    plan = plan_of(ranges.changed_rows(a.toDF("k", "s"), b.toDF("k", "s"), ["k"], ranges=3))
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_range_sums_tell_nulls_apart(spark):
+    rows = [(None, "a"), ("a", None), ("", "a"), ("a", ""), (None, None), ("", ""), ("a", "a")]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "range int, s string, t string")
+    sums = {tuple(r)[1:] for r in ranges.range_sums(t, ["s", "t"]).collect()}
+    assert len(sums) == len(rows)
