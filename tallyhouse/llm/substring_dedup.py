@@ -24,8 +24,8 @@ the threshold in Jaccard similarity.
 
 Hot buckets: where a chunk holds many of a bucket, they meet in a bucket of
 their own, and only the first of each context also goes to the shared one. A
-bucket that a sample of documents shows in a hundredth of them is dealt by
-context everywhere, so that a frequent line does not fill one task. Neither
+bucket that stands in a hundredth of all documents, by an exact count, is dealt
+by context everywhere, so that a frequent line does not fill one task. Neither
 drops a window.
 
 Defined cases: texts shorter than a passage, empty and null ones have none;
@@ -57,7 +57,7 @@ CHUNK = 400_000
 CROWD = 16
 #: Distance of the grams that are a window's contexts; under half a passage.
 FAR = 22
-#: Documents, about, of the sample that tells hot buckets, and the share of so many from which a bucket is hot. For placement only.
+#: The share of all rows from which a bucket is hot; in a table of under SAMPLE rows, the share of so many.
 SAMPLE, HOT = 4_000, 0.01
 #: Grams that edits may leave unmatched in a row; how far edits may shift a passage.
 GAP, SHIFT = 16, 16
@@ -180,19 +180,48 @@ def window_rows(run: int, hot: np.ndarray):
     return work
 
 
-def hot_buckets(base: DataFrame, run: int) -> np.ndarray:
-    """Buckets that a hundredth of the sampled documents share; under 100 times the windows of a document, however many documents there are."""
+def bucket_counts(run: int, of: np.ndarray | None = None):
+    """A task's (bucket, n): in how many of its rows a bucket is, less what is taken off; of: the only buckets to count, whole.
+
+    Half of HOT of the rows so far is taken off all counts (lossy counting), so that a task keeps few of its buckets.
+    """
     def work(batches):
+        known, n, rows_so_far, off = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
         for rows, codes, words, lengths in token_chunks(batches, lowered, most=CHUNK):
-            found = windows_of(rows.column("rid").to_numpy(), codes, words, lengths, run)
-            pairs = np.unique(np.stack([found["bucket"], found["rid"]]), axis=1)
-            bucket, times = np.unique(pairs[0], return_counts=True)
-            yield from pa.table({"bucket": bucket, "n": times}).to_batches()
-
-    share = min(1.0, SAMPLE / max(1, base.count()))
-    sample = base.select("rid", "text").where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = sample.mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT * SAMPLE)
-    return np.array(sorted(r["bucket"] for r in counts.collect()), np.int64)
+            found = windows_of(np.arange(len(lengths)), codes, words, lengths, run)
+            here = slice(None) if of is None else np.isin(found["bucket"], of)
+            bucket, row = found["bucket"][here], found["rid"][here]
+            order = np.lexsort((row, bucket))
+            bucket, row = bucket[order], row[order]
+            pairs = bucket[1:][(bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])]
+            pairs = np.append(bucket[:1], pairs)
+            known, which = np.unique(np.append(known, pairs), return_inverse=True)
+            n = np.bincount(which, weights=np.append(n, np.ones(len(pairs))), minlength=len(known)).astype(np.int64)
+            rows_so_far += len(lengths)
+            if of is None and (more := int(HOT / 2 * rows_so_far) - off):
+                off += more
+                n = n - more
+                known, n = known[n > 0], n[n > 0]
+        yield from pa.table({"bucket": known, "n": n}).to_batches(max_chunksize=50_000)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([None], pa.int64()), "n": [off]})  # the null bucket's n is what was taken off
+    return work
+
+
+def hot_buckets(base: DataFrame, run: int) -> np.ndarray:
+    """Buckets that are in a hundredth of all rows, or of SAMPLE where there are fewer; under 100 times the windows of a document, however many documents there are.
+
+    All rows are counted twice: the first time gives a few more buckets than
+    there are hot ones but misses none, the second their exact numbers.
+    """
+    texts = base.select("text")
+    least = HOT * max(SAMPLE, base.count())
+    counted = written(texts.mapInArrow(bucket_counts(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
+    off = counted.where("bucket is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    likely = np.array(sorted(r["bucket"] for r in counted.where(F.col("bucket").isNotNull() & (F.col("n") + off >= least)).select("bucket").collect()), np.int64)
+    if not len(likely):
+        return likely
+    exact = texts.mapInArrow(bucket_counts(run, likely), "bucket long, n long").where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["bucket"] for r in exact.where(F.col("n") >= least).select("bucket").collect()), np.int64)
 
 
 def ties(windows: DataFrame) -> DataFrame:

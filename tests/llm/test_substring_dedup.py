@@ -179,3 +179,28 @@ def test_recall_against_all_pairs(spark, edits):
                 want.append((a, b))
     reached = {k: reach(k) for k, _ in docs}
     assert len(want) > 300 and sum(b in reached[a] for a, b in want) >= (1.0 if edits == 0 else 0.97) * len(want)
+
+
+def test_hot_buckets_are_counted_in_all_rows(spark):
+    """Exactly the buckets of a hundredth of all rows, whatever the partitions; 59 and 60 of 6,000 rows no sample tells apart."""
+    rng = random.Random(12)
+    run = 20
+    lines = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=26)) for _ in range(12)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(26)) for _ in range(6_000)]
+    at = iter(rng.sample(range(6_000), 6 * 59 + 6 * 60))
+    for k, line in enumerate(lines):
+        for i in [next(at) for _ in range(59 + k % 2)]:
+            texts[i] = f"{line} {texts[i]} {line}"
+    words, codes = {}, []
+    for t in texts:
+        codes += [words.setdefault(w.encode(), len(words)) for w in t.split()]
+    found = windows_of(np.arange(6_000), np.array(codes), list(words), np.array([len(t.split()) for t in texts]), run)
+    rows = {}
+    for bucket, rid in zip(found["bucket"].tolist(), found["rid"].tolist()):
+        rows.setdefault(bucket, set()).add(rid)
+    want = sorted(b for b, of in rows.items() if len(of) >= 60)
+    assert want and any(len(of) == 59 for of in rows.values())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
+    for parts in (1, 7):
+        assert substring_dedup.hot_buckets(df.repartition(parts), run).tolist() == want
+    assert substring_dedup.hot_buckets(df.limit(0), run).tolist() == []
