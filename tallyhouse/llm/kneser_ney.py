@@ -421,8 +421,8 @@ class Model:
         return (count - off) / np.maximum(follow[c], 1) + back[c] * p[which[at_token]], which3
 
 
-def score(docs: DataFrame, meta: dict, train_tokens: bool = True) -> DataFrame:
-    """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score of each text (null: empty)."""
+def score(docs: DataFrame, meta: dict, most: int = CHUNK_TOKENS) -> DataFrame:
+    """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score of each text (null: empty). most: tokens that a task scores at once."""
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep).schema
     for c in ("n_tokens", "n_known", "train_tokens"):
@@ -432,7 +432,7 @@ def score(docs: DataFrame, meta: dict, train_tokens: bool = True) -> DataFrame:
 
     def run(batches):
         model = Model(meta)
-        for rows, codes, words, lengths in token_chunks(batches, lowered, 1):
+        for rows, codes, words, lengths in token_chunks(batches, lowered, 1, most):
             known, base, own = model.score(codes, words, lengths)
             columns = [rows.column(c) for c in keep] + [pa.array(lengths), pa.array(known, pa.int64()), pa.array(np.full(len(lengths), meta["tokens"], np.int64)), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
             yield from pa.table(dict(zip(schema.names, columns))).to_batches()

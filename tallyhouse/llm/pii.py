@@ -71,6 +71,8 @@ AFTER_AT = r"\s(?:[Aa][Tt]|@)\s{1,3}[A-Za-z0-9\-]+\.[a-z0-9\-]"
 LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 #: Words before a bare "at" that every task holds at most.
 FEW_WORDS = 20_000
+#: Texts that a task masks at once.
+MASKED = 256
 ANY_DIGIT = "(?:" + "|".join(DIGITS) + ")"
 AT = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,2}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\s{1,3}(?:at|@)\s{1,3}(?=[a-z0-9])|@")
 BRACKET_DOT = r"\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}"
@@ -334,9 +336,11 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a null text stays null."""
     prose = prose_words(docs, text)
 
-    @F.pandas_udf(T.StringType())
-    def mask(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: masked(t, prose))
+    @F.arrow_udf(T.StringType())
+    def mask(text: pa.Array) -> pa.Array:
+        # a few rows at a time, so that a batch's texts are not all Python objects at once
+        parts = [pa.array([masked(t, prose) for t in text.slice(at, MASKED).to_pylist()], text.type) for at in range(0, len(text), MASKED)]
+        return pa.concat_arrays(parts) if parts else text
 
     return docs.withColumn(text, mask(F.col(text)))
 

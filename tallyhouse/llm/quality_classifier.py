@@ -24,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kneser_ney import score, train
-from .shared import keyed, written
+from .shared import keyed, shards, written
 
 QUANTILE, LEAST, LEARN_DOCUMENTS = 0.995, 50, 20_000
+#: Tokens that a task works on at once: memory, not the input.
+TOKENS = 100_000
+#: Files of the model at most; the documents that teach it are bounded, and every chunk of texts meets every file.
+FILES = 64
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", quantile: float = QUANTILE, least: int = LEAST, learn_documents: int = LEARN_DOCUMENTS, order: int = 2) -> DataFrame:
@@ -39,8 +43,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", qu
     )
     learn = written(trusted.where("learn").orderBy(F.xxhash64(F.col(key), F.lit(1)), key).limit(learn_documents).select(key), "learn")
     # at most learn_documents keys, so the side is safe to broadcast
-    meta = train(docs.join(F.broadcast(learn), key, "left_semi"), order)
-    scores = written(score(docs, meta).select(key, "lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("bits")), "quality-scores")
+    meta = train(docs.join(F.broadcast(learn), key, "left_semi"), order, min(shards(docs.sparkSession), FILES), TOKENS)
+    scores = written(score(docs, meta, TOKENS).select(key, "lang", "n_tokens", (-F.col("score") / F.col("n_tokens")).alias("bits")), "quality-scores")
     held = scores.join(trusted.where("not learn").select(key), key, "left_semi")
     by_lang = held.groupBy("lang").agg(F.percentile_approx("bits", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n"))
     pooled = held.agg(F.percentile_approx("bits", quantile, 100_000).alias("own")).first()["own"]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_lm_scoring import history, plain_model, words
 
+from tallyhouse.llm import kneser_ney, quality_classifier
 from tallyhouse.llm.quality_classifier import quality_verdicts
 
 
@@ -44,3 +45,20 @@ def test_against_plain_quantiles(spark, order):
     for a, b in zip(order_of(got), order_of(want)):
         assert a[:3] == b[:3] and a[5] == b[5] and a[3:5] == pytest.approx(b[3:5])
     assert not all(r[5] for r in got) and all(not r[5] for r in got if (r[0] or 0) >= 700 and r[0] < 800)
+
+
+def test_work_of_a_task_is_bounded(spark, monkeypatch):
+    """Tasks train and score on few tokens at once, and the bounded model does not grow with the session's partitions."""
+    seen, files = [], []
+    chunks, train = kneser_ney.count_parts, quality_classifier.train
+    monkeypatch.setattr(kneser_ney, "count_parts", lambda n, most: seen.append(most) or chunks(n, most))
+    monkeypatch.setattr(quality_classifier, "train", lambda *a: files.append(meta := train(*a)) or meta)
+    docs = spark.createDataFrame([(i, "en", f"w{i % 7} w{i % 5} b") for i in range(40)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 300)
+    try:
+        quality_verdicts(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [100_000] and files[0]["shards"] == 64
