@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kneser_ney import lowered
-from .shared import hash_words, keyed, mix, token_chunks, written
+from .shared import hash_words, keyed, lowered, mix, token_chunks, written
 
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_TOKENS, hash_words, local_path, mix, new_path, replace_file, shards, token_chunks
+from .shared import CHUNK_TOKENS, hash_words, local_path, lowered, mix, new_path, replace_file, shards, token_chunks
 
 #: Hashes of the mark before a text's first word, and of the end, which counts as a token.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
@@ -49,11 +49,6 @@ BELOW = PARTS + ", t1 long, t2 long, t3 long, t4 long"
 STATS = "shard int, n1 long, n2 long, n3 long, n4 long, tokens long, types long, bigrams long, words binary, counts binary"
 
 
-def lowered(text: str) -> list[bytes]:
-    """Words with A-Z in lower case; a lone surrogate becomes '?'."""
-    return text.encode("utf-8", "replace").lower().split()
-
-
 def sequences(codes: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's predecessor and the token, ends included; n_words stands for begin and end. lengths: with the ends."""
     ends = np.cumsum(lengths) - 1

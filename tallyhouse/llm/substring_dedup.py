@@ -46,8 +46,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kneser_ney import lowered
-from .shared import hash_words, keyed, mix, token_chunks, written
+from .shared import hash_words, keyed, lowered, mix, token_chunks, written
 
 GRAM, LEAST_WORDS, THRESHOLD = 5, 50, 0.8
 FUNCTIONS, ENOUGH = 5, 2

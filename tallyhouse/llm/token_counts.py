@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import token_chunks
+from .shared import plain, token_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, automaton: Automaton, key: str = "doc_id") ->
 
     def run(batches):
         count = shared.value.count
-        for rows, codes, words, lengths in token_chunks(batches, lambda t: t.encode().split()):
+        for rows, codes, words, lengths in token_chunks(batches, plain):
             pieces = np.fromiter(map(count, words), np.int64, len(words))
             doc = np.repeat(np.arange(len(lengths)), lengths)
             n = np.bincount(doc, weights=np.maximum(pieces, 1)[codes], minlength=len(lengths))
