@@ -41,7 +41,9 @@ GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5
 STEP = 20
 #: Words, and pairs of signatures, that a task works on at once.
-CHUNK, PAIRS = 400_000, 16_384
+CHUNK, PAIRS = 100_000, 16_384
+#: Rows with signatures or sets of grams that a task takes out of a batch at once.
+ROWS_AT_ONCE = 500
 #: Members up to which a bucket gives pairs; documents of a block of larger ones.
 SMALL, BLOCK = 32, 256
 
@@ -80,6 +82,13 @@ def signature(own: np.ndarray) -> np.ndarray:
     return best
 
 
+def row_slices(batches):
+    """The batches' rows, a few at a time, so that a batch's signatures or sets are copied in small parts."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def signatures(docs: DataFrame, key: str) -> DataFrame:
     """id, set (128-bit hash of the grams; null: none) and signature of each row."""
     def run(batches):
@@ -94,7 +103,7 @@ def signatures(docs: DataFrame, key: str) -> DataFrame:
 def bands(classes: DataFrame) -> DataFrame:
     """(cid, bucket) by class and band."""
     def run(batches):
-        for b in batches:
+        for b in row_slices(batches):
             x = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2])
             for k in range(ROWS):
@@ -244,7 +253,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, threshold: float, tole
     survive = pairs.join(light, "cid").join(light.select(F.col("cid").alias("other"), F.col("signature").alias("other_signature")), "other")
 
     def prune(batches):
-        for b in batches:
+        for b in row_slices(batches):
             a, o = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("signature", "other_signature"))
             yield b.select(["cid", "other"]).take(pa.array(survivors(a, o, threshold, tolerance)))
 
@@ -253,7 +262,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, threshold: float, tole
     whole = written(_gram_sets(docs, classes.join(wanted, "cid", "left_semi"), key), "grams")
 
     def verify(batches):
-        for b in batches:
+        for b in row_slices(batches):
             rows = []
             for cid, other, x, y, times, other_times in zip(*(b.column(c).to_pylist() for c in ("cid", "other", "grams", "other_grams", "times", "other_times"))):
                 if similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold - 1e-9:

@@ -122,3 +122,25 @@ def test_components_with_heavy_nodes(spark, monkeypatch):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_small_parts(spark, monkeypatch):
+    """A task copies a batch of 400,000 words, or of 4,000 pairs of sets, in small parts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    random.seed(15)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(800), pa.int64()), "text": [" ".join(f"word{random.randrange(1_000)}" for _ in range(500)) for _ in range(800)]})
+    run = jaccard_join.signatures(df, "doc_id")
+    signs = pa.Table.from_batches(list(run([batch])))
+    wide = pa.table({"cid": pa.array(range(4_000), pa.int64()), "signature": signs.column("signature").combine_chunks().take(pa.array([i % 800 for i in range(4_000)]))}).combine_chunks().to_batches()
+    bands = jaccard_join.bands(df.selectExpr("doc_id as cid", "binary(text) as signature"))
+    for work, batches, most in ((run, [batch], 12 << 20), (bands, wide, 6 << 20)):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in work(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n in (800, 4_000 * jaccard_join.BANDS) and peak < most
