@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 RATE, LEAST_WORDS = 0.1, 8
 #: Characters of the items that tasks search at once.
 BLOCK_CHARS = 8_000_000
@@ -130,6 +132,7 @@ def item_blocks(benchmark: DataFrame, item_key: str, least_words: int):
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", rate: float = RATE, least_words: int = 1) -> DataFrame:
     """key, item_key, distance, first_word, end_word (words of the text, end exclusive), item_words of each text and item in it."""
+    small_batches(docs.sparkSession)
     schema = docs.select(key).schema.add("item", benchmark.schema[item_key].dataType)
     for c in ("distance", "first_word", "end_word", "item_words"):
         schema = schema.add(c, "integer")
@@ -158,6 +161,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", i
 def decontaminated(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", rate: float = RATE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` whose texts hold no test item; no shuffle."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def without(df, items):
         shared = spark.sparkContext.broadcast(items)

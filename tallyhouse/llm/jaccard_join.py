@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import hash_words, keyed, lowered, mix, token_chunks, written
+from .shared import hash_words, keyed, lowered, mix, small_batches, token_chunks, written
 
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5
@@ -212,6 +212,7 @@ def compare_blocks(threshold: float, tolerance: float):
 
 def _grouped(docs: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
     """id, set, copy_id, component, group_id, times, links and copies of each row; the last six null without a set."""
+    small_batches(docs.sparkSession)
     signed = written(signatures(docs, key), "signatures")
     classes = written(
         signed.where("set is not null").groupBy("set").agg(F.min("id").alias("copy_id"), F.count(F.lit(1)).alias("times"), F.first("signature").alias("signature"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_TOKENS, hash_words, local_path, lowered, mix, new_path, replace_file, shards, token_chunks
+from .shared import CHUNK_TOKENS, hash_words, local_path, lowered, mix, new_path, replace_file, shards, small_batches, token_chunks
 
 #: Hashes of the mark before a text's first word, and of the end, which counts as a token.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
@@ -267,6 +267,7 @@ def train(docs: DataFrame, order: int = 2, n_shards: int | None = None, most: in
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
+    small_batches(spark)
     n_shards = n_shards or shards(spark)
     url = new_path(spark, "kneser-ney")
     folder = local_path(url)
@@ -418,6 +419,7 @@ class Model:
 
 def score(docs: DataFrame, meta: dict, most: int = CHUNK_TOKENS) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, n_known, train_tokens, base_score and score of each text (null: empty). most: tokens that a task scores at once."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     schema = docs.select(*keep).schema
     for c in ("n_tokens", "n_known", "train_tokens"):

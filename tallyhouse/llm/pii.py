@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("disguised", "boolean"))
 
@@ -292,6 +294,7 @@ def prose_words(docs: DataFrame, text: str = "text") -> frozenset[str]:
     every task whatever the corpus. The words that stand so before a host are
     counted in tasks that hold all of them, up to FEW_WORDS; beyond, by a join.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text"))
     near = texts.where(F.col("text").rlike(AFTER_AT)).select(F.explode(F.regexp_extract_all("text", F.lit(BARE_AT), F.lit(1))).alias("word"))
     found = near.select(F.lower("word").alias("word")).distinct()

@@ -44,6 +44,13 @@ def _by_range(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), "_range", "left")
 
 
+def _offsets(df: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
+    """``df`` joined with _before of each range; an Arrow table, as one of rows starts another Python daemon with workers in every executor."""
+    ranges, before = [r for r, _ in rows], [n for _, n in rows]
+    table = pa.table({"_range": pa.array(ranges, pa.int32()), "_before": pa.array(before, pa.int64())})
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(table)), "_range", "left")
+
+
 def positions(df: DataFrame, order: list[str | Column], name: str = "position") -> DataFrame:
     """``df`` with each row's position from 1 in the whole table's order; rows of equal order in any order."""
     dealt = _dealt(df, order)
@@ -51,7 +58,7 @@ def positions(df: DataFrame, order: list[str | Column], name: str = "position")
     for r in dealt.groupBy("_range").count().orderBy("_range").collect():  # one row a task of the sort
         offsets.append((r["_range"], before))
         before += r["count"]
-    placed = _by_range(dealt, offsets, "_range int, _before long")
+    placed = _offsets(dealt, offsets)
     return placed.withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
 
 
@@ -63,7 +70,7 @@ def running_sums(df: DataFrame, order: list[str | Column], value: str, name: str
         offsets.append((r["_range"], before))
         before += r["s"]
     own = F.sum(F.coalesce(F.col(value).cast("long"), F.lit(0))).over(W.partitionBy("_range").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return _by_range(dealt, offsets, "_range int, _before long").withColumn(name, F.col("_before") + own).drop("_range", "_place", "_before")
+    return _offsets(dealt, offsets).withColumn(name, F.col("_before") + own).drop("_range", "_place", "_before")
 
 
 def order_breaks(df: DataFrame, order: list[str | Column], key: list[str]) -> DataFrame:

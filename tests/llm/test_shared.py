@@ -8,7 +8,11 @@ import pyarrow as pa
 import pytest
 
 from tallyhouse.llm import shared
-from tallyhouse.llm.shared import lowered, plain, token_chunks
+from tallyhouse.llm.decontamination import contaminations, decontaminated
+from tallyhouse.llm.jaccard_join import jaccard_groups
+from tallyhouse.llm.kneser_ney import score, train
+from tallyhouse.llm.pii import mask_pii, pii_spans
+from tallyhouse.llm.shared import ARROW_BYTES, BATCH_BYTES, lowered, plain, token_chunks
 
 
 @pytest.mark.parametrize(("split", "by_text"), [(plain, lambda t: t.encode().split()), (lowered, lambda t: t.encode().lower().split())])
@@ -42,3 +46,29 @@ def test_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 400_000 and peak < 8 << 20
+
+
+def largest_batch(spark):
+    """Bytes of the largest Arrow batch of 2,000 texts of 4,000 characters in one partition."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    return max(r.n for r in spark.range(0, 2_000, 1, 1).selectExpr("repeat('text', 1000) as text").mapInArrow(run, "n long").collect())
+
+
+def test_small_batches(spark):
+    """The operators that send texts to Python cut Arrow batches short, and leave a limit that the session was given."""
+    docs = spark.createDataFrame([(i, f"a text of no {i} or so") for i in range(5)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "an item of five words")], "item_id long, text string")
+    before = spark.conf.get(ARROW_BYTES, None)
+    try:
+        for operator in (lambda: train(docs, 2, 2), lambda: score(docs, {}), lambda: jaccard_groups(docs), lambda: contaminations(docs, items), lambda: decontaminated(docs, items), lambda: mask_pii(docs), lambda: pii_spans(docs)):
+            spark.conf.unset(ARROW_BYTES)
+            operator()
+            assert largest_batch(spark) < 1.1 * BATCH_BYTES
+        spark.conf.set(ARROW_BYTES, "3m")
+        mask_pii(docs)
+        assert BATCH_BYTES < largest_batch(spark) < 3.3 * (1 << 20)
+    finally:
+        spark.conf.set(ARROW_BYTES, before) if before else spark.conf.unset(ARROW_BYTES)

@@ -147,3 +147,10 @@ def test_range_sums_tell_nulls_apart(spark):
     t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "range int, s string, t string")
     sums = {tuple(r)[1:] for r in ranges.range_sums(t, ["s", "t"]).collect()}
     assert len(sums) == len(rows)
+
+
+def test_positions_start_no_worker_of_rows(spark):
+    """The ranges' offsets are a local table: no job of Python rows, for which each executor would keep another daemon and workers."""
+    found = ordering.positions(spark.range(10), [F.col("id").desc()])
+    assert "ExistingRDD" not in plan_of(found)
+    assert {(r.id, r.position) for r in found.collect()} == {(i, 10 - i) for i in range(10)}
